@@ -57,7 +57,7 @@ def test_schedule_is_even(spark):
     _, df = table(spark)
     rows = mixing.sized(df).cache()
     sources = mixing.targets(rows).cache()
-    slots = mixing.slots(sources, 10, 1.0).collect()
+    slots = mixing.slots(sources, 10).collect()
     assert sorted(s.slot for s in slots) == list(range(1024))
     share = {s.src: s.target / s.budget for s in sources.collect()}
     for src, part in share.items():

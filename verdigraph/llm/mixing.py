@@ -27,23 +27,32 @@ SHARE = 1.5
 MOST_PASSES = 2
 #: The schedule's slots are the least power of two that gives blocks of LEAST_BLOCK words at most, and 2**MOST_BITS at most.
 LEAST_BLOCK = 8
-MOST_BITS = 22
+MOST_BITS = 20
 KEY = "mix"
 #: Schedule integers that one row of the generating table expands to.
 _CHUNK = 16384
 
 
 def running(df: DataFrame, group: str, bucket: str, order: list[Column], weight: Column, out: str) -> DataFrame:
-    """df with `out`: the sum of weight over the rows of the same group before this one, by bucket and then by order."""
+    """df with `out`: the sum of weight over the rows of the same group before this one, by bucket and then by order.
+
+    The merge join shares its exchange with the window; Spark's size estimates, which ignore what an explode
+    makes, must not choose a broadcast here.
+    """
     df = df.withColumn("__weight", weight)
     totals = df.groupBy(group, bucket).agg(F.sum("__weight").alias("__total"))
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(group, bucket, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.join(totals, [group, bucket]).withColumn(out, F.col("__before") + F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
+    df = df.hint("merge").join(totals, [group, bucket]).withColumn(out, F.col("__before") + F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
     return df.drop("__weight", "__before")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as a shuffle has; each of its rows is about to become many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "first")
+
+
 def sized(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, source, src, size, mark): words of the text (null: 0), a source key that is never null, a keyed shuffle mark."""
     return docs.select(
@@ -79,12 +88,12 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("src", "source", "source_size", "weight", "target", F.coalesce(F.sum("target").over(ahead), F.lit(0.0)).alias("before"), "budget")
 
 
-def slots(sources: DataFrame, bits: int, block: float) -> DataFrame:
+def slots(sources: DataFrame, bits: int) -> DataFrame:
     """(src, slot, rank): 2**bits slots of the schedule and their rank inside their source."""
     n = float(1 << bits)
     edge = lambda c: F.least(F.ceil(c / F.col("budget") * F.lit(n)), F.lit(1 << bits))
     own = sources.where("target > 0").select("src", edge(F.col("before")).alias("first"), edge(F.col("before") + F.col("target")).alias("end")).where("first < end")
-    own = own.withColumn("first", F.explode(F.sequence("first", F.col("end") - 1, F.lit(_CHUNK)))).repartition(F.col("src"), F.col("first"))
+    own = _spread(own.withColumn("first", F.explode(F.sequence("first", F.col("end") - 1, F.lit(_CHUNK)))))
     own = own.select("src", F.explode(F.sequence("first", F.least(F.col("end"), F.col("first") + _CHUNK) - 1)).alias("point"))
     own = own.select("src", F.reverse(F.lpad(F.bin("point"), max(1, bits), "0")).alias("turned"))
     own = own.withColumn("bucket", F.substring("turned", 1, 8))
@@ -112,15 +121,15 @@ def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
 
     count = F.ceil(F.col("source_size") / F.lit(block))  # blocks of a source; floors leave the last one empty at most
     blocks = sources.where("source_size > 0").select("src", count.alias("blocks"))
-    shuffled = blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(_CHUNK)))).repartition(F.col("src"), F.col("first"))
+    shuffled = _spread(blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(_CHUNK)))))
     shuffled = shuffled.select("src", "blocks", F.explode(F.sequence("first", F.least(F.col("blocks"), F.col("first") + _CHUNK) - 1)).alias("block"))
     shuffled = shuffled.withColumn("mark", F.md5(F.concat(F.lit(f"{key}:"), "src", F.lit(":"), F.col("block").cast("string"))))
     shuffled = running(shuffled.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark")], F.lit(1), "place").select("src", "blocks", "block", F.col("place").cast("long").alias("place"))
 
-    taken = slots(sources, bits, block).join(blocks, "src").where(F.col("rank") < MOST_PASSES * F.col("blocks"))
+    taken = slots(sources, bits).join(blocks, "src").where(F.col("rank") < MOST_PASSES * F.col("blocks"))
     taken = taken.select("src", "slot", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("place"))
-    filled = taken.join(shuffled.select("src", "place", "block"), ["src", "place"]).drop("place")
-    return filled.join(pieces, ["src", "block"])
+    filled = taken.hint("merge").join(shuffled.select("src", "place", "block"), ["src", "place"]).drop("place")
+    return filled.hint("merge").join(pieces, ["src", "block"])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -134,7 +143,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     # rows that agree in doc_id, source and size are interchangeable but have places of their own in the stream
     placed = running(rows.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
     taken = plan(rows, sources).groupBy("src", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    out = placed.where("size > 0").join(taken, ["src", "start"], "left").select("doc_id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = placed.where("size > 0").hint("merge").join(taken, ["src", "start"], "left").select("doc_id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     out = out.unionByName(rows.where("size = 0").select("doc_id", "src", "size", F.lit(0).cast("long").alias("taken")))
     return out.join(sources.select("src", "source_size", "target"), "src").select("doc_id", "size", "source_size", "target", "taken")
 
@@ -162,7 +171,7 @@ sources AS (
   SELECT *, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS ahead FROM tgt),
 shape AS (
   SELECT bits, greatest(budget / (1::BIGINT << bits), 1.0) AS b FROM (
-    SELECT max(budget) AS budget, least(22, greatest(0, ceil(log2(greatest(1.0, max(budget) / 8)))))::INT AS bits FROM per)),
+    SELECT max(budget) AS budget, least(20, greatest(0, ceil(log2(greatest(1.0, max(budget) / 8)))))::INT AS bits FROM per)),
 slot AS (
   SELECT src, row_number() OVER (PARTITION BY src ORDER BY reverse(lpad(bin(point), greatest(1, bits), '0'))) - 1 AS rank
   FROM (SELECT src, bits, unnest(range(least(ceil(ahead / budget * (1::BIGINT << bits)), 1::BIGINT << bits)::BIGINT,
