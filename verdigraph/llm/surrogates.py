@@ -52,7 +52,7 @@ _honor = "|".join(h for titles in HONORIFICS.values() for h in titles)
 #: Types in order of preference. The possessive parts keep the search linear on long runs without spaces.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<=(?i:" + "|".join(SECRET_WORDS) + r")\"?\s{0,3}[=:]\s{0,3}[\"']?)(?=[A-Za-z0-9_/+-]*\d)[A-Za-z0-9_/+-]{12,}|(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{12})(?=[A-Za-z_/+-]*\d)(?<=(?i:" + "|".join(SECRET_WORDS) + r")\"?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]+|(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "ipv6": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
@@ -60,15 +60,20 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d|\.\d)",
-    "name": rf"(?<!\p{{L}})(?:{_honor})\.? {_TITLE}(?: {_TITLE}){{0,2}}|(?<!\p{{L}})(?:{_given})(?: {_TITLE}){{1,2}}",
+    "name": rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:(?:{_honor})\.? {_TITLE}(?: {_TITLE}){{0,2}}|(?:{_given})(?: {_TITLE}){{1,2}})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _DIGITS = ("phone", "ssn", "card")
+#: One look at the characters around a place rules out most places before any pattern is tried there.
+ANY = "(?<![A-Za-z0-9])(?=[\\p{L}0-9._%+-])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in (*_DIGITS, "ip")) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("ip", *_DIGITS)) + ")"
+_NAME_STARTS = sorted({x for group in GIVEN.values() for x in group} | {x + dot for group in HONORIFICS.values() for x in group for dot in ("", ".")})
 
 
 def mentions(text: Column) -> Column:
-    """The entities of a text in order, as they stand there."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    """The entities of a text in order, as they stand there; null for a text that has nothing an entity needs:
+    a digit, an at sign, or a word that starts a name."""
+    words = F.split(F.translate(text, "\n\t\r\"'([,;:!?-", " " * 13), " ")
+    possible = text.rlike("[0-9@]") | F.arrays_overlap(words, F.array(*map(F.lit, _NAME_STARTS)))
+    return F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
 def _script(word: Column) -> Column:
@@ -147,16 +152,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def _drawn(table: DataFrame, key: str) -> DataFrame:
+    """table (type, canon, attempt) with `surrogate`; the keyed digits are columns, so lambdas don't hash again."""
+    domain = F.element_at(F.split("canon", "@"), -1)
+    table = table.withColumn("stream", _stream(F.lit(key), F.col("type"), F.col("attempt").cast("string"), F.col("canon")))
+    table = table.withColumn("of_domain", F.when(F.col("type") == "email", _stream(F.lit(key), F.lit("domain"), domain)))
+    return table.withColumn("surrogate", _surrogate(*map(F.col, ("type", "canon", "attempt", "stream", "of_domain")))).drop("stream", "of_domain")
+
+
+def _surrogate(kind: Column, canon: Column, attempt: Column, stream: Column, of_domain: Column) -> Column:
     """The attempt-th surrogate of a canonical form."""
-    stream = _stream(F.lit(key), kind, attempt.cast("string"), canon)
     tail = F.when(attempt >= LONGER_FROM, F.translate(F.substring(stream, 200, F.lit(8)), "0123456789abcdef", "ghijklmnopqrstuv")).otherwise("")
     more_digits = F.when(attempt >= LONGER_FROM, F.lpad(_pick(stream, F.lit(50), 10000).cast("string"), 4, "0")).otherwise("")
 
     domain = F.element_at(F.split(canon, "@"), -1)
     ending = F.substring_index(domain, ".", -1)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
-    email = F.concat(_classes(F.substring_index(canon, "@", 1), stream, F.lit(0)), tail, F.lit("@"), _classes(host, _stream(F.lit(key), F.lit("domain"), domain), F.lit(0)), F.lit("."), ending)
+    email = F.concat(_classes(F.substring_index(canon, "@", 1), stream, F.lit(0)), tail, F.lit("@"), _classes(host, of_domain, F.lit(0)), F.lit("."), ending)
 
     octet = lambda i, n, low: (_pick(stream, F.lit(i), n) + low).cast("string")
     ip = F.concat_ws(".", octet(0, 222, 1), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
@@ -209,7 +221,7 @@ def assigned(entities: DataFrame, key: str = KEY) -> DataFrame:
     """
     table = common.staged(entities.withColumn("attempt", F.lit(0)), "entities")
     for _ in range(MOST_ATTEMPTS):
-        drawn = table.withColumn("surrogate", _surrogate(F.col("type"), F.col("canon"), F.col("attempt"), key))
+        drawn = _drawn(table, key)
         known = table.select("type", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
         same = Window.partitionBy("type", "surrogate").orderBy("attempt", "canon")
         drawn = drawn.join(known, ["type", "surrogate"], "left").withColumn("place", F.row_number().over(same))
