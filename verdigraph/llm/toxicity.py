@@ -108,6 +108,24 @@ def bag(texts: list[str | None], buckets: int = BUCKETS) -> Bag:
     return Bag(grams[order], owners[order], hashes, pair % len(hashes) if len(hashes) else pair, pair // max(1, len(hashes)), count, len(texts))
 
 
+def bags(texts: list[str | None], buckets: int = BUCKETS, size: int = 512) -> Bag:
+    """`bag` of many texts, built from bags of `size` texts; each distinct word keeps one copy of its n-grams."""
+    parts = [bag(texts[i : i + size], buckets) for i in range(0, len(texts), size)]
+    hashes, first, word = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    place = np.full(len(word), -1, np.int32)
+    place[first] = np.arange(len(hashes))
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    at = texts_before = 0
+    for p in parts:
+        own, ids = place[at : at + len(p.hashes)], word[at : at + len(p.hashes)].astype(np.int32)
+        new = own[p.word_of_gram] >= 0
+        for column, values in zip(out, (p.grams[new].astype(np.int32), own[p.word_of_gram[new]], ids[p.word], (p.text + texts_before).astype(np.int32), p.count.astype(np.int32)), strict=True):
+            column.append(values)
+        at, texts_before = at + len(p.hashes), texts_before + p.texts
+    grams, owners, words, docs, count = map(np.concatenate, out)
+    return Bag(grams, owners, hashes, words, docs, count, len(texts))
+
+
 @dataclass
 class Model:
     """What scoring needs: per bucket the embedding's part of the class difference, and the words' damping."""
@@ -144,7 +162,7 @@ def train(texts: list[str | None], labels: list[int], **options) -> Model:
     rest, y = part(held)
     if len(set(y)) < 2 or not model.part.any():
         return model
-    score = np.clip(model.score(rest), 1e-12, 1 - 1e-12)
+    score = np.clip(np.concatenate([model.score(rest[i : i + 512]) for i in range(0, len(rest), 512)]), 1e-12, 1 - 1e-12)
     logit, y = np.log(score / (1 - score)), np.array(y, np.float64)
     x = np.stack([logit, np.ones(len(y))], 1)
     theta = np.array([1.0, 0.0])
@@ -162,7 +180,7 @@ def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rat
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), 30.0 * (2 * float(y.mean()) - 1) if len(y) else -30.0, np.zeros(0, np.uint64), np.zeros(0))
-    b = bag(texts, buckets)
+    b = bags(texts, buckets)
     n_words = len(b.hashes)
     share = np.bincount(b.word, b.count, n_words) / max(1, b.count.sum())
     damp = SMOOTH / (SMOOTH + share)
@@ -175,7 +193,7 @@ def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rat
     met, met_1 = (np.bincount(b.grams, np.bincount(b.word, own, n_words)[b.word_of_gram], buckets) for own in (np.ones(len(b.word)), y[b.text]))
     known = met[b.grams] >= LEAST_TEXTS
     used, grams = np.unique(b.grams[known], return_inverse=True)
-    word_of_gram = b.word_of_gram[known]
+    grams, word_of_gram = grams.astype(np.int32), b.word_of_gram[known]
     rng = np.random.default_rng(seed)
     # the first embedding dimension starts at the bucket's log odds, smoothed towards the classes' shares; the rest near 0
     ones, zeros, share_1 = met_1[used], met[used] - met_1[used], y.mean()
@@ -188,20 +206,20 @@ def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rat
     onehot = np.stack([1 - y, y], 1)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, bias)]
 
-    def sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(key, v, n) for v in values])
+    def sums(rows, key: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(key, row, n) for row in rows])
 
     for step in range(1, epochs + 1):
-        words = sums(e[:, grams], word_of_gram, n_words) * per_gram
-        docs = sums(words[:, b.word] * a, b.text, b.texts) * SCALE
+        words = sums((x[grams] for x in e), word_of_gram, n_words) * per_gram
+        docs = sums((x[b.word] * a for x in words), b.text, b.texts) * SCALE
         z = docs.T @ w + bias
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
         dz = (p - onehot) / len(y)
         d_docs = w @ dz.T * SCALE
-        d_words = sums(d_docs[:, b.text] * a, b.word, n_words) * per_gram
-        grads = (sums(d_words[:, word_of_gram], grams, len(used)) + DECAY * e, docs @ dz, dz.sum(0))
+        d_words = sums((x[b.text] * a for x in d_docs), b.word, n_words) * per_gram
+        grads = (sums((x[word_of_gram] for x in d_words), grams, len(used)) + DECAY * e, docs @ dz, dz.sum(0))
         for param, grad, (m, v) in zip((e, w, bias), grads, moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
