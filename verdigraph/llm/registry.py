@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import decontaminate, lattice, mixing, repeats, simhash, surrogates, toxicity
+from verdigraph.llm import decontaminate, extract, lattice, mixing, repeats, simhash, surrogates, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
