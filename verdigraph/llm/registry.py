@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import decontaminate, extract, lattice, mixing, repeats, simhash, surrogates, toxicity
+from verdigraph.llm import decontaminate, extract, lattice, licenses, mixing, quality, repeats, simhash, surrogates, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents"))
 
