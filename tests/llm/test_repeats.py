@@ -34,11 +34,11 @@ def texts(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("length", [100, 64, 7])
-def test_against_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "near"), [(100, 16), (100, 1), (64, 2), (7, 16), (7, 0)])
+def test_against_brute_force(spark, length, near):
     data = texts(length)
     df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(data)], "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("ranges", F.lit(1)).repartition(5)
-    got = Counter((bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in repeats.cleaned(df, length).collect())
+    got = Counter((bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in repeats.cleaned(df, length, near).collect())
     assert got == Counter(brute(data, length))
 
 

@@ -10,9 +10,10 @@ bit only costs work. The steps:
   a suffix is sent as the length it shares with its predecessor and the rest.
 * A range's runs are merged by a loser tree that keeps, for every suffix in it, the length shared with the last
   winner. Different lengths decide a match without a look at the bytes; equal ones resume after the known prefix.
-* The shared lengths of neighbours in the result say which strings around an anchor can repeat at all. Equal
-  neighbours repeat in whole. For the others the strings that are left are compared exactly, by counting their
-  128-bit hashes.
+* In the merged order equal suffixes repeat in whole. A suffix is compared with the NEAR distinct ones in front of
+  it: the bytes that two share to the right and to the left of their anchors are a repeat. Where more than NEAR
+  suffixes share enough, the strings that only a farther one can repeat, and that none of the near ones already
+  stands for, are sent on and counted by 128-bit hashes.
 
 Texts are told apart by their digest, so copies of a text share their result and no row numbers are needed.
 """
@@ -35,6 +36,8 @@ SEED = 64
 FILTER_BITS = 1 << 27
 RANGE_BYTES = 8 << 20
 RUN_BYTES = 32 << 20
+#: Distinct suffixes in front that a suffix is compared with directly.
+NEAR = 16
 _BASE = 0x9E3779B97F4A7C15
 #: A text with an anchor in fewer bytes than this repeats itself; its own repeats are found before the exchange.
 _DENSE = 40
@@ -255,23 +258,67 @@ def _passes(bits: np.ndarray | None, seeds: np.ndarray) -> np.ndarray:
 _FOUND = "text binary, start long, end long, h1 long, h2 long"
 
 
-def _merged(length: int):
-    """Reduce side: rows of what repeats in whole (start, end), and of strings to be counted (start, h1, h2)."""
-
-    def settle(group, before: int, after: int, put) -> None:
-        """group: equal entries; before, after: lengths shared with the neighbours outside it."""
-        key, right = group[0][0], group[0][2][2]
-        left = len(key) - 8 - right
-        if len(group) > 1:
-            for _, _, (text, at, right) in group:
-                put(text, at - left, at + right)
-        # strings that begin j bytes before the anchor; the bytes to the right that they need must be shared
-        low = max(length - right, length - (max(before, after) - 8))
-        if low <= left:
-            text, at, _ = group[0][2]
-            whole = key[8 + right :][::-1] + key[8 : 8 + right]
-            for j in range(low, left + 1):
-                put(text, at - j, None, xxhash.xxh3_128_digest(whole[left - j : left - j + length]))
+def _settled(cluster: list, length: int, near: int, put) -> None:
+    """cluster: merged groups [key, shared length with the group before, members] that share a seed, in order.
+
+    Strings are named by j, the bytes that they have in front of the anchor.
+    """
+    n = len(cluster)
+    sides = []
+    for key, _, members in cluster:
+        right = members[0][2]
+        sides.append((right, key[8 + right :]))
+        if len(members) > 1:
+            for text, at, _ in members:
+                put(text, at - len(sides[-1][1]), at + right)
+    if n == 1:
+        return
+    shared = [g[1] - 8 for g in cluster]  # to the right, with the group before (or more, where texts end)
+    found: list[list[tuple[int, int]]] = [[] for _ in cluster]
+    stands: list[list[tuple[int, int]]] = [[] for _ in cluster]
+    for i in range(1, n):
+        right, left = sides[i]
+        r = length
+        for x in range(i - 1, max(-1, i - 1 - near), -1):
+            r = min(r, shared[x + 1])
+            both = min(r, right, sides[x][0])
+            if r + len(left) < length:
+                break  # suffixes farther in front share even less
+            other = sides[x][1]
+            if both + min(len(left), len(other)) >= length:
+                common_left = _shared(left, other, 0)
+                if both + common_left >= length:
+                    found[i].append((length - both, common_left))
+                    found[x].append((length - both, common_left))
+                    stands[i].append((length - both, common_left))
+    for i, (key, _, members) in enumerate(cluster):
+        right, left = sides[i]
+        if len(members) == 1 and found[i]:
+            text, at, _ = members[0]
+            for low, high in common.ranges(*np.array(found[i]).T):
+                put(text, at - high, at + length - low)
+        if n <= near + 1:
+            continue
+        far = 0
+        if i > near:
+            far = min(shared[i - near : i + 1])
+        if i + near + 1 < n:
+            far = max(far, min(shared[i + 1 : i + near + 2]))
+        low = max(length - right, length - far)
+        if low <= len(left):
+            whole = left[::-1] + key[8 : 8 + right]
+            covered = set()
+            for a, b in stands[i]:
+                covered.update(range(a, b + 1))
+            for text, at, _ in members[:1]:
+                for j in range(low, len(left) + 1):
+                    if j not in covered:
+                        start = len(left) - j
+                        put(text, at - j, None, xxhash.xxh3_128_digest(whole[start : start + length]))
+
+
+def _merged(length: int, near: int):
+    """Reduce side: rows of what repeats (start, end), and of strings to be counted (start, h1, h2)."""
 
     def run(batches):
         runs: dict[int, list] = {}
@@ -297,25 +344,25 @@ def _merged(length: int):
                 else:
                     runs.setdefault(r, []).append((payload, rest))
         for r in sorted(runs):
-            tree = LoserTree([_run(np.frombuffer(p, _PAYLOAD), rest) for p, rest in runs.pop(r)])
-            group, before = [], 0
-            for entry in tree:
-                if group and entry[1] == len(entry[0]) == len(group[0][0]) and entry[2][2] == group[0][2][2]:
-                    group.append(entry)
+            cluster: list = []
+            for key, shared, member in LoserTree([_run(np.frombuffer(p, _PAYLOAD), rest) for p, rest in runs.pop(r)]):
+                last = cluster[-1] if cluster else None
+                if last and shared == len(key) == len(last[0]) and member[2] == last[2][0][2]:
+                    last[2].append(member)
                     continue
-                if group:
-                    settle(group, before, entry[1], put)
-                group, before = [entry], entry[1]
-                if len(out[0]) > 100_000:
-                    yield flush()
-            if group:
-                settle(group, before, 0, put)
+                if last and shared < 8:
+                    _settled(cluster, length, near, put)
+                    cluster = []
+                    if len(out[0]) > 50_000:
+                        yield flush()
+                cluster.append((key, shared, [member]))
+            _settled(cluster, length, near, put) if cluster else None
         yield flush()
 
     return run
 
 
-def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def marked(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFrame:
     """(digest, ranges): per text that holds repeats, by the md5 of its bytes, the byte ranges of repeated strings.
 
     Null and short texts hold none. Ranges may overlap; their number is bounded by the text's own length.
@@ -344,7 +391,7 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     sent = spark.sparkContext.broadcast(bits)
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 1.5 * length / RANGE_BYTES))
     runs = texts.mapInArrow(lambda batches: _exchanged(sent.value, n_ranges, length, seed)(batches), "range int, payload binary, rest binary")
-    found = common.staged(runs.repartition(n_ranges, "range").mapInArrow(_merged(length), _FOUND), "repeat-candidates")
+    found = common.staged(runs.repartition(n_ranges, "range").mapInArrow(_merged(length, near), _FOUND), "repeat-candidates")
 
     strings = found.where("h1 is not null").select("text", "start", "h1", "h2")
     twice = strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
@@ -353,31 +400,38 @@ def marked(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return repeated.unionByName(whole).groupBy(F.lower(F.hex("text")).alias("digest")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row of docs.
 
     Null texts are empty; repeated rows are documents of their own, so their texts repeat each other; kept are the
     remaining bytes, which need not be whole characters where a repeat begins or ends inside one.
     """
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    joined = rows.hint("merge").join(marked(docs, length), "digest", "left").select("doc_id", "text", "ranges")
+    joined = rows.hint("merge").join(marked(docs, length, near), "digest", "left").select("doc_id", "text", "ranges")
 
     def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            data, offsets = common.utf8(batch.column("text"))
-            for i, found in enumerate(batch.column("ranges").to_pylist()):
-                own, kept, n_spans, removed = data[offsets[i] : offsets[i + 1]], None, 0, 0
-                if found:
-                    spans = common.ranges(np.array([r["start"] for r in found]), np.array([r["end"] for r in found]))
-                    keep = np.ones(len(own), bool)
-                    for s, e in spans:
-                        keep[s:e] = False
-                    removed, n_spans, kept = int((~keep).sum()), len(spans), own[keep].tobytes()
-                for column, value in zip(out, (own.tobytes() if kept is None else kept, len(own), removed, n_spans), strict=True):
-                    column.append(value)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                out: list[list] = [[], [], [], []]
+                data, offsets = common.utf8(batch.column("text"))
+                found = batch.column("ranges")
+                lists = found.offsets.to_numpy()
+                values = found.values
+                starts, ends = values.field("start").to_numpy(), values.field("end").to_numpy()
+                for i in range(batch.num_rows):
+                    own, kept, n_spans = data[offsets[i] : offsets[i + 1]], None, 0
+                    if lists[i] < lists[i + 1]:
+                        spans = common.ranges(starts[lists[i] : lists[i + 1]], ends[lists[i] : lists[i + 1]])
+                        keep = np.ones(len(own), bool)
+                        for s, e in spans:
+                            keep[s:e] = False
+                        n_spans, kept = len(spans), own[keep].tobytes()
+                    kept = own.tobytes() if kept is None else kept
+                    for column, value in zip(out, (kept, len(own), len(own) - len(kept), n_spans), strict=True):
+                        column.append(value)
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out, kinds, strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
