@@ -80,7 +80,7 @@ class Anchors:
         cut = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (docs[1:] != docs[:-1])])
         last = np.r_[cut[1:], len(own)] - 1
         self.place, self.low, self.high, self.doc = own[cut], starts[cut], starts[last], docs[cut]
-        self.seeds = h[self.place]
+        self.seeds = common.mix(~h[self.place])  # least hashes are all small; the ranges want them spread evenly
 
     def settle(self, offsets: np.ndarray, length: int) -> list[tuple[int, int, int]]:
         """(document, start, end) of what texts with many anchors repeat of themselves. Anchors that stand only for
@@ -407,7 +407,8 @@ def cleaned(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFram
     remaining bytes, which need not be whole characters where a repeat begins or ends inside one.
     """
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    joined = rows.hint("merge").join(marked(docs, length, near), "digest", "left").select("doc_id", "text", "ranges")
+    found = common.staged(marked(docs, length, near), "repeat-ranges")  # a join of two exchanges, so that copies of one text can be split
+    joined = rows.hint("merge").join(found, "digest", "left").select("doc_id", "text", "ranges")
 
     def run(batches):
         for whole in batches:
