@@ -10,6 +10,7 @@ batch.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -242,10 +243,18 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = common.staged(chosen, "toxicity-labels")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    texts, toxic = rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
-    return train([texts[i] for i in order], [int(toxic[i] > 0) for i in order])
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+
+    def learn(batches):
+        parts = [b for b in batches if b.num_rows]
+        own = pa.Table.from_batches(parts).sort_by("doc_id") if parts else None
+        texts, toxic = (own.column(c).to_pylist() if parts else [] for c in ("text", "toxic"))
+        model = train(texts, [int(x > 0) for x in toxic])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # one task trains: the rows are bounded, and if its executor is lost another one repeats it
+    found = rows.coalesce(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], [])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
