@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from verdigraph.llm import extract
@@ -32,7 +33,9 @@ def test_composite_importance_by_hand():
     assert math.isclose(got[0], 0.9 * (one + 0.0) / 2)
 
 
-def test_site_tree_removes_what_a_host_repeats_and_keeps_articles(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_site_tree_removes_what_a_host_repeats_and_keeps_articles(spark, monkeypatch, most):
+    monkeypatch.setattr(extract, "BROADCAST_NODES", most)
     rows = []
     for i in range(20):
         own = f"<div class=story><p>Story number {i} tells of {i * 7} rivers.</p><p>And of {i * 3} hills, at length, for the share of text.</p></div>"

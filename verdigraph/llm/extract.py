@@ -22,12 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm import common
+
 #: A branch goes if its importance is below THRESHOLD, at least LEAST_PAGES of the host's pages have it, and it
 #: holds at most MOST_SHARE of their text.
 THRESHOLD = 0.2
 LEAST_PAGES = 8
 MOST_SHARE = 0.3
 _GAMMA = 0.9
+#: Up to so many removed nodes are broadcast; beyond, pages meet them by host and one of SALTS numbers.
+BROADCAST_NODES = 1_000_000
+SALTS = 32
 
 # HTML's void, block and unrendered elements, and the names by which pages mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -222,6 +227,7 @@ def removable(pages: DataFrame) -> DataFrame:
     rows = pages.select(host().alias("host"), "html").where("html is not null").mapInArrow(_statistics, "host string, node long, parent long, feature long, times long, share double")
     kind = F.col("parent").isNotNull()
     per = rows.groupBy("host", "node", "parent", "feature").agg(F.sum("times").alias("c"), F.sum(F.col("times") * F.log("times")).alias("l"), F.sum("share").alias("share"))
+    per = common.staged(per, "style-tree")  # three aggregations read it; the pages are parsed once for them
     style = per.where(kind).groupBy("host", "node", "parent").agg(F.sum("c").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log("c")).alias("l"), F.sum("share").alias("share"))
     content = per.where(~kind).select("host", "node", "c", "l").join(style.select("host", "node", "pages"), ["host", "node"])
     entropy = (F.log("c") - F.col("l") / F.col("c")) / F.log("pages")
@@ -244,7 +250,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     A null html gives an empty text; a null url has the empty host; repeated rows count as pages of their host and
     give a row each; other columns are not looked at.
     """
-    own = pages.select("page_id", "url", "html", host().alias("host")).join(removable(pages), "host", "left")
+    gone = common.staged(removable(pages), "removed-nodes")
+    own = pages.select("page_id", "url", "html", host().alias("host"))
+    if (gone.agg(F.sum(F.size("removed") + 8)).first()[0] or 0) <= BROADCAST_NODES:
+        own = own.join(F.broadcast(gone), "host", "left")
+    else:  # a host's pages are dealt to several tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        own = own.join(gone.select("host", "removed", salts), ["host", "salt"], "left")
 
     def run(batches):
         for batch in batches:
