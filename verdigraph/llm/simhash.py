@@ -223,7 +223,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: the one whose doc_id names it (of repeated rows with that doc_id, one).
 
-    Rows whose component has no doc_id at all are kept, as nothing tells them apart.
+    Rows without a doc_id are all kept, as nothing tells them apart.
     """
     named = classes(docs, "doc_id", distance).where("doc_id = component").select("doc_id").distinct()
     first = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
