@@ -6,6 +6,9 @@ Arrow batch; nothing here looks at one character at a time.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +62,7 @@ def appended(df: DataFrame, compute: Callable[[pa.RecordBatch], dict], fields: l
             if batch.num_rows:
                 made = compute(batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, _ in kept), *(made[f.name] for f in fields)], names=[f.name for f in schema.fields])
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -159,3 +163,11 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
         else:
             out.append((s, e))
     return out
+
+
+def trimmed() -> None:
+    """Gives memory that Arrow and the allocator keep back to the system, as Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

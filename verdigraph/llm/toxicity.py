@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from verdigraph.llm import common
 
 #: Most labelled rows to train on, taken by a hash of doc_id; the bound on what the driver collects.
-TRAIN_ROWS = 8192
+TRAIN_ROWS = 16_384
 BUCKETS = 1 << 16
 DIM = 2
 NGRAMS = (3, 4)
@@ -39,7 +39,9 @@ SMOOTH = 1e-4
 #: Buckets met in fewer training texts keep a zero embedding: they could only be learned by heart.
 LEAST_TEXTS = 8
 #: An average holds so many words without evidence besides the text's own, so a few words prove little.
-PRIOR = 10.0
+PRIOR = 60.0
+#: One word counts for so much of a text at most (three times in any text): junk that repeats a word proves nothing.
+MOST_PART = 0.005
 FOLDS, HELD = 5, 0
 _EDGE = np.uint32(1)
 
@@ -111,22 +113,35 @@ def bag(texts: list[str | None], buckets: int = BUCKETS) -> Bag:
 
 def bags(texts: list[str | None], buckets: int = BUCKETS, size: int = 512) -> Bag:
     """`bag` of many texts, built from bags of `size` texts; each distinct word keeps one copy of its n-grams."""
-    parts = [bag(texts[i : i + size], buckets) for i in range(0, len(texts), size)]
-    hashes, first, word = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
-    place = np.full(len(word), -1, np.int32)
-    place[first] = np.arange(len(hashes))
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    at = texts_before = 0
-    for p in parts:
-        own, ids = place[at : at + len(p.hashes)], word[at : at + len(p.hashes)].astype(np.int32)
-        new = own[p.word_of_gram] >= 0
-        for column, values in zip(out, (p.grams[new].astype(np.int32), own[p.word_of_gram[new]], ids[p.word], (p.text + texts_before).astype(np.int32), p.count.astype(np.int32)), strict=True):
-            column.append(values)
-        at, texts_before = at + len(p.hashes), texts_before + p.texts
+    known, known_id = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(5)]
+    for first in range(0, len(texts), size):
+        p = bag(texts[first : first + size], buckets)
+        at = np.searchsorted(known, p.hashes)
+        new = np.ones(len(p.hashes), bool)
+        inside = at < len(known)
+        new[inside] = known[at[inside]] != p.hashes[inside]
+        ids = np.empty(len(p.hashes), np.int32)
+        ids[~new] = known_id[at[~new]]
+        ids[new] = len(known) + np.arange(new.sum())
+        kept = new[p.word_of_gram]
+        for column, values in zip(out, (p.grams[kept], ids[p.word_of_gram[kept]], ids[p.word], p.text + first, p.count), strict=True):
+            column.append(values.astype(np.int32))
+        known, known_id = np.r_[known, p.hashes[new]], np.r_[known_id, ids[new]]
+        order = np.argsort(known, kind="stable")
+        known, known_id = known[order], known_id[order]
+    hashes = np.empty(len(known), np.uint64)
+    hashes[known_id] = known
     grams, owners, words, docs, count = map(np.concatenate, out)
     return Bag(grams, owners, hashes, words, docs, count, len(texts))
 
 
+def _times(b: Bag) -> np.ndarray:
+    """How often a word counts in its text: as it stands there, up to three times or the part MOST_PART of the text."""
+    size = np.bincount(b.text, b.count, b.texts)
+    return np.minimum(b.count, np.maximum(3, MOST_PART * size[b.text]))
+
+
 @dataclass
 class Model:
     """What scoring needs: per bucket the embedding's part of the class difference, and the words' damping."""
@@ -147,7 +162,7 @@ class Model:
         b = bag(texts, len(self.part))
         per_word = np.bincount(b.word_of_gram, self.part[b.grams], len(b.hashes)) / np.maximum(1, np.bincount(b.word_of_gram, minlength=len(b.hashes)))
         w = self.weights(b.hashes)
-        times = np.log2(1 + b.count)  # repeats of a word add less and less
+        times = _times(b)
         mass = np.bincount(b.text, w[b.word] * times, b.texts)
         total = np.bincount(b.text, (w * per_word)[b.word] * times, b.texts)
         logit = total / (mass + PRIOR) + self.bias
@@ -186,8 +201,9 @@ def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rat
     share = np.bincount(b.word, b.count, n_words) / max(1, b.count.sum())
     damp = SMOOTH / (SMOOTH + share)
     kept = damp < 0.999
-    model = Model(np.zeros(buckets), 0.0, b.hashes[kept], damp[kept])
-    a = damp[b.word] * np.log2(1 + b.count)
+    place = np.flatnonzero(kept)[np.argsort(b.hashes[kept])]
+    model = Model(np.zeros(buckets), 0.0, b.hashes[place], damp[place])
+    a = damp[b.word] * _times(b)
     a = (a / (np.bincount(b.text, a, b.texts) + PRIOR)[b.text])
     per_gram = 1 / np.bincount(b.word_of_gram, minlength=n_words)
     # texts that a bucket is met in, all and those of class 1
@@ -250,6 +266,8 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
         own = pa.Table.from_batches(parts).sort_by("doc_id") if parts else None
         texts, toxic = (own.column(c).to_pylist() if parts else [] for c in ("text", "toxic"))
         model = train(texts, [int(x > 0) for x in toxic])
+        del own, texts, toxic
+        common.trimmed()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task trains: the rows are bounded, and if its executor is lost another one repeats it
