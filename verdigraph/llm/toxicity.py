@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from verdigraph.llm import common
 
 #: Most labelled rows to train on, taken by a hash of doc_id; the bound on what the driver collects.
-TRAIN_ROWS = 12_288
+TRAIN_ROWS = 16_384
 BUCKETS = 1 << 16
 DIM = 2
 NGRAMS = (3, 4)
