@@ -74,3 +74,20 @@ def test_collisions_are_drawn_again(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.digest(df).collect() == []
+
+
+def test_no_text_with_an_entity_is_skipped(spark):
+    starts = sorted({n for group in (*surrogates.GIVEN.values(), *surrogates.HONORIFICS.values()) for n in group})
+    texts = [f"x{mark}{start} {'Петров' if start[0] > 'я' or 'А' <= start[0] <= 'я' else 'Müller'}{mark}y" for mark in "„“«¿¡—./*_&|…" for start in starts]
+    texts += [f"«{h}. Müller»" for titles in surrogates.HONORIFICS.values() for h in titles]
+    texts += ["aa:bb:cc:dd:ee:ff", "AA-BB-CC-DD-EE-FF", "a:b:c:d:e:f:a:b", "ab:ab:ab:ab:ab:ab:ab:ab", "abcd:abc:ab:a:b:c:d:e", "ghp_" + "abcdefgh" * 4, "key sk-" + "abcdefgh" * 3, "xoxb-" + "a" * 16, "ab" * 16, "AB" * 20, "AKIA" + "ABCDEFGH" * 2]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    exact = F.regexp_extract_all("text", F.lit(surrogates.ANY), F.lit(0))
+    rows = df.select("text", exact.alias("want"), surrogates.mentions(F.col("text")).alias("got")).collect()
+    assert [r.text for r in rows if not r.want] == []
+    assert [r.text for r in rows if r.got != r.want] == []
+
+
+def test_secret_that_starts_with_a_slash(spark):
+    df = spark.createDataFrame([(1, 'token="/a9Kz73hQwLm2pR"')], "doc_id long, text string")
+    assert "9Kz73hQ" not in surrogates.replaced(df).first().text

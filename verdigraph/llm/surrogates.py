@@ -64,15 +64,15 @@ PATTERNS = {
 }
 _DIGITS = ("phone", "ssn", "card")
 #: One look at the characters around a place rules out most places before any pattern is tried there.
-ANY = "(?<![A-Za-z0-9])(?=[\\p{L}0-9._%+-])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in (*_DIGITS, "ip")) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("ip", *_DIGITS)) + ")"
-_NAME_STARTS = sorted({x for group in GIVEN.values() for x in group} | {x + dot for group in HONORIFICS.values() for x in group for dot in ("", ".")})
+ANY = "(?<![A-Za-z0-9])(?=[\\p{L}0-9._%+/-])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in (*_DIGITS, "ip")) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("ip", *_DIGITS)) + ")"
+#: What every entity without a digit or an at sign holds: the start of a name, of a digit-free secret, or of a MAC or IPv6 address.
+_NAME_START = rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:(?:{_honor})\.?|(?:{_given})) \p{{Lu}}\p{{Ll}}"
+_LETTERS = r"AKIA|(?:sk|ghp|xoxb)[-_]|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]|[A-Fa-f]:[A-Fa-f]{1,4}:"
 
 
 def mentions(text: Column) -> Column:
-    """The entities of a text in order, as they stand there; null for a text that has nothing an entity needs:
-    a digit, an at sign, or a word that starts a name."""
-    words = F.split(F.translate(text, "\n\t\r\"'([,;:!?-", " " * 13), " ")
-    possible = text.rlike("[0-9@]") | F.arrays_overlap(words, F.array(*map(F.lit, _NAME_STARTS)))
+    """The entities of a text in order, as they stand there; null for a text that has nothing an entity needs."""
+    possible = text.rlike("[0-9@]") | text.rlike(_NAME_START) | text.rlike(_LETTERS)
     return F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
 
 
