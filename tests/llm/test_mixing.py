@@ -72,3 +72,16 @@ def test_empty_tables(spark):
     assert mixing.mixed(df.limit(0)).collect() == []
     none = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in mixing.mixed(none).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_blocks_stay_small_in_a_large_corpus(spark):
+    """Above 2**20 slots too, blocks have LEAST_BLOCK words at most and small sources get their target."""
+    large = spark.range(6000).select("id", mixing.F.expr("repeat('w ', 1000)").alias("text"), mixing.F.lit("large").alias("source"))
+    small = spark.createDataFrame([(10_000 + i, "a b c d e f", s) for i in range(4) for s in ("small", None)], "id long, text string, source string")
+    rows = mixing.common.staged(mixing.sized(large.unionByName(small).withColumnRenamed("id", "doc_id")), "test-sizes")
+    sources = mixing.common.staged(mixing.targets(rows), "test-sources")
+    words = mixing.F.col("to_word") - mixing.F.col("from_word")
+    got = {r.src: r for r in mixing.plan(rows, sources).groupBy("src").agg(mixing.F.max(words).alias("block"), mixing.F.sum(words).alias("taken")).collect()}
+    for s in sources.collect():
+        assert got[s.src].block <= mixing.LEAST_BLOCK
+        assert abs(got[s.src].taken - s.target) <= 2 * mixing.LEAST_BLOCK + 0.002 * s.target

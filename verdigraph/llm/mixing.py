@@ -6,14 +6,15 @@ puts at place r modulo the number of blocks, so a source is read evenly, in pass
 words, in a keyed order of its documents, into equal runs.
 
 With 2**m slots the points are the multiples of 2**-m, so a source's slots are the bit reversals of a range of
-integers and are generated from the source's row: no slot is compared with all sources. Ranks and running
-sums are two-level (bucket totals, then inside buckets), so that a source with a third of all rows is spread
-over many tasks. Only DataFrame functions are used.
+integers and are generated from the source's row: no slot is compared with all sources. A slot's rank is counted
+from the bits of its point. Running sums are two-level (bucket totals, then inside buckets), so that a source with
+a third of all rows is spread over many tasks. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_PASSES = 2
-#: The schedule's slots are the least power of two that gives blocks of LEAST_BLOCK words at most, and 2**MOST_BITS at most.
+#: The schedule's slots are the least power of two that gives blocks of LEAST_BLOCK words at most, whatever the corpus holds.
 LEAST_BLOCK = 8
-MOST_BITS = 20
 KEY = "mix"
 #: Schedule integers that one row of the generating table expands to.
 _CHUNK = 16384
@@ -92,13 +92,18 @@ def slots(sources: DataFrame, bits: int) -> DataFrame:
     """(src, slot, rank): 2**bits slots of the schedule and their rank inside their source."""
     n = float(1 << bits)
     edge = lambda c: F.least(F.ceil(c / F.col("budget") * F.lit(n)), F.lit(1 << bits))
-    own = sources.where("target > 0").select("src", edge(F.col("before")).alias("first"), edge(F.col("before") + F.col("target")).alias("end")).where("first < end")
-    own = _spread(own.withColumn("first", F.explode(F.sequence("first", F.col("end") - 1, F.lit(_CHUNK)))))
-    own = own.select("src", F.explode(F.sequence("first", F.least(F.col("end"), F.col("first") + _CHUNK) - 1)).alias("point"))
-    own = own.select("src", F.reverse(F.lpad(F.bin("point"), max(1, bits), "0")).alias("turned"))
-    own = own.withColumn("bucket", F.substring("turned", 1, 8))
-    own = running(own, "src", "bucket", [F.col("turned")], F.lit(1), "rank")
-    return own.select("src", F.conv("turned", 2, 10).cast("long").alias("slot"), F.col("rank").cast("long").alias("rank"))
+    own = sources.where("target > 0").select("src", edge(F.col("before")).alias("low"), edge(F.col("before") + F.col("target")).alias("high")).where("low < high")
+    own = _spread(own.withColumn("first", F.explode(F.sequence("low", F.col("high") - 1, F.lit(_CHUNK)))))
+    own = own.select("src", "low", "high", F.explode(F.sequence("first", F.least(F.col("high"), F.col("first") + _CHUNK) - 1)).alias("point"))
+    slot = F.conv(F.reverse(F.lpad(F.bin("point"), max(1, bits), "0")), 2, 10).cast("long")
+    return own.select("src", slot.alias("slot"), _rank(F.col("point"), F.col("low"), F.col("high"), bits).alias("rank"))
+
+
+def _rank(point: Column, low: Column, high: Column, bits: int) -> Column:
+    """How many points of low..high-1 turn into lower slots than this one: those that agree in the j lowest bits and lack its bit j."""
+    below = lambda edge, j: F.shiftright(edge - point.bitwiseAND(F.lit((1 << j) - 1)) + F.lit((2 << j) - 1), j + 1)
+    terms = [F.shiftright(point, j).bitwiseAND(F.lit(1)) * (below(high, j) - below(low, j)) for j in range(bits)]
+    return reduce(lambda a, b: a + b, terms, F.lit(0)).cast("long")
 
 
 def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
@@ -108,7 +113,7 @@ def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
     stream. Documents without words fill nothing.
     """
     budget = sources.agg(F.max("budget")).first()[0] or 0.0
-    bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1.0, budget / LEAST_BLOCK)))))
+    bits = max(0, math.ceil(math.log2(max(1.0, budget / LEAST_BLOCK))))
     block = max(budget / (1 << bits), 1.0)
     low = lambda i: F.floor(i * F.lit(block))
     docs = running(rows.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
@@ -123,8 +128,8 @@ def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
     blocks = sources.where("source_size > 0").select("src", count.alias("blocks"))
     shuffled = _spread(blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(_CHUNK)))))
     shuffled = shuffled.select("src", "blocks", F.explode(F.sequence("first", F.least(F.col("blocks"), F.col("first") + _CHUNK) - 1)).alias("block"))
-    shuffled = shuffled.withColumn("mark", F.md5(F.concat(F.lit(f"{key}:"), "src", F.lit(":"), F.col("block").cast("string"))))
-    shuffled = running(shuffled.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark")], F.lit(1), "place").select("src", "blocks", "block", F.col("place").cast("long").alias("place"))
+    mark = F.md5(F.concat(F.lit(f"{key}:"), "src", F.lit(":"), F.col("block").cast("string")))  # made again behind the shuffle, which it would treble
+    shuffled = running(shuffled.withColumn("bucket", F.substring(mark, 1, 3)), "src", "bucket", [mark], F.lit(1), "place").select("src", "blocks", "block", F.col("place").cast("long").alias("place"))
 
     taken = slots(sources, bits).join(blocks, "src").where(F.col("rank") < MOST_PASSES * F.col("blocks"))
     taken = taken.select("src", "slot", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("place"))
