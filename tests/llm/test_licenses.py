@@ -58,3 +58,21 @@ def test_rules_are_ordered():
     ids = ["BSDPermitted", "BSDSource", "BSDBinary", "BSDEndorse", "BSDAsIs", "MITRef", "CC:by 4.0"]
     assert licenses.licences(ids) == ["BSD-3-Clause", "MIT", "CC-BY-4.0"]
     assert licenses.licences(["BSDSource", "GPLAnyVer"]) == ["GPL"]
+
+
+def test_every_known_sentence_passes_the_gate():
+    cases = {
+        "Released under the GPL version 3.": ["GPL-3.0"],
+        "Available under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+        "Distributed under CC0 1.0.": ["CC0-1.0"],
+        "Available under CC\nBY 4.0.": ["CC-BY-4.0"],
+        "Released under by-nc 3.0.": ["CC-BY-NC-3.0"],
+        "Distributed under Creative Commons Attribution 4.0.": ["CC-BY-4.0"],
+        "This text is in the public\ndomain.": ["Public-Domain"],
+    }
+    assert {t: licenses.scan(t)[0] for t in cases} == cases
+    assert licenses.scan("If a copy of the MPL was not distributed with this file, you can obtain one at x.")[1] == ["MPLCopy"]
+    assert licenses.scan("All rights reserved.")[1] == ["AllRights"]
+    assert licenses.scan("Figure 2.0 went public.") == ([], [], 0)
+    for name, pattern in licenses.SENTENCES:  # what a pattern always says, or each of its choices where it has some
+        assert any(t in pattern for t in licenses.SEARCHED) or name in ("GPLAnyVer", "CC:{v}", "SPDX:{v}"), name

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from verdigraph.llm import common
 
-#: A text without any of these holds no licence sentence; a sentence with one that is not known counts as unmatched.
-TRIGGERS = ("licen", "copyright", "permission is", "permitted", "warrant", "public domain", "redistribut", "liab", "as is", "provided that", "acknowledg", "endorse", "conditions")
+#: A sentence with one of these that is not known counts as unmatched.
+TRIGGERS = ("licen", "copyright", "permission is", "permitted", "warrant", "public domain", "redistribut", "liab", "as is", "provided that", "acknowledg", "endorse", "conditions", "gpl", "cc0", "cc by", "creative commons", "rights reserved", "spdx")
+#: A text or sentence without any of these holds no known licence sentence, however its words are spaced.
+SEARCHED = (*TRIGGERS, "mpl", "public", "reserved", "1.0", "2.0", "3.0", "4.0")
 
 # Normalised sentences of public licences, as patterns. {v} stands for a version, which joins the identifier.
 SENTENCES = [
@@ -118,7 +120,8 @@ def sentences(text: str) -> list[str]:
     """Normalised sentences: cut at stops, blank lines and list items; a line that a known sentence fills stands alone."""
     out = []
     for piece in _END.split(_COMMENT.sub("", text)):
-        if any(t in piece.lower() for t in TRIGGERS) or "spdx" in piece.lower():
+        lower = piece.lower()
+        if any(t in lower for t in SEARCHED):
             lines = [normalised(x) for x in _BREAKS.split(piece)]
             whole = normalised(piece)
             alone = [x for x in lines if x and identifier(x)] if len(lines) > 1 and not identifier(whole) else []
@@ -175,11 +178,11 @@ def licences(ids: list[str]) -> list[str]:
 def scan(text: str | None) -> tuple[list[str], list[str], int]:
     """Licences (distinct, sorted), identifiers in order, and how many licence-like sentences are not known."""
     lower = (text or "").lower()
-    if not any(t in lower for t in TRIGGERS):
+    if not any(t in lower for t in SEARCHED):
         return [], [], 0
-    found = [identifier(s) for s in sentences(text)]
-    ids = [i for i in found if i]
-    return sorted(set(licences(ids))), ids, len(found) - len(ids)
+    found = [(identifier(s), s) for s in sentences(text)]
+    ids = [i for i, _ in found if i]
+    return sorted(set(licences(ids))), ids, sum(not i and any(t in s for t in TRIGGERS) for i, s in found)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
