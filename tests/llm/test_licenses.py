@@ -76,3 +76,15 @@ def test_every_known_sentence_passes_the_gate():
     assert licenses.scan("Figure 2.0 went public.") == ([], [], 0)
     for name, pattern in licenses.SENTENCES:  # what a pattern always says, or each of its choices where it has some
         assert any(t in pattern for t in licenses.SEARCHED) or name in ("GPLAnyVer", "CC:{v}", "SPDX:{v}"), name
+
+
+def test_all_sentences_of_a_piece_count():
+    mit = "Licensed under the MIT License\nReleased under the Apache License, Version 2.0"
+    assert licenses.scan(mit) == (["Apache-2.0", "MIT"], ["MITRef", "ApacheVer:2.0"], 0)
+    spdx = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"
+    assert licenses.scan(spdx)[1] == ["SPDX:mit", "SPDX:apache-2.0"]
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    assert licenses.scan(apache) == (["Apache-2.0"], ["ApacheVer:2.0", "ApacheMayNot"], 0)
+    assert licenses.scan("Released under the\nMIT License\nSee the licence folder")[::2] == (["MIT"], 1)
+    assert licenses.scan("Copyright Someone\nReleased under the MIT License")[::2] == (["MIT"], 1)
+    assert licenses.scan("You may obtain a copy of the License at x/licenses/y\nLicensed under CC BY 4.0")[::2] == (["CC-BY-4.0"], 0)

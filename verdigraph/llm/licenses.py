@@ -101,40 +101,54 @@ RULES = [
     (("CC:*",), "{cc}"),
     (("PublicDomain",), "Public-Domain"),
 ]
-#: A known sentence may follow words without a full stop between, as lines often lack one.
-_KNOWN = [(name, re.compile(rf"(?:^|[\s(*#/-]){pattern}$", re.S)) for name, pattern in SENTENCES]
+
+
+def _searching(pattern: str, i: int) -> str:
+    """A sentence's pattern for a search: any white space, names of its own for groups, and no more text than it needs."""
+    p = re.sub(r" ?\.\*$", "", pattern.removeprefix("(?:.* )?")).replace(".*", ".*?")
+    return p.replace(" ", r"\s").replace("(?P<v>", f"(?P<v{i}>")
+
+
+#: All known sentences, the first in the list first; words may stand around them, as lines often lack a full stop.
+_KNOWN = re.compile(r"(?<![^\s(*#/-])(?:" + "|".join(f"(?P<k{i}>{_searching(p, i)})" for i, (_, p) in enumerate(SENTENCES)) + r")(?![\w-]|\.\d)", re.S)
+#: Sentences that end in any words: what follows them up to the next known sentence is theirs.
+_OPEN = frozenset(name for name, pattern in SENTENCES if pattern.endswith((".*", ".*)?")))
 _END = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[:;])[ \t]*\n|\n\s*\n|\n(?=\s*(?:\d\.|\*|-) )|(?<=[.!?])(?=[!*#&%$]+(?:\s|$))")
-_BREAKS = re.compile(r"\n")
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|<!--|dnl\b)[ \t]*|-->|\*+/")
 
 
-def normalised(sentence: str) -> str:
-    """Lower case, one space, plain quotes dropped, British spelling to American, `v2` to `version 2`, no final stop."""
-    s = " ".join(sentence.lower().split())
-    s = re.sub(r"[\"'`“”‘’„«»]+", "", s).replace("licence", "license").replace("’", "")
-    s = re.sub(r"\bv\.? ?(?=\d)", "version ", s) if "mozilla public license" not in s else s
-    return s.rstrip(" .;:,!?#*&%$|)").lstrip(" .;:,!?&%$|")
+def normalised(piece: str) -> str:
+    """Lower case, one space, lines kept, plain quotes dropped, British spelling to American, `v2` to `version 2`, no final stop."""
+    s = "\n".join(x for x in (" ".join(line.split()) for line in piece.lower().split("\n")) if x)
+    s = re.sub(r"[\"'`“”‘’„«»]+", "", s).replace("licence", "license")
+    s = re.sub(r"\bv\.?\s?(?=\d)", "version ", s) if not re.search(r"mozilla\spublic\slicense", s) else s
+    return s.rstrip(" .;:,!?#*&%$|)\n").lstrip(" .;:,!?&%$|\n")
 
 
-def sentences(text: str) -> list[str]:
-    """Normalised sentences: cut at stops, blank lines and list items; a line that a known sentence fills stands alone."""
+def pieces(text: str) -> list[str]:
+    """Normalised pieces that may hold a licence sentence: cut at stops, blank lines and list items."""
     out = []
     for piece in _END.split(_COMMENT.sub("", text)):
         lower = piece.lower()
         if any(t in lower for t in SEARCHED):
-            lines = [normalised(x) for x in _BREAKS.split(piece)]
-            whole = normalised(piece)
-            alone = [x for x in lines if x and identifier(x)] if len(lines) > 1 and not identifier(whole) else []
-            out += alone or [whole]
-    return [s for s in out if s]
+            out.append(normalised(piece))
+    return out
 
 
-def identifier(sentence: str) -> str | None:
-    for name, pattern in _KNOWN:
-        found = pattern.search(sentence)
-        if found:
-            return name.replace("{v}", found.groupdict().get("v") or "")
-    return None
+def identifiers(piece: str) -> tuple[list[str], int]:
+    """Identifiers of the known sentences of a normalised piece in order, and how many licence-like lines are not known."""
+    ids, unknown, at, theirs = [], 0, 0, False
+    licence_like = lambda s: any(t in s for t in TRIGGERS)
+    for found in _KNOWN.finditer(piece):
+        unknown += 0 if theirs else sum(map(licence_like, piece[at : found.start()].split("\n")))
+        i = next(i for i in range(len(SENTENCES)) if found[f"k{i}"] is not None)
+        name = SENTENCES[i][0]
+        v = found.groupdict().get(f"v{i}") or ""
+        ids.append(name.replace("{v}", " ".join(v.split()).rstrip(".")))
+        at, theirs = found.end(), name in _OPEN
+    if not ids:  # an unknown sentence is one, whatever its lines
+        return ids, int(licence_like(" ".join(piece.split("\n"))))
+    return ids, unknown + (0 if theirs else sum(map(licence_like, piece[at:].split("\n"))))
 
 
 def _licence(says: str, ids: tuple[str, ...]) -> str:
@@ -180,9 +194,9 @@ def scan(text: str | None) -> tuple[list[str], list[str], int]:
     lower = (text or "").lower()
     if not any(t in lower for t in SEARCHED):
         return [], [], 0
-    found = [(identifier(s), s) for s in sentences(text)]
-    ids = [i for i, _ in found if i]
-    return sorted(set(licences(ids))), ids, sum(not i and any(t in s for t in TRIGGERS) for i, s in found)
+    found = [identifiers(p) for p in pieces(text)]
+    ids = [i for own, _ in found for i in own]
+    return sorted(set(licences(ids))), ids, sum(n for _, n in found)
 
 
 def scanned(docs: DataFrame) -> DataFrame:
