@@ -51,3 +51,14 @@ def test_site_tree_removes_what_a_host_repeats_and_keeps_articles(spark, monkeyp
     assert got[201, None].text == "no url" and got[201, None].n_chars == 6
     assert got[202, "http://a.example/x"].text == got[203, "http://a.example/y"].text == ""
     assert extract.extracted(df.limit(0)).collect() == []
+
+
+def test_names_do_not_remove_the_main_text():
+    page = lambda html: extract.Page(html).text()
+    words = "The text of this page is long enough to be most of it."
+    assert page(f'<nav>Home</nav><div class="site-content has-sidebar"><article><p>{words}</p></article><div class="sidebar">Links</div></div>') == words
+    assert page(f'<div id="content" class="no-sidebar"><p>{words}</p><div class="share">Share</div></div>') == words
+    assert page(f'<form id="aspnetForm"><nav>Home</nav><div><p>{words}</p></div></form>') == words
+    assert page(f'<article><p>{words}</p></article><aside class="related"><article>Teaser</article></aside>') == words
+    assert page(f'<p>{words} <span class="share">Share</span> More.</p>') == f"{words} More."
+    assert page(f'<div class="sidebar-left" role="main"><p>{words}</p></div><article>Teaser</article>').startswith(words)

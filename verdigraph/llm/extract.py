@@ -7,6 +7,7 @@ these pages, and the composite importance of a branch passes from the leaves up.
 on a host's pages are of low importance and are removed from each page, unless they hold most of a page's text: a
 host whose pages are copies of each other keeps its article. Elements that name their own part (nav, footer,
 advert classes, hidden content) are removed by name, and an article or main element, if there is one, bounds the text.
+A named element that holds the page's only article or main, or most of the text of a page without one, stays.
 
 Segments, and not words, are a leaf's features: with words, any text in a common vocabulary would look like noise.
 """
@@ -53,10 +54,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Element:
-    __slots__ = ("tag", "node", "gone", "header", "main", "children")
+    __slots__ = ("tag", "node", "gone", "header", "main", "named", "children")
 
-    def __init__(self, tag, node, gone, header, main):
-        self.tag, self.node, self.gone, self.header, self.main = tag, node, gone, header, main
+    def __init__(self, tag, node, gone, header, main, named=()):
+        self.tag, self.node, self.gone, self.header, self.main, self.named = tag, node, gone, header, main, named
         self.children: list[str] = []
 
 
@@ -70,8 +71,10 @@ class Page(HTMLParser):
         self.styles: dict[int, set[int]] = {}
         self.parents: dict[int, int] = {0: 0}
         self.has_main = False
+        self.n_named, self.holds_main = 0, set()  # branches that name themselves, and which of them hold an article or main
+        self.raw: list[tuple[list, tuple[int, ...], bool]] = []
         self.stack = [_Element("", 0, False, False, False)]
-        self.buffer: list[str] = []
+        self.buffer: list[tuple[tuple[int, ...], str]] = []
         self.at: _Element = self.stack[0]
         try:
             self.feed(html)
@@ -81,13 +84,33 @@ class Page(HTMLParser):
         while len(self.stack) > 1:
             self._pop()
         self._flush()
+        self._decide()
 
     def _flush(self) -> None:
         if self.buffer:
-            text = " ".join("".join(self.buffer).split())
-            self.buffer.clear()
-            if text and not self.at.gone:
-                self.blocks.append((text, tuple(e.node for e in self.stack), self.at.main))
+            if not self.at.gone:
+                self.raw.append((self.buffer, tuple(e.node for e in self.stack), self.at.main))
+            self.buffer = []
+
+    def _decide(self) -> None:
+        """Branches that name themselves go, except, on a page without another article or main, those that hold one or most of the text."""
+        gone = set(range(self.n_named))
+        if gone and not self.has_main:
+            inside = dict.fromkeys(gone, 0)
+            total = 0
+            for chunks, _, _ in self.raw:
+                for named, data in chunks:
+                    size = len("".join(data.split()))
+                    total += size
+                    for k in named:
+                        inside[k] += size
+            gone -= self.holds_main | {k for k, size in inside.items() if 2 * size > total}
+        for chunks, nodes, main in self.raw:
+            text = " ".join("".join(data for named, data in chunks if not named or gone.isdisjoint(named)).split())
+            if text:
+                self.blocks.append((text, nodes, main))
+        self.has_main = self.has_main or any(main for _, _, main in self.blocks)
+        self.raw = []
 
     def _pop(self) -> None:
         e = self.stack[-1]
@@ -115,12 +138,12 @@ class Page(HTMLParser):
         if tag in BLOCK:
             self._flush()
         if tag == "br":
-            self.buffer.append("\n")
+            self.buffer.append((self.at.named, "\n"))
         if tag in VOID:
             return
         found = dict(attrs) if attrs else {}
         names, role = "", (found.get("role") or "").lower()
-        gone, header, main = self.at.gone, self.at.header, self.at.main
+        gone, header, main, named = self.at.gone, self.at.header, self.at.main, self.at.named
         if found:
             names = f"{found.get('class') or ''} {found.get('id') or ''}"
         noisy = {w.lower() for w in _NAME.findall(names)} & NOISE if names.strip() else ()
@@ -128,15 +151,20 @@ class Page(HTMLParser):
             gone = True
         elif (tag == "header" or noisy == {"header"}) and main:
             header = True  # an article's own header keeps its headings
-        elif (tag in PARTS or noisy or role in ROLES) and tag not in ("html", "body", "article", "main"):
-            gone = True
+        elif (tag in PARTS or noisy or role in ROLES) and tag not in ("html", "body", "article", "main") and role != "main":
+            named = (*named, self.n_named)
+            self.n_named += 1
         elif tag in ("article", "main") or role in ("article", "main"):
-            main = self.has_main = True
+            main = True
+            if named:
+                self.holds_main.update(named)
+            elif not gone:
+                self.has_main = True
         signature = f"{tag}.{found.get('class') or ''}.{role}" if found else tag
         self.at.children.append(signature)
         node = xxhash.xxh64_intdigest(signature, self.at.node) >> 1
         self.parents[node] = self.at.node
-        e = _Element(tag, node, gone or (self.at.header and tag in BLOCK and tag not in HEADINGS and not self._wraps(tag)), header, main)
+        e = _Element(tag, node, gone or (self.at.header and tag in BLOCK and tag not in HEADINGS and not self._wraps(tag)), header, main, named)
         self.stack.append(e)
         self.at = e
 
@@ -157,7 +185,7 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.at.gone or (self.at.header and not any(e.tag in HEADINGS for e in self.stack[-3:])):
             return
-        self.buffer.append(data)
+        self.buffer.append((self.at.named, data))
 
     def own_blocks(self) -> list[tuple[str, tuple[int, ...], bool]]:
         return [b for b in self.blocks if b[2]] if self.has_main else self.blocks
