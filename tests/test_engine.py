@@ -268,3 +268,14 @@ def test_extracted_answers_and_the_whole_way(spark):
         return answering.extracted(rows, "q").withColumn("answer", F.lit("O prazo de entrega é de 77 dias."))
 
     assert {r.q: r.outcome for r in plan.answered(asked, hits, catalog(spark), "q", generate=inventor).collect()}[1] == "hallucination_detected"
+
+
+def test_hash_embed_covers_whole_documents(spark, tmp_path):
+    from verdigraph import queries
+
+    texts = {1: "alpha " * 20_000 + "omega", 2: "", 3: None, 4: "alpha beta"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.embedding for r in queries.hash_embed(spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        assert len(got[i]) == 768 and np.allclose(got[i], dense.hash_embedding(t), atol=1e-6)

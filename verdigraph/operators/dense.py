@@ -84,6 +84,8 @@ def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 768, embe
                 out = None
             if out is None:
                 out = [hash_embedding(t, dim).astype(np.float32) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() for v in out], pa.list_(pa.float32()))], names=[key, "embedding"])
+            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.float32), *out])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, embedding array<float>")

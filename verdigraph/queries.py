@@ -366,7 +366,7 @@ def confidence_gate(spark, sf_dir):
 
 @query()
 def hash_embed(spark, sf_dir):
-    return dense.embedded(_read(spark, sf_dir, "benchmark"), "item_id", dim=64)
+    return dense.embedded(_read(spark, sf_dir, "documents"), "doc_id")
 
 
 # ---- grounding, routing, rendering, answers ----
