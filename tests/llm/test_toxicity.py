@@ -69,3 +69,31 @@ def test_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in toxicity.digest(df, labels).collect()] == [0]
     assert toxicity.digest(df.limit(0), labels).collect() == []
+
+
+def test_counted_features_train_the_same_model_as_texts(spark):
+    data = [r for r in rows(600) if zlib.crc32(str(r[0]).encode()) % 5]
+    df = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    got = toxicity.fitted(df, labels)
+    own = sorted(data, key=lambda r: str(r[0]))
+    want = toxicity.train([t for _, t, _ in own], [y for *_, y in own])
+    assert np.allclose(got.part, want.part, atol=1e-6) and got.bias == pytest.approx(want.bias)
+    assert got.score(["quiet river scumbag"])[0] > got.score(["quiet river garden"])[0]
+    few = toxicity.fitted(df, labels, train_pairs=sum(len(set(t.split())) for _, t, _ in data) // 2)
+    assert not np.allclose(few.part, want.part)
+
+
+def test_score_against_a_plain_sum():
+    data = rows(300)
+    model = toxicity.train([t for _, t, _ in data], [y for *_, y in data], epochs=5)
+    for _, text, _ in data[:20]:
+        words = text.split()
+        total = mass = 0.0
+        for w in sorted(set(words)):
+            b = toxicity.bag([w])
+            times = min(words.count(w), max(3, toxicity.MOST_PART * len(words)))
+            weight = model.weights(b.hashes)[0]
+            total += weight * times * model.part[b.grams].mean()
+            mass += weight * times
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(total / (mass + toxicity.PRIOR) + model.bias))))

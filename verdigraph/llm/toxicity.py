@@ -18,11 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from verdigraph.llm import common
 
-#: Most labelled rows to train on, taken by a hash of doc_id; the bound on what the driver collects.
+#: Most labelled rows to train on, taken by a hash of doc_id, and most pairs of a text and one of its words: together
+#: they bound the memory of the task that trains.
 TRAIN_ROWS = 16_384
+TRAIN_PAIRS = 1 << 24
+#: Pairs or n-grams that one step of the training looks at together.
+BLOCK = 1 << 19
 BUCKETS = 1 << 16
 DIM = 2
 NGRAMS = (3, 4)
@@ -44,6 +49,7 @@ PRIOR = 60.0
 MOST_PART = 0.005
 FOLDS, HELD = 5, 0
 _EDGE = np.uint32(1)
+_FEATURES = ["pairs", "doc_id", "toxic", "hashes", "counts", "grams"]
 
 
 def _word_table() -> np.ndarray:
@@ -111,29 +117,65 @@ def bag(texts: list[str | None], buckets: int = BUCKETS) -> Bag:
     return Bag(grams[order], owners[order], hashes, pair % len(hashes) if len(hashes) else pair, pair // max(1, len(hashes)), count, len(texts))
 
 
+class Features:
+    """Growing counts of labelled texts: per text the hashes and counts of its distinct words, per distinct word one copy of its n-grams."""
+
+    def __init__(self) -> None:
+        self.words: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.known = np.zeros(0, np.uint64)  # sorted; `place` is the order in which the words came
+        self.place = np.zeros(0, np.int32)
+        self.grams: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def add_words(self, hashes: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> None:
+        """hashes: sorted and distinct."""
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        self.grams.append(grams[np.repeat(new, sizes)])
+        self.sizes.append(sizes[new])
+        places = np.arange(len(self.known), len(self.known) + int(new.sum()), dtype=np.int32)
+        self.known, self.place = np.insert(self.known, at[new], hashes[new]), np.insert(self.place, at[new], places)
+
+    def bag(self) -> Bag:
+        """Pairs in the order of the texts, n-grams in the order in which words came; lists are freed once they are joined."""
+        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        for i, w in enumerate(self.words):
+            self.words[i] = self.place[np.searchsorted(self.known, w)]
+        hashes = np.empty(len(self.known), np.uint64)
+        hashes[self.place] = self.known
+        out = Bag(joined(self.grams, np.int32), np.repeat(np.arange(len(hashes), dtype=np.int32), joined(self.sizes, np.int32)), hashes, joined(self.words, np.int32), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), joined(self.counts, np.int32), len(lengths))
+        self.__init__()
+        return out
+
+
+def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per text (word hashes, counts), and the distinct words' (hashes, n-grams, n-grams per word) of a few texts."""
+    b = bag(texts, buckets)
+    bounds = np.searchsorted(b.text, np.arange(b.texts + 1))
+    own = [(b.hashes[b.word[s:e]], b.count[s:e].astype(np.int32)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    return own, (b.hashes, b.grams.astype(np.int32), np.bincount(b.word_of_gram, minlength=len(b.hashes)).astype(np.int32))
+
+
 def bags(texts: list[str | None], buckets: int = BUCKETS, size: int = 512) -> Bag:
     """`bag` of many texts, built from bags of `size` texts; each distinct word keeps one copy of its n-grams."""
-    known, known_id = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in range(5)]
+    out = Features()
     for first in range(0, len(texts), size):
-        p = bag(texts[first : first + size], buckets)
-        at = np.searchsorted(known, p.hashes)
-        new = np.ones(len(p.hashes), bool)
-        inside = at < len(known)
-        new[inside] = known[at[inside]] != p.hashes[inside]
-        ids = np.empty(len(p.hashes), np.int32)
-        ids[~new] = known_id[at[~new]]
-        ids[new] = len(known) + np.arange(new.sum())
-        kept = new[p.word_of_gram]
-        for column, values in zip(out, (p.grams[kept], ids[p.word_of_gram[kept]], ids[p.word], p.text + first, p.count), strict=True):
-            column.append(values.astype(np.int32))
-        known, known_id = np.r_[known, p.hashes[new]], np.r_[known_id, ids[new]]
-        order = np.argsort(known, kind="stable")
-        known, known_id = known[order], known_id[order]
-    hashes = np.empty(len(known), np.uint64)
-    hashes[known_id] = known
-    grams, owners, words, docs, count = map(np.concatenate, out)
-    return Bag(grams, owners, hashes, words, docs, count, len(texts))
+        own, words = features(texts[first : first + size], buckets)
+        out.words += [w for w, _ in own]
+        out.counts += [c for _, c in own]
+        out.add_words(*words)
+    return out.bag()
+
+
+def _of_texts(b: Bag, chosen: np.ndarray) -> Bag:
+    """The part of a bag that the chosen texts make; its words stay as they are."""
+    place = np.cumsum(chosen, dtype=np.int32) - 1
+    kept = chosen[b.text]
+    return Bag(b.grams, b.word_of_gram, b.hashes, b.word[kept], place[b.text[kept]], b.count[kept], int(chosen.sum()))
 
 
 def _times(b: Bag) -> np.ndarray:
@@ -159,8 +201,14 @@ class Model:
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        b = bag(texts, len(self.part))
-        per_word = np.bincount(b.word_of_gram, self.part[b.grams], len(b.hashes)) / np.maximum(1, np.bincount(b.word_of_gram, minlength=len(b.hashes)))
+        return self.score_bag(bag(texts, len(self.part)))
+
+    def score_bag(self, b: Bag) -> np.ndarray:
+        size = np.maximum(1, np.bincount(b.word_of_gram, minlength=len(b.hashes)))
+        per_word = np.zeros(len(b.hashes))
+        for s, e in _blocks(len(b.grams)):
+            per_word += np.bincount(b.word_of_gram[s:e], self.part[b.grams[s:e]], len(b.hashes))
+        per_word /= size
         w = self.weights(b.hashes)
         times = _times(b)
         mass = np.bincount(b.text, w[b.word] * times, b.texts)
@@ -169,17 +217,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _blocks(n: int, size: int = BLOCK) -> list[tuple[int, int]]:
+    return [(s, min(n, s + size)) for s in range(0, n, size)]
+
+
 def train(texts: list[str | None], labels: list[int], **options) -> Model:
-    """Embeddings and softmax from four fifths of the rows; the last fifth sets the scale and bias of the logits,
-    as logits are too sure on the rows that the embeddings have seen."""
-    held = np.arange(len(labels)) % 5 == 4
-    part = lambda own: ([texts[i] for i in np.flatnonzero(own)], [labels[i] for i in np.flatnonzero(own)])
-    model = _train(*part(~held), **options)
-    rest, y = part(held)
-    if len(set(y)) < 2 or not model.part.any():
+    """A model from texts and their labels; see `train_bag`."""
+    return train_bag(bags(texts, options.get("buckets", BUCKETS)), np.array(labels, np.float64), **options)
+
+
+def train_bag(b: Bag, y: np.ndarray, **options) -> Model:
+    """Embeddings and softmax from four fifths of the texts; the last fifth sets the scale and bias of the logits,
+    as logits are too sure on the texts that the embeddings have seen."""
+    held = np.arange(len(y)) % 5 == 4
+    model = _train(_of_texts(b, ~held), y[~held], **options)
+    rest, y = _of_texts(b, held), y[held]
+    if len(set(y.tolist())) < 2 or not model.part.any():
         return model
-    score = np.clip(np.concatenate([model.score(rest[i : i + 512]) for i in range(0, len(rest), 512)]), 1e-12, 1 - 1e-12)
-    logit, y = np.log(score / (1 - score)), np.array(y, np.float64)
+    score = np.clip(model.score_bag(rest), 1e-12, 1 - 1e-12)
+    logit = np.log(score / (1 - score))
     x = np.stack([logit, np.ones(len(y))], 1)
     theta = np.array([1.0, 0.0])
     for _ in range(50):  # Newton's method with a weak pull towards the uncorrected logits
@@ -191,12 +247,13 @@ def train(texts: list[str | None], labels: list[int], **options) -> Model:
     return model
 
 
-def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, buckets: int = BUCKETS, seed: int = 7) -> Model:
-    """Without rows of both classes the model gives everyone the share of class 1 (0 without rows)."""
-    y = np.array(labels, np.float64)
+def _train(b: Bag, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, buckets: int = BUCKETS, seed: int = 7) -> Model:
+    """Without rows of both classes the model gives everyone the share of class 1 (0 without rows).
+
+    Pairs and n-grams are kept as 32-bit numbers and passed over in blocks, so what a step adds to them is bounded.
+    """
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), 30.0 * (2 * float(y.mean()) - 1) if len(y) else -30.0, np.zeros(0, np.uint64), np.zeros(0))
-    b = bags(texts, buckets)
     n_words = len(b.hashes)
     share = np.bincount(b.word, b.count, n_words) / max(1, b.count.sum())
     damp = SMOOTH / (SMOOTH + share)
@@ -204,13 +261,28 @@ def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rat
     place = np.flatnonzero(kept)[np.argsort(b.hashes[kept])]
     model = Model(np.zeros(buckets), 0.0, b.hashes[place], damp[place])
     a = damp[b.word] * _times(b)
-    a = (a / (np.bincount(b.text, a, b.texts) + PRIOR)[b.text])
-    per_gram = 1 / np.bincount(b.word_of_gram, minlength=n_words)
+    a = (a / (np.bincount(b.text, a, b.texts) + PRIOR)[b.text]).astype(np.float32)
+    per_gram = 1 / np.maximum(1, np.bincount(b.word_of_gram, minlength=n_words))
+    pairs, text_of, word_of = _blocks(len(b.word)), b.text, b.word
+
+    def gathered(keys: np.ndarray, blocks: list, n: int, value) -> np.ndarray:
+        """Sums of value(start, end) by key."""
+        out = np.zeros(n)
+        for s, e in blocks:
+            out += np.bincount(keys[s:e], value(s, e), n)
+        return out
+
     # texts that a bucket is met in, all and those of class 1
-    met, met_1 = (np.bincount(b.grams, np.bincount(b.word, own, n_words)[b.word_of_gram], buckets) for own in (np.ones(len(b.word)), y[b.text]))
-    known = met[b.grams] >= LEAST_TEXTS
-    used, grams = np.unique(b.grams[known], return_inverse=True)
-    grams, word_of_gram = grams.astype(np.int32), b.word_of_gram[known]
+    in_word = [np.bincount(b.word, minlength=n_words).astype(np.float64), gathered(b.word, pairs, n_words, lambda s, e: y[text_of[s:e]])]
+    met, met_1 = (gathered(b.grams, _blocks(len(b.grams)), buckets, lambda s, e, own=own: own[b.word_of_gram[s:e]]) for own in in_word)
+    used = np.flatnonzero(met >= LEAST_TEXTS)
+    new_id = np.full(buckets, -1, np.int32)
+    new_id[used] = np.arange(len(used), dtype=np.int32)
+    grams = new_id[b.grams]
+    known = grams >= 0
+    grams, owners = grams[known], b.word_of_gram[known].astype(np.int32)
+    del known
+    gram_blocks = _blocks(len(grams))
     rng = np.random.default_rng(seed)
     # the first embedding dimension starts at the bucket's log odds, smoothed towards the classes' shares; the rest near 0
     ones, zeros, share_1 = met_1[used], met[used] - met_1[used], y.mean()
@@ -222,22 +294,17 @@ def _train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rat
     bias = np.log(np.array([1 - share_1, share_1]))
     onehot = np.stack([1 - y, y], 1)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, bias)]
-
-    def sums(rows, key: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(key, row, n) for row in rows])
-
     for step in range(1, epochs + 1):
-        words = sums((x[grams] for x in e), word_of_gram, n_words) * per_gram
-        docs = sums((x[b.word] * a for x in words), b.text, b.texts) * SCALE
+        words = [gathered(owners, gram_blocks, n_words, lambda s, t, x=x: x[grams[s:t]]) * per_gram for x in e]
+        docs = np.stack([gathered(text_of, pairs, b.texts, lambda s, t, x=x: x[word_of[s:t]] * a[s:t]) for x in words]) * SCALE
         z = docs.T @ w + bias
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
         dz = (p - onehot) / len(y)
-        d_docs = w @ dz.T * SCALE
-        d_words = sums((x[b.text] * a for x in d_docs), b.word, n_words) * per_gram
-        grads = (sums((x[word_of_gram] for x in d_words), grams, len(used)) + DECAY * e, docs @ dz, dz.sum(0))
-        for param, grad, (m, v) in zip((e, w, bias), grads, moments, strict=True):
+        d_words = [gathered(word_of, pairs, n_words, lambda s, t, x=x: x[text_of[s:t]] * a[s:t]) * per_gram for x in w @ dz.T * SCALE]
+        d_e = np.stack([gathered(grams, gram_blocks, len(used), lambda s, t, x=x: x[owners[s:t]]) for x in d_words])
+        for param, grad, (m, v) in zip((e, w, bias), (d_e + DECAY * e, docs @ dz, dz.sum(0)), moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -250,8 +317,9 @@ def fold(folds: int = FOLDS):
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Trains on at most train_rows labelled rows outside the held fold, chosen by a hash of doc_id.
+def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_pairs: int = TRAIN_PAIRS) -> Model:
+    """Trains on at most train_rows labelled rows outside the held fold, chosen by a hash of doc_id, with at most
+    train_pairs pairs of text and word. The executors count words and n-grams; the training task never sees a text.
 
     Labels without doc_id or toxic are ignored; of repeated labels the larger counts.
     """
@@ -261,17 +329,47 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
 
+    def counted(batches):
+        """A row per text (its words and counts) and per slice of texts (its distinct words, their n-grams)."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                part = whole.slice(at, 1024)
+                own, (hashes, grams, sizes) = features(part.column("text").to_pylist())
+                ends = np.cumsum([0, *(len(w) for w, _ in own)])
+                words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in own)]).view(np.int64)
+                counts = np.concatenate([np.zeros(0, np.int32), *(c for _, c in own)])
+                none = pa.nulls(1, pa.int64())
+                lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(ends[1:] - ends[:-1]), part.column("doc_id").cast(pa.string()), part.column("toxic").cast(pa.int64()), lists(words, ends), lists(counts, ends), pa.nulls(part.num_rows, pa.list_(pa.int32()))], names=_FEATURES)
+                yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.string()), none, lists(hashes.view(np.int64), [0, len(hashes)]), lists(sizes, [0, len(sizes)]), lists(grams, [0, len(grams)])], names=_FEATURES)
+
+    made = common.staged(rows.mapInArrow(counted, "pairs long, doc_id string, toxic long, hashes array<long>, counts array<int>, grams array<int>"), "toxicity-features")
+    # a window over at most train_rows rows: texts count, in the hashes' order, while all their pairs are within train_pairs
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = made.where("doc_id is not null").select("doc_id", F.sum("pairs").over(order).alias("so_far")).where(F.col("so_far") <= train_pairs).select("doc_id")
+    taken = made.where("doc_id is not null").join(F.broadcast(taken), "doc_id", "left_semi").select(_FEATURES)
+
     def learn(batches):
-        parts = [b for b in batches if b.num_rows]
-        own = pa.Table.from_batches(parts).sort_by("doc_id") if parts else None
-        texts, toxic = (own.column(c).to_pylist() if parts else [] for c in ("text", "toxic"))
-        model = train(texts, [int(x > 0) for x in toxic])
-        del own, texts, toxic
+        got, labels = Features(), []
+        for batch in batches:
+            ids, labels_of, hashes, counts, grams = (batch.column(c) for c in _FEATURES[1:])
+            for i in range(batch.num_rows):
+                values = [np.array(x[i].values) for x in (hashes, counts)]
+                if ids[i].is_valid:
+                    labels.append((ids[i].as_py(), labels_of[i].as_py(), len(got.words)))
+                    got.words.append(values[0].view(np.uint64))
+                    got.counts.append(values[1])
+                else:
+                    got.add_words(values[0].view(np.uint64), grams[i].values.to_numpy(), values[1])
+        labels.sort()
+        order = [k for _, _, k in labels]
+        got.words, got.counts = [got.words[k] for k in order], [got.counts[k] for k in order]
+        model = train_bag(got.bag(), np.array([x > 0 for _, x, _ in labels], np.float64))
         common.trimmed()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    # one task trains: the rows are bounded, and if its executor is lost another one repeats it
-    found = rows.coalesce(1).mapInArrow(learn, "model binary").first()
+    # one task trains on counted features: rows and pairs are bounded, and if its executor is lost another one repeats it
+    found = taken.unionByName(made.where("doc_id is null")).coalesce(1).mapInArrow(learn, "model binary").first()
     return pickle.loads(found["model"]) if found else train([], [])
 
 
