@@ -68,3 +68,41 @@ def test_merge_never_loses_order_or_prefixes():
     merged = [(e[0], e[1]) for e in repeats.LoserTree([entries(r) for r in runs])]
     assert [k for k, _ in merged] == keys
     assert [n for _, n in merged] == [0, *(repeats._shared(a, b, 0) for a, b in zip(keys, keys[1:], strict=False))]
+
+
+def test_hot_seeds_are_counted_by_their_strings_over_many_partitions(spark):
+    rng = random.Random(11)
+    line = lambda k: "".join(rng.choice("abcdefgh \n") for _ in range(k))
+    shared, copy = line(130), line(400)
+    data = [line(rng.randint(0, 150)) + shared + line(rng.randint(0, 150)) for _ in range(300)] + [copy] * 50 + [None, "", line(500)]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(40)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "53")
+    try:
+        got = Counter((bytes(r.kept), r.n_bytes, r.n_removed, r.n_spans) for r in repeats.cleaned(df, 100, 16, 20).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == Counter(brute(data, 100))
+
+
+def test_equal_hashes_of_unequal_strings_are_told_apart():
+    data = np.frombuffer(b"abcabdabcabe" * 3, np.uint8)
+    raw, n = data.tobytes(), len(data) - 3
+    want, last = [], {}
+    for i in range(n + 1):
+        want.append(last.get(raw[i : i + 3], -1))
+        last[raw[i : i + 3]] = i
+    exact = np.array([hash(raw[i : i + 3]) & 0xFFFF_FFFF for i in range(n + 1)], np.uint64)
+    assert repeats._earlier(data, exact, 3).tolist() == want
+    assert repeats._earlier(data, exact % np.uint64(2), 3).tolist() == want
+
+
+def test_remaining_text_is_a_column(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(450))
+    df = spark.createDataFrame([(1, "é" + text + "own"), (2, text), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.digest(df).collect()}
+    assert (got[1].text, got[2].text, got[3].text) == ("éown", "", "")
+    # the second byte of two characters agrees, the first does not
+    df = spark.createDataFrame([(1, "\u00e9" + "x" * 0 + text), (2, "\u0169" + text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.digest(df).collect()}
+    assert got[1].n_removed == got[2].n_removed == 451 and got[1].text == "\ufffd"

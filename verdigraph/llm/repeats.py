@@ -2,8 +2,8 @@
 
 Every byte that a repeated string of `length` bytes covers goes. Suffixes are sorted at anchors only: the
 least-hash seeds of sliding windows, of which each such string holds at least one, at a place that depends on
-nothing but the string. Anchors whose seed stands nowhere else are left out by a bitmap of fixed size; a wrong
-bit only costs work. The steps:
+nothing but the string. Anchors whose seed stands nowhere else are left out by a bitmap that is sized by the number
+of repeated seeds, up to a bound; a wrong bit only costs work. The steps:
 
 * Each map task sorts its anchors' suffixes (seed hash, bytes to the right as far as the anchor's strings reach,
   then the bytes to the left, reversed), cuts the sorted run at the ranges' borders and front-codes the pieces:
@@ -14,6 +14,8 @@ bit only costs work. The steps:
   it: the bytes that two share to the right and to the left of their anchors are a repeat. Where more than NEAR
   suffixes share enough, the strings that only a farther one can repeat, and that none of the near ones already
   stands for, are sent on and counted by 128-bit hashes.
+* A seed that very many anchors share would make one range larger than all others. The strings of its anchors are
+  counted by their 128-bit hashes at once, with map-side combining, so no task holds such a group.
 
 Texts are told apart by their digest, so copies of a text share their result and no row numbers are needed.
 """
@@ -33,7 +35,10 @@ from verdigraph.llm import common
 
 LENGTH = 400
 SEED = 64
-FILTER_BITS = 1 << 27
+#: Bits of the seeds' bitmap per repeated seed, and the most bits it may have.
+SEED_BITS, FILTER_BITS = 16, 1 << 28
+#: A seed with more anchors is hot; as many seeds as this can be hot at most, beyond that the first number grows.
+HOT, MOST_HOT = 50_000, 1_000_000
 RANGE_BYTES = 8 << 20
 RUN_BYTES = 32 << 20
 #: Distinct suffixes in front that a suffix is compared with directly.
@@ -57,6 +62,28 @@ def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], front[width - 1 : n])
 
 
+def _earlier(data: np.ndarray, hashes: np.ndarray, length: int) -> np.ndarray:
+    """Where each string of `length` bytes stood last before, or -1. Equal hashes only propose: the bytes decide."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    before = np.full(len(hashes), -1, np.int64)
+    before[order[same + 1]] = order[same]
+    at = np.flatnonzero(before >= 0)
+    if not len(at):
+        return before
+    cut = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(before[at]) != 1)])
+    for s, e in zip(at[cut].tolist(), at[np.r_[cut[1:], len(at)] - 1].tolist(), strict=True):  # successive strings that stood before in succession
+        was = int(before[s])
+        if not np.array_equal(data[s : e + length], data[was : was + e - s + length]):
+            raw, last = data.tobytes(), {}  # unequal strings with one hash: built on purpose
+            for i in range(len(hashes)):
+                key = xxhash.xxh3_128_digest(raw[i : i + length])
+                before[i] = last.get(key, -1)
+                last[key] = i
+            break
+    return before
+
+
 class Anchors:
     """Anchors of a run of documents: seed hash, place, and the starts (low to high, inclusive) of the strings they stand for."""
 
@@ -65,10 +92,11 @@ class Anchors:
         self.seeds = self.place = self.low = self.high = self.doc = np.zeros(0, np.int64)
         if n < length:
             return
+        self.data = data
         self.sums = common.prefix(data, _BASE)
         first = np.arange(n - seed + 1)
         h = common.window(self.sums, first, first + seed, _BASE)
-        bits = np.uint64(max(20, int(n).bit_length()))
+        bits = np.uint64(32)  # whatever the run's size: the choice between seeds must depend on the string alone
         least = _sliding_least((h >> bits << bits) | first.astype(np.uint64), length - seed + 1)
         anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         sizes = np.maximum(np.diff(offsets) - length + 1, 0)
@@ -90,11 +118,14 @@ class Anchors:
         count = np.bincount(self.doc, minlength=len(offsets) - 1)
         keep, marks = np.ones(len(self.place), bool), []
         for d in np.flatnonzero(count * _DENSE > np.diff(offsets)).tolist():
-            s = np.arange(offsets[d], offsets[d + 1] - length + 1)
-            _, first, inverse, times = np.unique(common.window(self.sums, s, s + length, _BASE), return_index=True, return_inverse=True, return_counts=True)
-            repeated = np.flatnonzero(times[inverse] > 1)
+            n = int(offsets[d + 1] - offsets[d]) - length + 1
+            before = _earlier(self.data[offsets[d] : offsets[d + 1]], common.window(self.sums, np.arange(n) + offsets[d], np.arange(n) + offsets[d] + length, _BASE), length)
+            twice = before >= 0
+            first = np.flatnonzero(~twice)
+            twice[before[twice]] = True
+            repeated = np.flatnonzero(twice)
             marks += [(d, int(a), int(b)) for a, b in common.ranges(repeated, repeated + length)]
-            new = np.zeros(len(s) + 1, np.int64)
+            new = np.zeros(n + 1, np.int64)
             new[first + 1] = 1
             new = np.cumsum(new)
             own = np.flatnonzero(self.doc == d)
@@ -195,8 +226,9 @@ def _run(payload: np.ndarray, rest: bytes):
         yield [before, lcp, (raw[16 * i : 16 * i + 16], places[i], right[i])]
 
 
-def _exchanged(bits: np.ndarray | None, n_ranges: int, length: int, seed: int):
-    """Map side: front-coded sorted runs of the anchors whose seeds pass the bitmap, cut at the ranges' borders."""
+def _exchanged(bits: np.ndarray | None, hot: np.ndarray, n_ranges: int, length: int, seed: int):
+    """Map side: front-coded sorted runs of the anchors whose seeds pass the bitmap and are not hot, cut at the ranges' borders.
+    What texts repeat of themselves goes along with negative range numbers."""
 
     def cut_run(keys: list[bytes], rows: list[tuple], out: list[list]) -> None:
         order = sorted(range(len(keys)), key=keys.__getitem__)
@@ -231,7 +263,7 @@ def _exchanged(bits: np.ndarray | None, n_ranges: int, length: int, seed: int):
                     return digests[d]
 
                 marks += [(digest(d), s, e) for d, s, e in anchors.settle(at, length)]
-                for i in np.flatnonzero(_passes(bits, anchors.seeds)).tolist() if len(anchors.place) else ():
+                for i in np.flatnonzero(_passes(bits, anchors.seeds) & ~np.isin(anchors.seeds, hot)).tolist() if len(anchors.place) else ():
                     d, a, low, high = int(anchors.doc[i]), int(anchors.place[i]), int(anchors.low[i]), int(anchors.high[i])
                     keys.append(int(anchors.seeds[i]).to_bytes(8, "big") + raw[a : high + length] + raw[low:a][::-1])
                     rows.append((digest(d), a - int(at[d]), high + length - a))
@@ -241,7 +273,7 @@ def _exchanged(bits: np.ndarray | None, n_ranges: int, length: int, seed: int):
                     held = 0
             cut_run(keys, rows, out)
             if marks:
-                for column, value in zip(out, (-1, np.array(marks, _MARK).tobytes(), b""), strict=True):
+                for column, value in zip(out, (-1 - xxhash.xxh32_intdigest(marks[0][0]) % n_ranges, np.array(marks, _MARK).tobytes(), b""), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["range", "payload", "rest"])
 
@@ -251,10 +283,35 @@ def _exchanged(bits: np.ndarray | None, n_ranges: int, length: int, seed: int):
 def _passes(bits: np.ndarray | None, seeds: np.ndarray) -> np.ndarray:
     if bits is None:
         return np.ones(len(seeds), bool)
-    place = (seeds & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    place = (seeds & np.uint64(64 * len(bits) - 1)).astype(np.int64)
     return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def _hot_strings(hot: np.ndarray, length: int, seed: int):
+    """(text, start, h1, h2) of every string that an anchor with a hot seed stands for."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = common.utf8(batch.column("text"))
+            for first, last in common.chunks(offsets):
+                own, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                anchors = Anchors(own, at, length, seed)
+                anchors.settle(at, length)
+                texts, starts, digests = [], [], []
+                raw = own.tobytes() if len(anchors.place) else b""
+                for i in np.flatnonzero(np.isin(anchors.seeds, hot)).tolist() if raw else ():
+                    d = int(anchors.doc[i])
+                    text = hashlib.md5(raw[at[d] : at[d + 1]]).digest()
+                    for s in range(int(anchors.low[i]), int(anchors.high[i]) + 1):
+                        texts.append(text)
+                        starts.append(s - int(at[d]))
+                        digests.append(xxhash.xxh3_128_digest(raw[s : s + length]))
+                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(starts, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["text", "start", "h1", "h2"])
+
+    return run
+
+
 _FOUND = "text binary, start long, end long, h1 long, h2 long"
 
 
@@ -362,7 +419,7 @@ def _merged(length: int, near: int):
     return run
 
 
-def marked(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFrame:
+def marked(docs: DataFrame, length: int = LENGTH, near: int = NEAR, hot: int = HOT) -> DataFrame:
     """(digest, ranges): per text that holds repeats, by the md5 of its bytes, the byte ranges of repeated strings.
 
     Null and short texts hold none. Ranges may overlap; their number is bounded by the text's own length.
@@ -383,31 +440,38 @@ def marked(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFrame
 
     counts = texts.mapInArrow(seeds, "seed long").groupBy("seed").count().where("count > 1")
     counts = common.staged(counts, "repeated-seeds")
-    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    place = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
+    total, n_seeds = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    size = max(1 << 16, min(FILTER_BITS, 1 << (SEED_BITS * n_seeds).bit_length()))
+    place = F.col("seed").bitwiseAND(F.lit(size - 1))
     words = counts.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
-    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits = np.zeros(size >> 6, np.uint64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(bits)
+    many = counts.where(F.col("count") > max(hot, total // MOST_HOT)).select("seed").toArrow().column("seed").to_numpy().view(np.uint64)  # MOST_HOT rows at most
+    sent = spark.sparkContext.broadcast((bits, many))
     n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 1.5 * length / RANGE_BYTES))
-    runs = texts.mapInArrow(lambda batches: _exchanged(sent.value, n_ranges, length, seed)(batches), "range int, payload binary, rest binary")
+    runs = texts.mapInArrow(lambda batches: _exchanged(*sent.value, n_ranges, length, seed)(batches), "range int, payload binary, rest binary")
     found = common.staged(runs.repartition(n_ranges, "range").mapInArrow(_merged(length, near), _FOUND), "repeat-candidates")
 
     strings = found.where("h1 is not null").select("text", "start", "h1", "h2")
-    twice = strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    if len(many):  # copies of a text send the same rows, which combine before they are counted
+        strings = strings.unionByName(texts.mapInArrow(lambda batches: _hot_strings(sent.value[1], length, seed)(batches), "text binary, start long, h1 long, h2 long"))
+        strings = common.staged(strings.groupBy("text", "start", "h1", "h2").agg(F.count("*").alias("n")), "repeat-strings")
+    else:
+        strings = strings.withColumn("n", F.lit(1).cast("long"))
+    twice = strings.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
     repeated = strings.hint("merge").join(twice, ["h1", "h2"]).select("text", "start", (F.col("start") + length).alias("end"))
     whole = found.where("h1 is null").select("text", "start", "end")
     return repeated.unionByName(whole).groupBy(F.lower(F.hex("text")).alias("digest")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, near: int = NEAR, hot: int = HOT) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row of docs.
 
     Null texts are empty; repeated rows are documents of their own, so their texts repeat each other; kept are the
     remaining bytes, which need not be whole characters where a repeat begins or ends inside one.
     """
     rows = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    found = common.staged(marked(docs, length, near), "repeat-ranges")  # a join of two exchanges, so that copies of one text can be split
+    found = common.staged(marked(docs, length, near, hot), "repeat-ranges")  # a join of two exchanges, so that copies of one text can be split
     joined = rows.hint("merge").join(found, "digest", "left").select("doc_id", "text", "ranges")
 
     def run(batches):
@@ -439,5 +503,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, near: int = NEAR) -> DataFram
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns for every row of docs."""
-    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns for every row of docs, and `text`, what remains of it. Where a repeat begins or ends
+    inside a character, the rest of that character reads as U+FFFD in `text`; kept_sha256 is of the bytes themselves."""
+    out = cleaned(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.expr("make_valid_utf8(cast(kept as string))").alias("text"))
