@@ -1,4 +1,6 @@
 import math
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,16 +23,72 @@ def test_parts_entities_and_white_space():
     assert extract.Page("<div>" * 3000 + "deep").text() == "deep"
 
 
-def test_composite_importance_by_hand():
-    nodes = [
-        {"node": 0, "parent": 0, "pages": 4, "styles": 1, "presentation": 0.0, "content": None},
-        {"node": 1, "parent": 0, "pages": 4, "styles": 2, "presentation": 0.5, "content": 1.0},
-        {"node": 2, "parent": 0, "pages": 4, "styles": 1, "presentation": 0.0, "content": 0.0},
-    ]
-    got = extract.importances(nodes)
-    one = (1 - 0.81) * 0.5 + 0.81 * 1.0
-    assert math.isclose(got[1], one) and got[2] == 0.0
-    assert math.isclose(got[0], 0.9 * (one + 0.0) / 2)
+def brute_scores(pages):
+    """The style tree of one host, from the pages' statistics, by recursion."""
+    stats = [extract.page_statistics(extract.Page(html)) for html in pages]
+    info, styles, segments, named = {}, {}, {}, {}
+    for nodes, content in stats:
+        for node, (parent, depth, style, _, name) in nodes.items():
+            info[node] = (parent, depth)
+            styles.setdefault(node, []).append(style)
+            named[node] = named.get(node, 0) + name
+        for (node, segment), times in content.items():
+            segments.setdefault(node, {}).setdefault(segment, []).append(times)
+    entropy = lambda counts: -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+    importance = {}
+    for node in sorted(info, key=lambda n: -info[n][1]):
+        m, kinds = len(styles[node]), Counter(styles[node])
+        presentation = entropy(list(kinds.values())) / math.log(m) if m > 1 else 1.0
+        below = [(len(styles[c]), importance[c]) for c in info if info[c][0] == node and c != node]
+        if node in segments:
+            spread = [entropy(t) / math.log(m) if m > 1 else 0.0 for t in segments[node].values()]
+            below.append((m, 1 - sum(spread) / len(spread)))
+        inner = sum(p * x for p, x in below) / sum(p for p, _ in below) if below else 1.0
+        importance[node] = (1 - 0.9 ** len(kinds)) * presentation + 0.9 ** len(kinds) * inner
+    out = {}
+    for node, x in importance.items():
+        m = len(styles[node])
+        out[node] = (x, (m / (m + 2) * x + 2 / (m + 2)) * (1 - 0.85 * named[node] / m))
+    return out
+
+
+def test_style_tree_against_recursion(spark):
+    hosts = {"a.x": [page(i, f"<nav><a href=/>Home</a></nav><article><h1>T {i}</h1>{'<p>own %d</p>' % i * (i % 4)}</article><div class=box><p>same</p></div>") for i in range(12)], "b.x": [page(i, f"<div><p>only {i}</p><p>x</p></div>") for i in range(3)]}
+    rows = [(f"http://{h}/{i}", html) for h, pages in hosts.items() for i, html in enumerate(pages)]
+    got = extract.style_tree(spark.createDataFrame(rows, "url string, html string")).collect()
+    for h, pages in hosts.items():
+        want, own = brute_scores(pages), {r.node: r for r in got if r.host == h}
+        assert set(own) == set(want)
+        for node, (importance, score) in want.items():
+            assert own[node].importance == pytest.approx(importance) and own[node].score == pytest.approx(score)
+
+
+def test_tree_removes_the_parts_of_the_standard_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.host: (frozenset(r.removed), frozenset(r.kept)) for r in extract.verdicts(pages).collect()}
+    rows = pages.withColumn("host", extract.host()).collect()
+    changed = 0
+    for r in rows:
+        p = extract.Page(r.html or "")
+        raw, own = p.text(frozenset(), frozenset(p.nodes)), p.text(*found.get(r.host, ((), ())))
+        removed = frozenset(found.get(r.host, ((), ()))[0])
+        changed += raw != p.text(removed, frozenset(p.nodes) - removed)
+        article = extract.Page(r.html[r.html.index("<article>") : r.html.index("</article>")]).text()
+        assert own == article
+    assert changed > 0.9 * len(rows)
+
+
+def test_hostile_pages():
+    words = "The text of this page is long enough to be most of it."
+    assert extract.Page("<p>a</p><![foo[ x><script>evil()</script><nav>menu</nav><p>b</p>").text() == "a\n\nb"
+    assert extract.Page(f"<div class='search-results-article'><p>{words}</p></div>").text() == words
+    assert extract.Page(f"<p>{words}</p><article><p>{words}</p></article>").text() == f"{words}\n\n{words}"
+    began = time.time()
+    deep = extract.Page("<div>a" * 50_000)
+    assert len(deep.text().split("\n\n")) == 50_000 and len(deep.nodes) <= extract.MOST_DEPTH + 1
+    assert len(extract.page_statistics(deep)[0]) <= extract.MOST_DEPTH + 1
+    assert extract.Page("<nav>x" * 20_000 + "</nav>" * 20_000 + "</b>" * 20_000 + "<p>end").text() == "end"
+    assert time.time() - began < 20
 
 
 @pytest.mark.parametrize("most", [1_000_000, 0])
