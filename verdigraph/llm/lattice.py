@@ -1,13 +1,15 @@
 """Language-model scores by subword lattices: the probability of a text summed over all its segmentations.
 
-The vocabulary is that of an existing tokenizer. Its stored scores are ranks; as weights 1 / (rank + c) they are
-the prior of a unigram distribution over pieces, which expected piece counts over the distinct words of all
-training texts update (one step of expectation and maximisation after a start from the tokenizer's own
-segmentations). No piece crosses a word, so a text's probability is the product of its words' and of the end's,
-and a word's is the sum over the paths of its lattice: a forward recursion in log space, run once for every
-distinct word. A character without a piece, like any other, can also be spelled by its byte pieces. A training
-word is one more arc of its own lattice, from end to end, whose weight is its discounted count; what the
-discount takes from all words is the weight of the way through the pieces.
+The vocabulary is that of an existing tokenizer. No unigram model is at hand whose scores are log probabilities: this
+one's scores are ranks, and 1 / (rank + c) is the prior of a unigram distribution over pieces and the end of a text,
+which expected piece counts over all training words update (one step of expectation and maximisation after a start
+from the tokenizer's own segmentations). No piece crosses a word, so a text's probability is the product of its
+words' and of the end's, and a word's is the sum over the paths of its lattice: a forward recursion in log space, run
+once for every distinct word, over many words of one length at a time. A character without a piece, like any other,
+can also be spelled by its byte pieces.
+
+A second column, mixed_score, gives each training word one more arc of its own lattice, from end to end, whose weight
+is its discounted count; what the discount takes from all words is the weight of the way through the pieces.
 
 Counts and word probabilities meet the texts in two ways: the most frequent words, a table of bounded size, are
 broadcast; all other words of a text are joined by the word. The result is the same for any split of the two.
@@ -18,9 +20,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,6 +40,9 @@ RANK_SHIFT = 10.0
 #: What each training word's count gives to the ways through the pieces.
 DISCOUNT = 0.7
 _SLICE, _FLUSH = 512, 300_000
+#: Characters whose lattices are held at a time, and the length from which a word is passed over in blocks.
+_CHARS, _LONG = 1 << 16, 256
+_BASE = 0x9E3779B97F4A7C15
 _MARK = "▁"
 
 
@@ -71,63 +76,158 @@ class Lattice:
     """Marginal log probabilities (natural) of words under piece log probabilities, and expected piece counts."""
 
     def __init__(self, vocabulary: Vocabulary, log_p: np.ndarray) -> None:
-        self.size = vocabulary.size
-        self.pieces = ahocorasick.Automaton()
+        self.size, self.log_p = vocabulary.size, np.asarray(log_p, np.float64)
+        self.byte_ids = np.array(vocabulary.bytes)
+        self.spelled = self.log_p[self.byte_ids]
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # per length: hashes (sorted), ids, code points
+        by_length: dict[int, list[int]] = {}
         for i in vocabulary.plain:
-            piece = vocabulary.pieces[i]
-            self.pieces.add_word(piece, (len(piece), i, float(log_p[i])))
-        self.pieces.make_automaton()
-        self.bytes, self.spelled = vocabulary.bytes, [float(log_p[i]) for i in vocabulary.bytes]
-        self.chars: dict[str, float] = {}
-
-    def spelling(self, char: str) -> float:
-        found = self.chars.get(char)
-        if found is None:
-            found = self.chars[char] = sum(self.spelled[b] for b in char.encode())
-        return found
-
-    def arcs(self, text: str) -> list[list[tuple[int, int, float]]]:
-        """Per end of an arc: its start, its piece (-1: the character's bytes) and its log probability."""
-        out = [[(i, -1, self.spelling(char))] for i, char in enumerate(text)]
-        for end, (size, piece, p) in self.pieces.iter(text):
-            out[end].append((end + 1 - size, piece, p))
+            by_length.setdefault(len(vocabulary.pieces[i]), []).append(i)
+        for n, ids in by_length.items():
+            codes = np.frombuffer("".join(vocabulary.pieces[i] for i in ids).encode("utf-32-le"), np.uint32)
+            at = np.arange(0, len(codes), n)
+            h = common.window(common.prefix(codes, _BASE), at, at + n, _BASE)
+            order = np.argsort(h)
+            self.tables[n] = (h[order], np.array(ids)[order], codes.reshape(-1, n)[order])
+        self.longest = max(self.tables, default=1)
+
+    def spelling(self, codes: np.ndarray) -> np.ndarray:
+        """Log probabilities of characters as byte pieces."""
+        distinct, inverse = np.unique(codes, return_inverse=True)
+        return np.array([sum(self.spelled[b] for b in chr(c).encode()) for c in distinct.tolist()])[inverse].reshape(codes.shape)
+
+    def arcs(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """words: code points, a row a word of the same length. Per piece length, the piece that ends at each place, or -1."""
+        w, n = words.shape
+        flat = np.ascontiguousarray(words).ravel()
+        sums, out = common.prefix(flat, _BASE), {}
+        for k, (hashes, ids, codes) in self.tables.items():
+            if k > n:
+                continue
+            first = (np.arange(w)[:, None] * n + np.arange(n - k + 1)).ravel()
+            h = common.window(sums, first, first + k, _BASE)
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == h)
+            hit = hit[(flat[first[hit][:, None] + np.arange(k)] == codes[at[hit]]).all(1)]
+            if len(hit):
+                out[k] = np.full((w, n), -1, np.int32)
+                out[k].ravel()[first[hit] + k - 1] = ids[at[hit]]
         return out
 
-    @staticmethod
-    def forward(arcs: list[list[tuple[int, int, float]]]) -> list[float]:
-        """Log probabilities of all ways to each place."""
-        alpha = [0.0]
-        exp, log = math.exp, math.log
-        for into in arcs:
-            if len(into) == 1:
-                alpha.append(alpha[into[0][0]] + into[0][2])
+    def forward(self, words: np.ndarray, arcs: dict[int, np.ndarray], spelled: np.ndarray) -> np.ndarray:
+        """Log probabilities of all ways to each place of each word."""
+        w, n = words.shape
+        alpha = np.zeros((n + 1, w))
+        for end in range(1, n + 1):
+            ways = [alpha[end - 1] + spelled[:, end - 1]]
+            for k, ids in arcs.items():
+                own = ids[:, end - 1]
+                if k <= end and (own >= 0).any():
+                    ways.append(np.where(own >= 0, alpha[end - k] + self.log_p[own], -np.inf))
+            if len(ways) == 1:
+                alpha[end] = ways[0]
             else:
-                x = [alpha[a] + p for a, _, p in into]
-                top = max(x)
-                alpha.append(top + log(sum([exp(y - top) for y in x])))
+                ways = np.stack(ways)
+                top = ways.max(0)
+                alpha[end] = top + np.log(np.exp(ways - top).sum(0))
         return alpha
 
+    def _rows(self, words: pa.Array):
+        """(places of words in the column, their code points, a row a word), words of one length together."""
+        marked = pc.binary_join_element_wise(pa.scalar(_MARK), words, "")
+        codes = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), np.uint32)
+        sizes = pc.utf8_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        for n in np.unique(sizes).tolist():
+            own = order[np.searchsorted(sizes[order], n) : np.searchsorted(sizes[order], n, "right")]
+            step = max(1, _CHARS // n)
+            for at in range(0, len(own), step):
+                part = own[at : at + step]
+                yield part, codes[starts[part][:, None] + np.arange(n)]
+
+    def _blocks(self, codes: np.ndarray):
+        """A long word in blocks of places: (first place, arcs that end there as [(length, piece)], spellings)."""
+        for first in range(0, len(codes), _CHARS):
+            yield self._block(codes, first)
+
+    def _block(self, codes: np.ndarray, first: int):
+        lead = min(first, self.longest - 1)
+        part = codes[None, first - lead : first + _CHARS]
+        into: list[list[tuple[int, int]]] = [[] for _ in range(part.shape[1] - lead)]
+        for k, ids in self.arcs(part).items():
+            for at in np.flatnonzero(ids[0, lead:] >= 0).tolist():
+                into[at].append((k, int(ids[0, lead + at])))
+        return first, into, self.spelling(part[0, lead:])
+
+    def _forward_long(self, codes: np.ndarray) -> np.ndarray:
+        alpha, exp, log = [0.0], math.exp, math.log
+        for _, into, spelled in self._blocks(codes):
+            for arcs, own in zip(into, spelled.tolist(), strict=True):
+                ways = [alpha[-1] + own, *(alpha[-k] + self.log_p[i] for k, i in arcs)]
+                top = max(ways)
+                alpha.append(top + log(sum([exp(x - top) for x in ways])))
+        return np.array(alpha)
+
+    def scores(self, words: pa.Array) -> np.ndarray:
+        """Log probability of all ways through the pieces, for each word of a column."""
+        out = np.zeros(len(words))
+        for own, codes in self._rows(words):
+            if codes.shape[1] > _LONG:
+                for i, row in zip(own.tolist(), codes, strict=True):
+                    out[i] = self._forward_long(row)[-1]
+            else:
+                out[own] = self.forward(codes, self.arcs(codes), self.spelling(codes))[-1]
+        return out
+
     def word(self, word: str) -> float:
-        """Log probability of all ways through the pieces."""
-        return self.forward(self.arcs(_MARK + word))[-1]
-
-    def expected(self, word: str, into: list[float]) -> None:
-        """Adds to `into` how often each piece is expected in the word."""
-        text = _MARK + word
-        arcs = self.arcs(text)
-        alpha = self.forward(arcs)
-        share = [0.0] * len(alpha)  # the probability that a segmentation passes a place
-        share[-1] = 1.0
-        for end in range(len(arcs), 0, -1):
-            if share[end] > 1e-12:
-                for start, piece, p in arcs[end - 1]:
-                    q = share[end] * math.exp(alpha[start] + p - alpha[end])
-                    share[start] += q
-                    if piece >= 0:
-                        into[piece] += q
-                    else:
-                        for b in text[start].encode():
-                            into[self.bytes[b]] += q
+        return float(self.scores(pa.array([word], pa.string()))[0])
+
+    def expected(self, words: pa.Array, times: np.ndarray, into: np.ndarray) -> None:
+        """Adds to `into` how often each piece is expected in the words, each of which stands there `times` times."""
+
+        def spell(codes: np.ndarray, weights: np.ndarray) -> None:
+            distinct, inverse = np.unique(codes, return_inverse=True)
+            for c, x in zip(distinct.tolist(), np.bincount(inverse, weights).tolist(), strict=True):
+                for b in chr(c).encode():
+                    into[self.byte_ids[b]] += x
+
+        for own, codes in self._rows(words):
+            if codes.shape[1] > _LONG:
+                for i, row in zip(own.tolist(), codes, strict=True):
+                    self._expected_long(row, float(times[i]), into, spell)
+                continue
+            arcs, spelled = self.arcs(codes), self.spelling(codes)
+            alpha, n = self.forward(codes, arcs, spelled), codes.shape[1]
+            share = np.zeros_like(alpha)  # how often a segmentation passes a place
+            share[n] = times[own]
+            for end in range(n, 0, -1):
+                q = share[end] * np.exp(alpha[end - 1] + spelled[:, end - 1] - alpha[end])
+                share[end - 1] += q
+                spell(codes[:, end - 1], q)
+                for k, ids in arcs.items():
+                    here = ids[:, end - 1]
+                    hit = np.flatnonzero(here >= 0) if k <= end else ()
+                    if len(hit):
+                        q = share[end, hit] * np.exp(alpha[end - k, hit] + self.log_p[here[hit]] - alpha[end, hit])
+                        share[end - k, hit] += q
+                        into[: self.size] += np.bincount(here[hit], q, self.size)
+
+    def _expected_long(self, codes: np.ndarray, times: float, into: np.ndarray, spell) -> None:
+        alpha, share = self._forward_long(codes), np.zeros(len(codes) + 1)
+        share[-1] = times
+        for first in range((len(codes) - 1) // _CHARS * _CHARS, -1, -_CHARS):
+            _, arcs, spelled = self._block(codes, first)
+            by_bytes = np.zeros(len(spelled))
+            for at in range(len(spelled) - 1, -1, -1):
+                end = first + at + 1
+                by_bytes[at] = q = share[end] * math.exp(alpha[end - 1] + spelled[at] - alpha[end])
+                share[end - 1] += q
+                for k, i in arcs[at]:
+                    q = share[end] * math.exp(alpha[end - k] + self.log_p[i] - alpha[end])
+                    share[end - k] += q
+                    into[i] += q
+            spell(codes[first : first + len(spelled)], by_bytes)
 
 
 def fold():
@@ -163,46 +263,47 @@ def _counted(batches):
     yield flush()
 
 
-def _learned(words: DataFrame, model: bytes) -> np.ndarray:
-    """Piece log probabilities from all distinct training words: the tokenizer's segmentations, then one EM step."""
+def _learned(words: DataFrame, ends: int, model: bytes) -> np.ndarray:
+    """Log probabilities of pieces and of the end (the last) from all training words (word, train) and the number of
+    texts: the tokenizer's segmentations, then one EM step."""
 
     def summed(count):
         def run(batches):
             v, seen = Vocabulary(model), None
+            seen = np.zeros(v.size)
             for batch in batches:
-                seen = count(v, batch.column("word").to_pylist(), seen)
-            seen = np.zeros(v.size) if seen is None else np.array(seen)
+                for at in range(0, batch.num_rows, 8192):
+                    part = batch.slice(at, 8192)
+                    count(v, part.column("word"), part.column("train").to_numpy().astype(np.float64), seen)
             known = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(seen[known], pa.float64())], names=["piece", "times"])
 
         seen = np.zeros(own.size + 1)
         for r in words.mapInArrow(run, "piece int, times double").groupBy("piece").agg(F.sum("times").alias("times")).collect():  # a row per piece at most
             seen[r.piece] = r.times
+        seen[own.size] = ends
         return own.log_probabilities(seen)
 
-    def segmented(v, texts, seen):
-        for at in range(0, len(texts), 4096):
-            ids = v.processor.encode(texts[at : at + 4096], num_threads=1)
-            now = np.bincount(np.fromiter((i for x in ids for i in x), np.int64), minlength=v.size)
-            seen = now if seen is None else seen + now
-        return seen
+    def segmented(v, texts, times, seen):
+        ids = v.processor.encode(texts.to_pylist(), num_threads=1)
+        each = np.fromiter((i for x in ids for i in x), np.int64)
+        seen += np.bincount(each, np.repeat(times, [len(x) for x in ids]), v.size)
 
     own = Vocabulary(model)
     first = words.sparkSession.sparkContext.broadcast(summed(segmented))
 
-    def weighed(v, texts, seen):
+    def weighed(v, texts, times, seen):
         if not hasattr(v, "lattice"):
             v.lattice = Lattice(v, first.value)
-        seen = [0.0] * v.size if seen is None else seen
-        for text in texts:
-            v.lattice.expected(text, seen)
-        return seen
+        v.lattice.expected(texts, times, seen)
 
     return summed(weighed)
 
 
 def scored(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) of every row of docs.
+
+    score is the marginal over all segmentations into pieces, mixed_score the one with whole-word arcs.
 
     Null and empty texts hold the end alone. A null doc_id is not held out. Repeated rows count as often as they
     stand there and give a row each. Columns of other names are not looked at.
@@ -218,8 +319,8 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
     tokens, distinct = tokens + n_docs, distinct + (n_docs > 0)
     base = lambda c: math.log10((c + 1) / (tokens + distinct + 1))
 
-    sent = spark.sparkContext.broadcast((model, _learned(counts.where("train > 0").select("word"), model)))
-    end_score, end_base, end_known = math.log10(max(n_docs, 1) / max(tokens, 1)), base(n_docs), int(n_docs > 0)
+    sent = spark.sparkContext.broadcast((model, _learned(counts.where("train > 0").select("word", "train"), n_docs, model)))
+    end_score, end_mixed, end_base, end_known = float(sent.value[1][-1]) / math.log(10), math.log10(max(n_docs, 1) / max(tokens, 1)), base(n_docs), int(n_docs > 0)
     floor = DISCOUNT * (distinct - (n_docs > 0)) / max(tokens, 1)  # the weight of the ways through the pieces
 
     def probabilities(batches):
@@ -227,16 +328,16 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
         lattice = Lattice(Vocabulary(model), log_p)
         for batch in batches:
             c = batch.column("train").to_numpy()
-            log_pieces = np.array([lattice.word(w) for w in batch.column("word").to_pylist()], np.float64)
+            log_pieces = np.concatenate([np.zeros(0), *(lattice.scores(batch.column("word").slice(at, 8192)) for at in range(0, batch.num_rows, 8192))])
             with np.errstate(divide="ignore"):
-                score = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / max(tokens, 1)), math.log(floor or 1) + log_pieces) / math.log(10)
+                mixed = np.logaddexp(np.log(np.maximum(c - DISCOUNT, 0) / max(tokens, 1)), math.log(floor or 1) + log_pieces) / math.log(10)
             base = np.log10((c + 1) / (tokens + distinct + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("total"), pa.array(c > 0), pa.array(base), pa.array(score)], names=["word", "total", "known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("total"), pa.array(c > 0), pa.array(base), pa.array(log_pieces / math.log(10)), pa.array(mixed)], names=["word", "total", "known", "base", "score", "mixed"])
 
-    words = counts.mapInArrow(probabilities, "word string, total long, known boolean, base double, score double")
+    words = counts.mapInArrow(probabilities, "word string, total long, known boolean, base double, score double, mixed double")
     words = common.staged(words, "lm-words")
     top = words.orderBy(F.desc("total"), "word").limit(frequent).toArrow()
-    table = {w.encode(): x for w, *x in zip(*(top.column(c).to_pylist() for c in ("word", "known", "base", "score")), strict=True)}
+    table = {w.encode(): x for w, *x in zip(*(top.column(c).to_pylist() for c in ("word", "known", "base", "score", "mixed")), strict=True)}
     common_words = spark.sparkContext.broadcast(table)
 
     def parts(batches):
@@ -244,9 +345,9 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
-                out = {k: [] for k in ("row", "n_tokens", "n_known", "base", "score", "rare")}
+                out = {k: [] for k in ("row", "n_tokens", "n_known", "base", "score", "mixed", "rare")}
                 for all_words in _words(batch.column("text")):
-                    known, base, score, rare = end_known, end_base, end_score, []
+                    known, base, score, mixed, rare = end_known, end_base, end_score, end_mixed, []
                     for w, times in Counter(all_words).items():
                         x = table.get(w)
                         if x is None:
@@ -255,19 +356,20 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
                             known += times * x[0]
                             base += times * x[1]
                             score += times * x[2]
-                    for k, v in zip(out, ((task << 40) + n, len(all_words) + 1, known, base, score, rare), strict=True):
+                            mixed += times * x[3]
+                    for k, v in zip(out, ((task << 40) + n, len(all_words) + 1, known, base, score, mixed, rare), strict=True):
                         out[k].append(v)
                     n += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", "held_out", *out])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = rows.mapInArrow(parts, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:string,times:long>>")
+    texts = rows.mapInArrow(parts, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, mixed double, rare array<struct<word:string,times:long>>")
     texts = common.staged(texts, "lm-texts")
     rare = texts.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times")
-    numbers = words.select("word", "known", F.col("base").alias("b"), F.col("score").alias("s"))
+    numbers = words.select("word", "known", F.col("base").alias("b"), F.col("score").alias("s"), F.col("mixed").alias("m"))
     rare = rare.hint("merge").join(numbers, "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("known").cast("long")).alias("k"), F.sum(F.col("times") * F.col("b")).alias("b"), F.sum(F.col("times") * F.col("s")).alias("s"))
+    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("known").cast("long")).alias("k"), F.sum(F.col("times") * F.col("b")).alias("b"), F.sum(F.col("times") * F.col("s")).alias("s"), F.sum(F.col("times") * F.col("m")).alias("m"))
     out = texts.drop("rare").hint("merge").join(rare, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.select(
@@ -278,4 +380,5 @@ def scored(docs: DataFrame, vocabulary: str = VOCABULARY, frequent: int = FREQUE
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b")).alias("base_score"),
         (F.col("score") + zero("s")).alias("score"),
+        (F.col("mixed") + zero("m")).alias("mixed_score"),
     )
