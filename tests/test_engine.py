@@ -263,6 +263,11 @@ def test_extracted_answers_and_the_whole_way(spark):
     assert [got[q].is_fallback for q in (1, 2, 3, 4)] == [False, True, False, True]
     assert got[4].fallback_department == "rh" and "Recursos Humanos" in got[4].answer and not got[4].citations
     assert got[1].answer.startswith("**Resumo Direto:**") and got[3].confidence_score == 1.0
+    assert [s.chunk_id for s in got[1].sources_used] == [c.chunk_id for c in got[1].citations] and not got[2].sources_used
+    assert got[1].hallucination_check.is_grounded and got[1].hallucination_check.n_sentences > 0 and got[1].hallucination_check.reason is None
+    assert got[2].hallucination_check.reason == "confidence_below_threshold" and not got[2].hallucination_check.is_grounded
+    searched = spark.createDataFrame([(4,)], "q int")
+    assert {r.q: r.outcome for r in plan.answered(asked, hits, catalog(spark), "q", searched=searched).collect()}[4] == "no_rerank_results"
 
     def inventor(rows):
         return answering.extracted(rows, "q").withColumn("answer", F.lit("O prazo de entrega é de 77 dias."))
@@ -279,3 +284,74 @@ def test_hash_embed_covers_whole_documents(spark, tmp_path):
     assert got.keys() == texts.keys()
     for i, t in texts.items():
         assert len(got[i]) == 768 and np.allclose(got[i], dense.hash_embedding(t), atol=1e-6)
+
+
+def test_generators_fall_back_in_order(spark):
+    body = "O prazo de entrega é de 3 dias para todas as lojas."
+    hits = spark.createDataFrame([hit(1, 1, 0.6, text=body), hit(2, 2, 0.5, "g", text=body)])
+
+    def broken(question, context):
+        raise RuntimeError("no quota")
+
+    blank, good = lambda question, context: " ", lambda question, context: f"{question} {context.count('--- DOCUMENTO')}"
+    row = answering.generated(hits, "q", [broken, blank, good]).first()
+    assert row.answer == f"{row.query} 2" and len(row.citations) == 2
+    assert answering.generated(hits, "q", [broken, blank]).first().answer == answering.extracted(hits, "q").first().answer
+
+
+def test_embedding_models_get_batches_and_fall_back(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(70)], "k long, text string").coalesce(1)
+
+    def broken(texts):
+        raise RuntimeError("no quota")
+
+    def short(texts):
+        return [[1.0, 2.0]] * (len(texts) - 1)
+
+    def small(texts):
+        assert len(texts) <= 32
+        return [[float(len(texts)), 0.0]] * len(texts)
+
+    got = {r.k: r.embedding for r in dense.embedded(docs, "k", embed=[broken, short, small]).collect()}
+    assert sorted({v[0] for v in got.values()}) == [6.0, 32.0]
+    got = {r.k: r.embedding for r in dense.embedded(docs, "k", embed=[broken, short]).collect()}
+    assert all(len(v) == 768 for v in got.values())
+
+
+def test_ties_pass_k_rows_only(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i < 2 else [-1.0, 0.1 * i]) for i in range(300)], "v long, embedding array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "q long, embedding array<double>")
+    assert [r.v for r in dense.cosine_top(asked, vectors, "q", "v", 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_chunk_input_and_collections(spark, tmp_path):
+    for nothing in (None, [], "", " ", {}, {"chunk_id": "a"}, 5, [None, {}, {"chunk_id": "a"}]):
+        assert store.chunk_input(spark, nothing).count() == 0
+    rows = [{"chunk_id": "a", "text": "x"}, {"chunk_id": "b", "text": None}, "junk", {"chunk_id": "c", "text": "z", "page_start": 2}]
+    assert sorted(r.chunk_id for r in store.chunk_input(spark, rows).collect()) == ["a", "c"]
+    assert store.chunk_input(spark, rows, -1).count() == 0
+    with pytest.raises(ValueError, match="batch_size"):
+        store.chunk_input(spark, rows, 0)
+    (tmp_path / "chunks.json").write_text('[{"chunk_id": "a", "text": "x"}]')
+    assert store.chunk_input(spark, tmp_path / "chunks.json").count() == 1
+    for path in (None, ":memory:", str(tmp_path / "kept")):
+        own = store.ChunkStore(spark, path)
+        assert own.read().count() == 0
+        assert own.upsert(store.chunk_input(spark, rows)) == 2
+        assert own.upsert(store.chunk_input(spark, [{"chunk_id": "a", "text": "new"}, {"chunk_id": "d", "text": "d"}])) == 3
+        assert {r.chunk_id: r.text for r in own.read().collect()}["a"] == "new"
+        own.clear()
+        assert own.read().count() == 0 and own.upsert(store.chunk_input(spark, rows)) == 2
+    assert store.ChunkStore(spark, str(tmp_path / "kept")).read().count() == 2
+
+
+@pytest.mark.parametrize(
+    ("sentence", "entity", "want"),
+    [
+        ("A escala não é 6x1.", "6x1", True), ("A escala é 6x1.", "6x1", False), ("Nunca a b c d e 6x1", "6x1", True), ("Nunca a b c d e f 6x1", "6x1", False),
+        ("6x1 a b c d proibido", "6x1", True), ("6x1 a b c d e proibido", "6x1", False), ("sem R$ 250,00 de frete", "R$ 250,00", True), ("sem x6x1", "6x1", False), ("", "6x1", False),
+    ],
+)
+def test_denied_mentions(spark, sentence, entity, want):
+    row = spark.createDataFrame([(sentence, entity)], "s string, e string").select(grounding.is_denied(F.col("s"), F.col("e")).alias("x")).first()
+    assert row.x is want

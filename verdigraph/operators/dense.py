@@ -17,6 +17,13 @@ from verdigraph.operators.sparse import top
 BLOCK = 1024
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column, from its values buffer; nulls inside a vector are 0."""
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    values = column.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1)
+
+
 def cosine_top(queries: DataFrame, vectors: DataFrame, query_key: str, key: str, k: int, embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_key, key, dense_score, rank): the k nearest vectors per query by cosine, clamped to 0..1; zero vectors score 0.
 
@@ -37,19 +44,25 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, query_key: str, key: str,
     for b in range(blocks):
         part = numbered.where(F.col("block") == b).toArrow()
         ids = part.column(query_key).to_pylist()
-        q = np.array(part.column(embedding).to_pylist(), np.float64)
+        q = _matrix(part.column(embedding).combine_chunks()) if len(ids) else np.zeros((0, 0))
         sent = spark.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(ids) else q))
 
         def run(batches, sent=sent):
             ids, q = sent.value
             for batch in batches if ids else ():
                 own = batch.column(0).to_pylist()
-                x = np.array(batch.column(1).to_pylist(), np.float64)
+                order = sorted(range(len(own)), key=own.__getitem__)  # ties go to the smaller key
+                own = [own[j] for j in order]
+                x = _matrix(batch.column(1))[order]
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 sim = np.clip(q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T, 0, 1)
-                # ties at the k-th place all pass on, so that the order by key decides between them
-                least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(ids), -1.0)
-                i, j = np.nonzero(sim >= least[:, None] - 1e-9)
+                ranked = np.round(sim, 9)
+                if sim.shape[1] > k:  # k rows pass on: all above the k-th value, and of those that tie with it the first
+                    least = np.partition(ranked, -k, axis=1)[:, -k, None]
+                    above, tie = ranked > least, ranked == least
+                    i, j = np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(axis=1, keepdims=True))))
+                else:
+                    i, j = np.nonzero(np.ones_like(sim, bool))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], kinds[0]), pa.array([own[a] for a in j], kinds[1]), pa.array(sim[i, j])], names=schema.names)
 
         made = rows.mapInArrow(run, schema)
@@ -71,19 +84,30 @@ def hash_embedding(text: str | None, dim: int = 768) -> np.ndarray:
     return total / norm if norm > 0 else total
 
 
-def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 768, embed=None) -> DataFrame:
-    """(key, embedding array<float>) of every row. embed: another function from a list of texts to vectors; a batch that
-    it fails on falls back to the hashed embedding."""
+def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 768, embed=None, batch_size: int = 32) -> DataFrame:
+    """(key, embedding array<float>) of every row. embed: other functions from a list of texts to vectors, one or a list
+    of them. They get batch_size texts at a time; the first that gives as many vectors as texts serves and is asked
+    first from then on; a batch that all fail on falls back to the hashed embedding."""
+    models = [] if embed is None else list(embed) if isinstance(embed, list | tuple) else [embed]
 
     def run(batches):
+        order = list(models)
+
+        def made(texts: list) -> list[np.ndarray]:
+            for model in order:
+                try:
+                    out = [np.asarray(v, np.float32) for v in model(texts)]
+                except Exception:  # an external model may fail in any way
+                    continue
+                if len(out) == len(texts):
+                    order.remove(model)
+                    order.insert(0, model)
+                    return out
+            return [hash_embedding(t, dim).astype(np.float32) for t in texts]
+
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            try:
-                out = [np.asarray(v, np.float32) for v in embed(texts)] if embed else None
-            except Exception:  # an external model may fail in any way
-                out = None
-            if out is None:
-                out = [hash_embedding(t, dim).astype(np.float32) for t in texts]
+            out = [v for at in range(0, len(texts), batch_size) for v in made(texts[at : at + batch_size])]
             ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
             vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.float32), *out])))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])

@@ -1,4 +1,6 @@
-"""BM25 over a batch of queries: statistics by one aggregation, scores by a join of query tokens with postings."""
+"""BM25 over a batch of queries. Texts are cut into tokens once (`indexed`); statistics are one aggregation over the
+staged tokens. The queries' tokens, with their weights, are broadcast while they are few: documents are matched where
+they stand, one exchange by document sums the scores, and only the best rows of a task meet those of other tasks."""
 
 from __future__ import annotations
 
@@ -10,6 +12,10 @@ from pyspark.sql.window import Window
 
 from verdigraph.functions.rules import SearchRules
 from verdigraph.functions.text import search_tokens
+from verdigraph.staging import spread, staged
+
+#: Most (query, token) rows that are broadcast; more of them meet the documents by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -24,6 +30,11 @@ def tokenized(docs: DataFrame, key: str, text: str = "text", rules: SearchRules
     return docs.where(F.col(text).isNotNull()).select(key, search_tokens(F.col(text), rules).alias("tokens"))
 
 
+def indexed(docs: DataFrame, key: str, text: str = "text", rules: SearchRules = SearchRules()) -> DataFrame:
+    """`tokenized` rows, written once for all that read them."""
+    return staged(tokenized(spread(docs.select(key, text)), key, text, rules), "search-tokens")
+
+
 def document_frequencies(tokens: DataFrame) -> DataFrame:
     """(token, df); every document sends a token once."""
     return tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -32,7 +43,7 @@ def document_frequencies(tokens: DataFrame) -> DataFrame:
 def idf(tokens: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """(token, df, idf). What would be negative becomes `floor` times the mean over the vocabulary."""
     n = tokens.agg(F.count("*").alias("n"))
-    raw = document_frequencies(tokens).join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = staged(document_frequencies(tokens), "document-frequencies").join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, params.floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -42,14 +53,16 @@ def scores(queries: DataFrame, tokens: DataFrame, query_key: str, key: str, para
 
     Only tokens that some query holds leave the documents' side, with their counts; the rest of a document is its length.
     """
+    weights = idf(tokens, params) if weights is None else weights
     wanted = queries.select(query_key, F.explode("tokens").alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
+    wanted = staged(wanted.join(weights.select("token", "idf"), "token").select(query_key, "token", (F.col("times") * F.col("idf")).alias("weight")), "wanted-tokens")
+    side = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
     length = tokens.agg(F.avg(F.size("tokens")).alias("mean_size"))  # one row
-    posted = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    posted = posted.groupBy("token", key, "doc_size").agg(F.count("*").alias("tf"))
-    weights = idf(tokens, params) if weights is None else weights
-    hits = posted.join(wanted, "token").join(weights.select("token", "idf"), "token").join(F.broadcast(length))
+    posted = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode("tokens").alias("token")).join(side(wanted.select("token").distinct()), "token", "left_semi")
+    posted = posted.repartition(key).groupBy(key, "doc_size", "token").agg(F.count("*").alias("tf"))  # one exchange serves both aggregations
+    hits = posted.join(side(wanted), "token").join(F.broadcast(length))
     norm = params.k1 * (1 - params.b + params.b * F.col("doc_size") / F.col("mean_size"))
-    return hits.groupBy(query_key, key).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)).alias("bm25"))
+    return hits.groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)).alias("bm25"))
 
 
 def top(scored: DataFrame, query_key: str, key: str, by: Column, k: int, rank: str = "rank") -> DataFrame:

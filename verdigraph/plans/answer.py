@@ -11,34 +11,45 @@ from verdigraph.functions.rules import confidence_threshold
 from verdigraph.functions.text import channel as channel_name
 from verdigraph.functions.text import is_greeting
 from verdigraph.operators import answering, grounding, hybrid, rendering, routing
+from verdigraph.staging import spread, staged
 
 GREETING = "Olá! Como posso ajudar?"
 
 
-def answered(questions: DataFrame, hits: DataFrame, catalog: list[dict], key: str, threshold=None, channel: str = "chat", organisation: str = "", generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """One row per question: query, outcome, answer, is_fallback, confidence_score, citations, fallback_department, channel.
+def answered(questions: DataFrame, hits: DataFrame, catalog: list[dict], key: str, threshold=None, channel: str = "chat", organisation: str = "", generate: Callable[[DataFrame], DataFrame] | None = None, searched: DataFrame | None = None) -> DataFrame:
+    """One row per question: query, outcome, answer, is_fallback, confidence_score, confidence_threshold, citations,
+    sources_used, hallucination_check (is_grounded, reason, and of the checked sentences how many, how many that state
+    something, and how many of those are supported), fallback_department, channel.
 
     questions: key and query; hits: re-ranked rows (final_rank, rerank_score, chunk_id, file_name, section_title,
     page_start, page_end, text, query). outcome is the first that holds: greeting, no_search_results,
-    confidence_below_threshold, query_not_grounded, hallucination_detected, passed. All but greeting and passed are
+    no_rerank_results, confidence_below_threshold, query_not_grounded, hallucination_detected, passed. All but greeting and passed are
     routed to a department and have no citations. generate: another maker of (key, query, answer, citations,
-    supported) from the selected hits; the default is extractive. A null question is blank.
+    supported) from the selected hits; the default is extractive. searched: the
+    keys of questions that the search found anything for, where re-ranking can lose all of it. A null question is blank.
     """
     limit = confidence_threshold(threshold)
     name = channel_name(F.lit(channel))
+    hits = staged(hits, "answer-hits")  # four branches read them, and what they build on
     top = hits.where("final_rank = 1").select(key, F.col("rerank_score").alias("confidence_score"))
     columns = [c for c in ("rerank_score", "chunk_id", "file_name", "section_title", "page_start", "page_end", "text", "query") if c in hits.columns]
     chosen = hybrid.adaptive_sources(hits.select(key, "final_rank", *columns), key)
-    chosen = chosen.select(key, F.explode("sources").alias("s")).select(key, "s.*")
-    made = (generate or (lambda rows: answering.extracted(rows, key)))(chosen)
+    chosen = staged(chosen.select(key, F.explode("sources").alias("s")).select(key, "s.*"), "answer-sources")
+    made = staged((generate or (lambda rows: answering.extracted(rows, key)))(chosen), "answers")
     context = chosen.groupBy(key).agg(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", "file_name", "section_title", "text"))).alias("context"))
-    checked = grounding.checked(made.select(key, "answer").join(context, key), key).select(key, F.col("is_grounded").alias("answer_grounded"))
+    checked = grounding.checked(spread(staged(made.select(key, "answer").join(context, key), "answer-contexts")), key).withColumnRenamed("is_grounded", "answer_grounded")
     routes = routing.routed(questions, catalog, key).select(key, "department_key")
-    out = questions.join(top, key, "left").join(made.select(key, "answer", "citations", "supported"), key, "left").join(checked, key, "left").join(routes, key)
+    used = [c for c in ("chunk_id", "file_name", "section_title", "page_start", "page_end", "rerank_score") if c in columns]
+    used = chosen.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("final_rank", F.struct(*used).alias("s")))).alias("used"))
+    used = used.select(key, F.transform("used", lambda x: x["s"]).alias("sources_used"))
+    found = hits.select(key) if searched is None else searched.select(key).unionByName(hits.select(key))
+    found = found.distinct().withColumn("searched", F.lit(True))
+    out = questions.join(top, key, "left").join(used, key, "left").join(found, key, "left").join(made.select(key, "answer", "citations", "supported"), key, "left").join(checked, key, "left").join(routes, key)
     query = F.coalesce("query", F.lit(""))
     outcome = (
         F.when(is_greeting(query), "greeting")
-        .when(F.col("confidence_score").isNull(), "no_search_results")
+        .when(F.col("searched").isNull(), "no_search_results")
+        .when(F.col("confidence_score").isNull(), "no_rerank_results")
         .when(F.col("confidence_score") < limit, "confidence_below_threshold")
         .when(~F.coalesce("supported", F.lit(False)), "query_not_grounded")
         .when(~F.coalesce("answer_grounded", F.lit(False)), "hallucination_detected")
@@ -62,6 +73,12 @@ def answered(questions: DataFrame, hits: DataFrame, catalog: list[dict], key: st
         F.when(F.col("outcome") == "greeting", 1.0).otherwise(F.coalesce("confidence_score", F.lit(0.0))).alias("confidence_score"),
         F.lit(limit).alias("confidence_threshold"),
         F.when(F.col("outcome") == "passed", F.col("citations")).otherwise(F.slice("citations", 1, 0)).alias("citations"),
+        F.when(F.col("outcome") == "passed", F.col("sources_used")).otherwise(F.slice("sources_used", 1, 0)).alias("sources_used"),
+        F.struct(
+            F.col("outcome").isin("greeting", "passed").alias("is_grounded"),
+            F.when(fell, F.col("outcome")).alias("reason"),
+            *(F.when(F.col("outcome").isin("passed", "hallucination_detected"), F.col(c)).otherwise(0).alias(c) for c in ("n_sentences", "n_substantive", "n_grounded")),
+        ).alias("hallucination_check"),
         F.when(fell, F.col("department_key")).alias("fallback_department"),
         name.alias("channel"),
     )

@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verdigraph.functions import dates, text
-from verdigraph.functions.rules import ACRONYMS, RERANK_SYNONYMS, SEARCH_SYNONYMS, STOPWORDS
+from verdigraph.functions.rules import ACRONYMS, RERANK_SYNONYMS, SEARCH_SYNONYMS, STOPWORDS, confidence_threshold
 from verdigraph.operators import answering, chunking, dense, grounding, hybrid, rendering, routing, sparse
 from verdigraph.plans import answer as plan
 from verdigraph.sources import documents as store
+from verdigraph.staging import spread
 
 TOP = 5
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ---- SQL building blocks ----
@@ -69,8 +71,8 @@ scored AS (
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tokens = sparse.tokenized(_read(spark, sf_dir, "documents"), "doc_id")
-    asked = sparse.tokenized(_read(spark, sf_dir, "benchmark"), "item_id")
+    tokens = sparse.indexed(_read(spark, sf_dir, "documents"), "doc_id")
+    asked = sparse.indexed(_read(spark, sf_dir, "benchmark"), "item_id")
     return asked, tokens, sparse.scores(asked, tokens, "item_id", "doc_id")
 
 
@@ -216,8 +218,12 @@ def chunk_documents(spark, sf_dir):
 
 @query("SELECT d.doc_id, coalesce(v.category, 'Geral') AS category, coalesce(v.last_updated, '2026') AS last_updated FROM documents d LEFT JOIN (VALUES ('src0', 'Manual', '2024'), ('src1', 'Política', '2025')) v(source, category, last_updated) USING (source)")
 def metadata_left_join(spark, sf_dir):
+    """One section a document, so that the chunker's own look-up of its file's description is what is compared."""
+    docs = _read(spark, sf_dir, "documents")
     dim = spark.createDataFrame([("src0", "Manual", "2024"), ("src1", "Política", "2025")], "source string, category string, last_updated string")
-    return _read(spark, sf_dir, "documents").join(dim, "source", "left").select("doc_id", F.coalesce("category", F.lit("Geral")).alias("category"), F.coalesce("last_updated", F.lit("2026")).alias("last_updated"))
+    dim = docs.select("doc_id", "source").join(F.broadcast(dim), "source").select("doc_id", "category", F.lit("ACME").alias("department_author"), "last_updated")
+    sections = docs.select("doc_id", F.lit(1).cast("long").alias("section_no"), F.lit("T").alias("title"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit("um texto curto").alias("text"))
+    return chunking.chunks(sections, dim, "doc_id").select("doc_id", "category", "last_updated")
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src' || (doc_id % 20)")
@@ -242,9 +248,12 @@ def token_df(spark, sf_dir):
     return sparse.document_frequencies(sparse.tokenized(_read(spark, sf_dir, "documents"), "doc_id"))
 
 
-@query(f"WITH {_BM25} SELECT token, df::BIGINT AS df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH {_tokens("documents", "doc_id", "d")}, n AS MATERIALIZED (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
+df AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS token FROM d) GROUP BY token),
+raw AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
+SELECT token, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END, 6) AS idf FROM raw, mean""")
 def bm25_idf(spark, sf_dir):
-    return sparse.idf(sparse.tokenized(_read(spark, sf_dir, "documents"), "doc_id")).select("token", "df", F.round("idf", 6).alias("idf"))
+    return sparse.idf(sparse.indexed(_read(spark, sf_dir, "documents"), "doc_id")).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM scored) SELECT item_id, doc_id, rank::INT AS rank, round(bm25, 6) AS bm25 FROM ranked WHERE rank <= {TOP}")
@@ -353,7 +362,14 @@ def feature_rerank(spark, sf_dir):
     return _reranked(spark, sf_dir).select("item_id", "doc_id", "rerank_score", "final_rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RERANK}, h AS (SELECT item_id, doc_id, source, rerank_score AS score, final_rank AS r, max(rerank_score) FILTER (final_rank = 1) OVER (PARTITION BY item_id) AS top FROM reranked WHERE final_rank <= 8),
+walk AS (
+  SELECT item_id, 0::BIGINT AS r, []::VARCHAR[] AS files, []::BIGINT[] AS ranks FROM (SELECT DISTINCT item_id FROM h)
+  UNION ALL
+  SELECT w.item_id, h.r, CASE WHEN t THEN list_append(files, source) ELSE files END, CASE WHEN t THEN list_append(ranks, h.r) ELSE ranks END
+  FROM walk w JOIN (SELECT *, r <= 2 AND score >= 0.15 AS early, score >= top * 0.7::DOUBLE AND score >= 0.22 AS close, score >= 0.28 AND score >= top * 0.55::DOUBLE AS fair FROM h) h ON h.item_id = w.item_id AND h.r = w.r + 1, LATERAL (SELECT len(ranks) < 8 AND (early OR close OR (fair AND NOT list_contains(files, source))) AS t)),
+ended AS (SELECT item_id, CASE WHEN len(ranks) > 0 THEN ranks ELSE [1, 2] END AS ranks FROM walk QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY r DESC) = 1)
+SELECT item_id, (list_position(ranks, r) - 1)::INT AS place, doc_id, score AS rerank_score FROM ended JOIN h USING (item_id) WHERE list_contains(ranks, r)""")
 def adaptive_select(spark, sf_dir):
     chosen = hybrid.adaptive_sources(_reranked(spark, sf_dir, 8).select("item_id", "final_rank", "doc_id", "rerank_score", "file_name"), "item_id")
     return chosen.select("item_id", F.posexplode("sources").alias("place", "s")).select("item_id", "place", "s.doc_id", "s.rerank_score")
@@ -361,7 +377,8 @@ def adaptive_select(spark, sf_dir):
 
 @query(f"WITH {_RERANK} SELECT item_id, rerank_score AS confidence_score, rerank_score >= 0.35 AS confident FROM reranked WHERE final_rank = 1")
 def confidence_gate(spark, sf_dir):
-    return _reranked(spark, sf_dir, 1).select("item_id", F.col("rerank_score").alias("confidence_score"), (F.col("rerank_score") >= 0.35).alias("confident"))
+    limit = confidence_threshold(None)
+    return _reranked(spark, sf_dir, 1).select("item_id", F.col("rerank_score").alias("confidence_score"), (F.col("rerank_score") >= limit).alias("confident"))
 
 
 @query()
@@ -375,18 +392,60 @@ def hash_embed(spark, sf_dir):
 _MONEY = r"(?i)R\$\s*\d{1,3}(?:\.\d{3})*(?:,\d+)?|R\$\s*\d+(?:[.,]\d+)?"
 
 
-@query(f"WITH {_CLAIMS} SELECT l_orderkey, l_linenumber, list_contains(regexp_extract_all(context, '{_MONEY}'), regexp_extract(sentence, '{_MONEY}')) AS is_grounded FROM claims")
+def _varied(spark, sf_dir):
+    """Claims whose context changes one of their facts, or all words, by the line's key."""
+    items = _read(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") % 7)
+    price, percent, days, shift, law = F.col("l_extendedprice"), F.round(F.col("l_discount") * 100).cast("int"), F.col("l_quantity").cast("int"), F.col("l_linenumber") % 6 + 1, F.col("l_linenumber")
+    changed = lambda v, i: v + F.when(F.col("k") == i, 1).otherwise(0)
+    spelled = lambda p: F.translate(F.format_string("%.2f", p), ".", ",")
+    line = "%s %d custa R$ %s com %d%% em %d dias, escala %dx1, Art. %d."
+    sentence = F.format_string(line, F.lit("Pedido"), "l_orderkey", spelled(price), percent, days, shift, law)
+    context = F.format_string(line, F.when(F.col("k") == 6, "Nada").otherwise("Pedido"), "l_orderkey", spelled(changed(price, 1)), changed(percent, 2).cast("int"), changed(days, 3).cast("int"), changed(shift, 4), changed(law, 5))
+    return items.select("l_orderkey", "l_linenumber", sentence.alias("sentence"), F.when(F.col("k") == 6, F.regexp_replace(context, "custa|com|dias|escala", "xis")).otherwise(context).alias("context"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 AS k, l_extendedprice AS price, round(l_discount * 100)::INT AS percent, l_quantity::INT AS days, l_linenumber % 6 + 1 AS shift, l_linenumber AS law FROM lineitem),
+lost AS (SELECT *,
+  CASE WHEN k = 1 AND regexp_extract(replace(printf('%.2f', price), '.', ','), '^\\d{1,3}(?:,\\d+)?') <> regexp_extract(replace(printf('%.2f', price + 1), '.', ','), '^\\d{1,3}(?:,\\d+)?')
+    THEN ['R$ ' || regexp_extract(replace(printf('%.2f', price), '.', ','), '^\\d{1,3}(?:,\\d+)?')] ELSE [] END AS money,
+  CASE WHEN k = 2 THEN [percent || '%'] ELSE [] END AS percents,
+  CASE WHEN k = 3 AND days <> 0 THEN [days || ' dias'] WHEN k = 6 THEN [days || ' dias'] ELSE [] END AS spans,
+  CASE WHEN k = 4 THEN ['escala ' || shift || 'x1'] ELSE [] END AS shifts,
+  CASE WHEN k = 5 THEN ['Art. ' || law] ELSE [] END AS laws FROM v)
+SELECT l_orderkey, l_linenumber, array_to_string(list_concat(shifts, money, percents, spans, laws), '|') AS ungrounded,
+  len(list_concat(shifts, money, percents, spans, laws)) = 0 AS is_grounded,
+  CASE WHEN len(list_concat(shifts, money, percents, spans, laws)) > 0 THEN 'unsupported_entities' ELSE 'grounded' END AS reason FROM lost""")
 def verify_sentences(spark, sf_dir):
-    return grounding.verified(_claims(spark, sf_dir)).select("l_orderkey", "l_linenumber", "is_grounded")
+    found = grounding.verified(_varied(spark, sf_dir))
+    return found.select("l_orderkey", "l_linenumber", F.array_join("ungrounded", "|").alias("ungrounded"), "is_grounded", "reason")
 
 
 @query()
 def check_response(spark, sf_dir):
-    """Whether the first half of a document is supported by the whole of it, sentence by sentence."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1, cast(length(text) / 2 as int))").alias("answer"), F.col("text").alias("context"))
+    """Whether a whole document is supported by the next one of its language among fifty successive ids, sentence by sentence."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    after = Window.partitionBy("lang", F.floor(F.col("doc_id") / 50)).orderBy("doc_id")
+    docs = docs.select("doc_id", F.col("text").alias("answer"), F.coalesce(F.lead("text").over(after), F.lit("")).alias("context"))
     return grounding.checked(docs, "doc_id")
 
 
+_AUDIT = {"the": r"\bthe\b", "shift": r"\b[0-9] ?[xX] ?[0-9]\b", "percent": r"[0-9]+(?:[.,][0-9]+)?%", "license": "(?i)licen[sc]e"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS pattern, coalesce(sum(len(regexp_extract_all(coalesce(text, ''), '{v}'))), 0)::BIGINT AS n_matches, count(*) FILTER (regexp_matches(coalesce(text, ''), '{v}'))::BIGINT AS n_chunks FROM documents" for k, v in _AUDIT.items()))
+def corpus_audit(spark, sf_dir):
+    return store.audited(_read(spark, sf_dir, "documents"), _AUDIT)
+
+
+@query("""WITH h AS (SELECT doc_id, doc_id // 4 AS question, source, lang, text FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY doc_id) AS n FROM h)
+SELECT question, string_agg('--- DOCUMENTO [' || n || '] ---' || chr(10) || 'Arquivo: ' || coalesce(source, 'N/A') || chr(10) || 'Seção: ' || coalesce(lang, 'N/A') || chr(10) || 'Páginas: ' || CASE WHEN doc_id % 2 = 0 THEN 'Pág. 1' ELSE 'Págs. 1-2' END || chr(10) || 'ID: ' || doc_id || chr(10) || 'Conteúdo:' || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || chr(10), chr(10) ORDER BY n) AS context FROM r GROUP BY question""")
+def context_blocks(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").withColumn("question", F.floor(F.col("doc_id") / 4))
+    place = F.row_number().over(Window.partitionBy("question").orderBy("doc_id"))
+    hits = docs.select("question", place.alias("final_rank"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("file_name"), F.col("lang").alias("section_title"), F.lit(1).alias("page_start"), (F.col("doc_id") % 2 + 1).cast("int").alias("page_end"), "text")
+    return rendering.context_block(hits, "question")
+
+
 _ROUTES = routing.DEFAULT
 
 
@@ -426,9 +485,9 @@ def render_citation(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", rendering.citation(channel, F.col("source"), F.col("lang"), start=F.lit(1), end=(F.col("doc_id") % 2 + 1).cast("int")).alias("line"))
 
 
-@query("SELECT doc_id, '**[RESUMO]**' || chr(10) || 'Resumo ' || doc_id || chr(10) || chr(10) || '**[DETALHAMENTO]**' || chr(10) || text || chr(10) || chr(10) || '**[FONTES]**' || chr(10) || '• a' || chr(10) || '• b' AS message FROM documents WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') = text AND text <> ''")
+@query("SELECT doc_id, '**[RESUMO]**' || chr(10) || 'Resumo ' || doc_id || chr(10) || chr(10) || '**[DETALHAMENTO]**' || chr(10) || CASE WHEN t = '' THEN 'Resumo ' || doc_id ELSE t END || chr(10) || chr(10) || '**[FONTES]**' || chr(10) || '• a' || chr(10) || '• b' AS message FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents)")
 def render_channel(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").where((text.strip(F.col("text")) == F.col("text")) & (F.col("text") != ""))
+    docs = _read(spark, sf_dir, "documents")
     lines = F.array(F.lit("• a"), F.lit("• b"), F.lit("• a"))
     return docs.select("doc_id", rendering.response(F.lit("teams_slack"), F.concat(F.lit(" Resumo "), F.col("doc_id").cast("string")), F.col("text"), lines).alias("message"))
 
@@ -456,7 +515,7 @@ def answer_pipeline(spark, sf_dir):
     hits = _reranked(spark, sf_dir, 8).withColumns({"chunk_id": F.col("doc_id").cast("string"), "page_start": F.lit(1), "page_end": F.lit(1)})
     asked = _read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     catalog = [r.asDict() for r in routing.default_catalog(spark).collect()]
-    return plan.answered(asked, hits, catalog, "item_id").select("item_id", "outcome", "is_fallback", "confidence_score", "fallback_department", "answer")
+    return plan.answered(asked, hits, catalog, "item_id").select("item_id", "outcome", "is_fallback", "confidence_score", "fallback_department", "answer", F.size("sources_used").alias("n_sources"), "hallucination_check.n_sentences")
 
 
 @query(r"""WITH u AS (SELECT conv_id, turn, role, text, CASE WHEN role <> 'user' AND turn % 2 = 1 THEN (conv_id + turn) % 2 END AS thumb FROM conversations)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import shutil
 import subprocess
+import uuid
 from collections.abc import Callable
+from pathlib import PurePath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from verdigraph.functions.text import strip
+from verdigraph.staging import shared_dir
 
 CHUNK_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("chunk_id", "file_name", "file_path", "category", "department_author", "last_updated", "section_title")]
@@ -92,3 +95,66 @@ def batch_size(value: int) -> int:
     if value == 0:
         raise ValueError("batch_size must not be 0")
     return max(0, value)
+
+
+def chunk_input(spark: SparkSession, given=None, size: int = 100) -> DataFrame:
+    """Chunks from whatever a caller passes: a DataFrame, the path of a JSON array, or a list of dicts. Anything empty,
+    and any other kind, is no chunks; so is a negative size. A missing file and broken JSON raise, and so does size 0."""
+    none = spark.createDataFrame([], CHUNK_SCHEMA)
+    if batch_size(size) == 0:
+        return none
+    if isinstance(given, DataFrame):
+        return given
+    if isinstance(given, str | PurePath) and str(given).strip():
+        return indexable(read_chunks(spark, str(given).strip()))
+    if not isinstance(given, list):
+        return none
+    names = CHUNK_SCHEMA.fieldNames()
+    rows = [tuple(c.get(n) for n in names) for c in given if isinstance(c, dict)]
+    return indexable(spark.createDataFrame(rows, CHUNK_SCHEMA)) if rows else none
+
+
+class ChunkStore:
+    """A chunk collection: a folder of Parquet versions, or, without a path (or with ":memory:"), one that ends with the
+    application, in the shared folder of the session. Each change writes a new version; readers keep theirs."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark = spark
+        lasting = bool(path) and path != ":memory:"
+        self.path = path if lasting else f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/collection-{uuid.uuid4().hex}"
+
+    def _folder(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _versions(self) -> list[int]:
+        fs, path = self._folder()
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path)]
+        whole = [p.getName() for p in found if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n[1:]) for n in whole if n[:1] == "v" and n[1:].isdigit())
+
+    def read(self) -> DataFrame:
+        known = self._versions()
+        return self.spark.read.parquet(f"{self.path}/v{known[-1]}") if known else self.spark.createDataFrame([], CHUNK_SCHEMA)
+
+    def upsert(self, chunks: DataFrame) -> int:
+        """How many chunks the collection has afterwards."""
+        known = self._versions()
+        store = self.read() if known else chunks.limit(0)
+        upserted(store, chunks).write.mode("overwrite").parquet(f"{self.path}/v{known[-1] + 1 if known else 0}")
+        return self.read().count()
+
+    def clear(self) -> None:
+        """Removes all chunks; the collection can be used again."""
+        fs, path = self._folder()
+        fs.delete(path, True)
+
+
+def audited(chunks: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """(pattern, n_matches, n_chunks) for each named expression: how often it stands in the corpus, and in how many chunks."""
+    counts = [F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(v)).cast("long") for v in patterns.values()]
+    rows = chunks.select(F.explode(F.array(*(F.struct(F.lit(k).alias("pattern"), c.alias("n")) for k, c in zip(patterns, counts, strict=True)))).alias("x"))
+    found = rows.select("x.pattern", "x.n")
+    return found.groupBy("pattern").agg(F.sum("n").alias("n_matches"), F.sum((F.col("n") > 0).cast("long")).alias("n_chunks"))
