@@ -91,3 +91,43 @@ def test_no_text_with_an_entity_is_skipped(spark):
 def test_secret_that_starts_with_a_slash(spark):
     df = spark.createDataFrame([(1, 'token="/a9Kz73hQwLm2pR"')], "doc_id long, text string")
     assert "9Kz73hQ" not in surrogates.replaced(df).first().text
+
+
+def replace_all(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogates.replaced(df).orderBy("doc_id").collect()]
+
+
+def test_scripts_and_genders_of_surnames(spark):
+    greek, woman, man, shouted, cue, jew = replace_all(spark, "Dr Παπαδόπουλος ήρθε", "Анна Иванова пришла", "Иван Иванов пришёл", "JOHN SMITH met John Smith", "Name: Zsofia Nemeth, ok", "Dr Աբրահամյան came")
+    assert re.fullmatch(r"Dr [\u0370-\u03ff\u1f00-\u1fff-]+ος ήρθε", greek) and "Παπαδ" not in greek
+    she, he = woman.split()[1], man.split()[1]
+    assert she == he + "а" and re.search("(ов|ев|ин)$", he) and he != "Иванов"
+    loud, soft = re.fullmatch(r"(\S+ \S+) met (\S+ \S+)", shouted).groups()
+    assert loud == soft.upper() and "SMITH" not in loud
+    assert "Zsofia" not in cue and "Nemeth" not in cue and cue.startswith("Name: ") and cue.endswith(", ok")
+    assert re.fullmatch(r"Dr [\u0530-\u058f]+ came", jew) and "Աբրահամյան" not in jew
+
+
+def test_case_and_check_digits(spark):
+    mail, iban, mac = replace_all(spark, "John.Doe@Example.com and john.doe@example.com", "IBAN DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432", "AA:bb:0C:dd:ee:f1")
+    first, second = mail.split(" and ")
+    assert first.lower() == second and [c.isupper() for c in first] == [c.isupper() for c in "John.Doe@Example.com"]
+    for found in re.findall(r"[A-Z]{2}\d{2}[A-Z0-9 ]{15,}[A-Z0-9]", iban.replace("IBAN ", "").replace(" or", "|")):
+        plain = found.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert "GB82WEST" not in iban and "3704" not in iban
+    assert re.fullmatch(r"[A-F0-9]{2}:[a-f0-9]{2}:[0-9][A-F]:[a-f]{2}:[a-f]{2}:[a-f][0-9]", mac, re.I)
+
+
+def test_names_stay_single_when_the_list_is_used_up(spark):
+    rows = [("given-f", n) for n in surrogates.GIVEN["f", "latin"]]
+    got = [r.surrogate for r in surrogates.assigned(spark.createDataFrame(rows, "type string, canon string")).collect()]
+    assert len(set(got)) == len(rows) and sum("-" in x for x in got) < len(rows) / 10
+
+
+def test_key_decides(spark):
+    df = spark.createDataFrame([(1, "Mary Jones")], "doc_id long, text string")
+    one, two = (surrogates.replaced(df, k).first().text for k in ("one", "two"))
+    assert one != two and one == surrogates.replaced(df, "one").first().text
+    assert surrogates.session_key(spark) == surrogates.session_key(spark) != ""
