@@ -2,12 +2,12 @@
 
 Slot k of the mix has the k-th van der Corput point (base 2); the point's place among the cumulative targets
 names the slot's source. Slots are ranked within their source, and rank r takes the block that a keyed shuffle
-puts at place r modulo the number of blocks, so a source is read evenly, in passes. Blocks cut the source's
+puts at place r modulo the number of blocks, so a source is read evenly, in passes, and a block knows its ranks. Blocks cut the source's
 words, in a keyed order of its documents, into equal runs.
 
 With 2**m slots the points are the multiples of 2**-m, so a source's slots are the bit reversals of a range of
-integers and are generated from the source's row: no slot is compared with all sources. A slot's rank is counted
-from the bits of its point. Running sums are two-level (bucket totals, then inside buckets), so that a source with
+integers: their number follows from the range, and a rank's slot from the bits of the integers in it. No slot is
+compared with sources, and none has to be looked up. Running sums are two-level (bucket totals, then inside buckets), so that a source with
 a third of all rows is spread over many tasks. Only DataFrame functions are used.
 """
 
@@ -31,6 +31,8 @@ LEAST_BLOCK = 8
 KEY = "mix"
 #: Schedule integers that one row of the generating table expands to.
 _CHUNK = 16384
+#: Slots, and about as many blocks, that meet in one partition.
+_TABLE_ROWS = 500_000
 
 
 def running(df: DataFrame, group: str, bucket: str, order: list[Column], weight: Column, out: str) -> DataFrame:
@@ -41,10 +43,11 @@ def running(df: DataFrame, group: str, bucket: str, order: list[Column], weight:
     """
     df = df.withColumn("__weight", weight)
     totals = df.groupBy(group, bucket).agg(F.sum("__weight").alias("__total"))
+    # the columns that tell rows apart come first in every key, as sorts look at the first one before all others
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(group, bucket, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.hint("merge").join(totals, [group, bucket]).withColumn(out, F.col("__before") + F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
+    inside = Window.partitionBy(bucket, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.hint("merge").join(totals, [bucket, group]).withColumn(out, F.col("__before") + F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
     return df.drop("__weight", "__before")
 
 
@@ -60,7 +63,7 @@ def sized(docs: DataFrame, key: str = KEY) -> DataFrame:
         "source",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("src"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mark"),
+        F.md5(F.concat(F.lit(f"{key}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit(""))))))).alias("mark"),
     )
 
 
@@ -88,22 +91,36 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("src", "source", "source_size", "weight", "target", F.coalesce(F.sum("target").over(ahead), F.lit(0.0)).alias("before"), "budget")
 
 
-def slots(sources: DataFrame, bits: int) -> DataFrame:
-    """(src, slot, rank): 2**bits slots of the schedule and their rank inside their source."""
+def scheduled(sources: DataFrame, bits: int) -> DataFrame:
+    """(src, low, high): which multiples of 2**-bits, the sorted points of the schedule, lie in each source's part."""
     n = float(1 << bits)
     edge = lambda c: F.least(F.ceil(c / F.col("budget") * F.lit(n)), F.lit(1 << bits))
-    own = sources.where("target > 0").select("src", edge(F.col("before")).alias("low"), edge(F.col("before") + F.col("target")).alias("high")).where("low < high")
-    own = _spread(own.withColumn("first", F.explode(F.sequence("low", F.col("high") - 1, F.lit(_CHUNK)))))
-    own = own.select("src", "low", "high", F.explode(F.sequence("first", F.least(F.col("high"), F.col("first") + _CHUNK) - 1)).alias("point"))
-    slot = F.conv(F.reverse(F.lpad(F.bin("point"), max(1, bits), "0")), 2, 10).cast("long")
-    return own.select("src", slot.alias("slot"), _rank(F.col("point"), F.col("low"), F.col("high"), bits).alias("rank"))
+    return sources.where("target > 0").select("src", edge(F.col("before")).alias("low"), edge(F.col("before") + F.col("target")).alias("high")).where("low < high")
+
 
+def slots(sources: DataFrame, bits: int) -> DataFrame:
+    """(src, slot, rank): 2**bits slots of the schedule and their rank inside their source."""
+    own = scheduled(sources, bits)
+    own = _spread(own.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - F.col("low") - 1, F.lit(_CHUNK).cast("long")))))
+    own = own.select("src", "low", "high", F.explode(F.sequence("first", F.least(F.col("high") - F.col("low"), F.col("first") + _CHUNK) - 1)).alias("rank"))
+    return own.select("src", _slot(F.col("rank"), F.col("low"), F.col("high"), bits).alias("slot"), "rank")
 
-def _rank(point: Column, low: Column, high: Column, bits: int) -> Column:
-    """How many points of low..high-1 turn into lower slots than this one: those that agree in the j lowest bits and lack its bit j."""
-    below = lambda edge, j: F.shiftright(edge - point.bitwiseAND(F.lit((1 << j) - 1)) + F.lit((2 << j) - 1), j + 1)
-    terms = [F.shiftright(point, j).bitwiseAND(F.lit(1)) * (below(high, j) - below(low, j)) for j in range(bits)]
-    return reduce(lambda a, b: a + b, terms, F.lit(0)).cast("long")
+
+def _slot(rank: Column, low: Column, high: Column, bits: int) -> Column:
+    """The slot of a source's rank-th point in the order of the schedule. Slots are the reversed bits of low..high-1, so
+    bit by bit, from the lowest, the rank tells whether the point is among those with a 0 there or among those with a 1."""
+
+    def step(a: Column, j: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), j + 1)
+        below = lambda edge: F.floor((edge - a["point"] + size - 1) / size)  # noqa: E731  # of the points with these low bits and a 0 next
+        zeros = below(high) - below(low)
+        one = a["rank"] >= zeros
+        bit = F.when(one, F.lit(1)).otherwise(F.lit(0)).cast("long")
+        return F.struct((a["point"] + bit * F.call_function("shiftleft", F.lit(1).cast("long"), j)).alias("point"), (a["rank"] - F.when(one, zeros).otherwise(F.lit(0))).cast("long").alias("rank"), (2 * a["slot"] + bit).alias("slot"))
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("point"), rank.cast("long").alias("rank"), zero.alias("slot"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step, lambda a: a["slot"]) if bits else zero
 
 
 def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
@@ -125,16 +142,23 @@ def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
     pieces = pieces.withColumn("to_word", F.least(low(F.col("block") + 1), F.col("start") + F.col("size")) - F.col("start")).where("from_word < to_word")
 
     count = F.ceil(F.col("source_size") / F.lit(block))  # blocks of a source; floors leave the last one empty at most
-    blocks = sources.where("source_size > 0").select("src", count.alias("blocks"))
+    blocks = sources.where("source_size > 0").select("src", count.alias("blocks")).join(scheduled(sources, bits), "src")
     shuffled = _spread(blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(_CHUNK)))))
-    shuffled = shuffled.select("src", "blocks", F.explode(F.sequence("first", F.least(F.col("blocks"), F.col("first") + _CHUNK) - 1)).alias("block"))
-    mark = F.md5(F.concat(F.lit(f"{key}:"), "src", F.lit(":"), F.col("block").cast("string")))  # made again behind the shuffle, which it would treble
-    shuffled = running(shuffled.withColumn("bucket", F.substring(mark, 1, 3)), "src", "bucket", [mark], F.lit(1), "place").select("src", "blocks", "block", F.col("place").cast("long").alias("place"))
-
-    taken = slots(sources, bits).join(blocks, "src").where(F.col("rank") < MOST_PASSES * F.col("blocks"))
-    taken = taken.select("src", "slot", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("place"))
-    filled = taken.hint("merge").join(shuffled.select("src", "place", "block"), ["src", "place"]).drop("place")
-    return filled.hint("merge").join(pieces, ["src", "block"])
+    shuffled = shuffled.select("src", "blocks", "low", "high", F.explode(F.sequence("first", F.least(F.col("blocks"), F.col("first") + _CHUNK) - 1)).alias("block"))
+    mark = F.conv(F.substring(F.md5(F.concat(F.lit(f"{key}:"), "src", F.lit(":"), F.col("block").cast("string"))), 1, 15), 16, 10).cast("long")
+    shuffled = shuffled.withColumn("mark", mark).withColumn("bucket", F.shiftright("mark", 48).cast("int"))
+    shuffled = running(shuffled, "src", "bucket", [F.col("mark"), F.col("block")], F.lit(1), "place").withColumn("place", F.col("place").cast("long"))
+
+    # a block's ranks: its place, and in every later pass that many blocks more, as far as the source has slots
+    slots_of = F.least(F.col("high") - F.col("low"), MOST_PASSES * F.col("blocks"))
+    last = F.floor((slots_of - 1 - F.col("place")) / F.col("blocks"))
+    filled = shuffled.where(F.col("place") < slots_of).select("src", "block", "low", "high", "blocks", "place", last.alias("last"))
+    # keys are spread evenly and partitions are made by their number, so each holds a hash table of bounded size: no sorts
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // _TABLE_ROWS + 1)
+    keyed = lambda df: df.repartition(parts, "block", "src")
+    found = keyed(filled).join(keyed(pieces).hint("shuffle_hash"), ["block", "src"]).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    slot = _slot(F.col("place") + F.col("pass") * F.col("blocks"), F.col("low"), F.col("high"), bits)
+    return found.select(slot.alias("slot"), "pass", "src", "block", "doc_id", "start", "size", "from_word", "to_word")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -147,8 +171,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     sources = common.staged(targets(rows), "mix-sources")
     # rows that agree in doc_id, source and size are interchangeable but have places of their own in the stream
     placed = running(rows.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
-    taken = plan(rows, sources).groupBy("src", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    out = placed.where("size > 0").hint("merge").join(taken, ["src", "start"], "left").select("doc_id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = plan(rows, sources).groupBy("start", "src").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    out = placed.where("size > 0").hint("merge").join(taken, ["start", "src"], "left").select("doc_id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     out = out.unionByName(rows.where("size = 0").select("doc_id", "src", "size", F.lit(0).cast("long").alias("taken")))
     return out.join(sources.select("src", "source_size", "target"), "src").select("doc_id", "size", "source_size", "target", "taken")
 
@@ -158,7 +182,7 @@ ORACLE = r"""
 WITH rows_ AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS mark
+         md5('mix:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS mark
   FROM documents),
 per AS (
   SELECT src, source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
@@ -176,14 +200,14 @@ sources AS (
   SELECT *, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS ahead FROM tgt),
 shape AS (
   SELECT bits, greatest(budget / (1::BIGINT << bits), 1.0) AS b FROM (
-    SELECT max(budget) AS budget, least(20, greatest(0, ceil(log2(greatest(1.0, max(budget) / 8)))))::INT AS bits FROM per)),
+    SELECT max(budget) AS budget, greatest(0, ceil(log2(greatest(1.0, max(budget) / 8))))::INT AS bits FROM per)),
 slot AS (
   SELECT src, row_number() OVER (PARTITION BY src ORDER BY reverse(lpad(bin(point), greatest(1, bits), '0'))) - 1 AS rank
   FROM (SELECT src, bits, unnest(range(least(ceil(ahead / budget * (1::BIGINT << bits)), 1::BIGINT << bits)::BIGINT,
                                        least(ceil((ahead + target) / budget * (1::BIGINT << bits)), 1::BIGINT << bits)::BIGINT)) AS point
         FROM sources, shape WHERE target > 0)),
 blocks AS (SELECT src, ceil(source_size / b)::BIGINT AS n, unnest(range(0, ceil(source_size / b)::BIGINT)) AS block FROM sources, shape),
-shuffled AS (SELECT src, n, block, row_number() OVER (PARTITION BY src ORDER BY md5('mix:' || src || ':' || block)) - 1 AS place FROM blocks),
+shuffled AS (SELECT src, n, block, row_number() OVER (PARTITION BY src ORDER BY left(md5('mix:' || src || ':' || block), 15), block) - 1 AS place FROM blocks),
 times AS (
   SELECT s.src, s.block, count(*) AS times
   FROM slot JOIN (SELECT DISTINCT src, n FROM shuffled) AS c USING (src) JOIN shuffled AS s ON s.src = slot.src AND s.place = slot.rank % c.n
