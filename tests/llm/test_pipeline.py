@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from verdigraph.llm import decontaminate, mixing, simhash, surrogates, toxicity
 
@@ -34,3 +36,25 @@ def test_every_stage_does_what_its_operator_says(spark):
             assert after.columns == columns
         docs = after
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(docs.collect())
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    prose = "One quiet river and a long garden walk make a letter that nobody has written before, number {} of many."
+    rows = [(i, prose.format(i) + f" Mail the.{i}@mail.example.com now.", "en", "s1", 9) for i in range(12)]
+    rows += [(3, rows[3][1], "en", "s1", 9), (50, None, None, None, None), (51, "", "en", None, 0), (None, "A text without an id by Mary Jones.", None, "s2", 1), (52, "word " * 30_000, "en", "s2", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, docs in (("odd", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        df = spark.createDataFrame(docs, names)
+        for c in ("toxic", "score", "digest", "size", "hit_ranges"):
+            df = df.withColumn(c, F.lit("clash"))
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        ids = [r.doc_id for r in got]
+        if name == "none":
+            assert got == []
+        else:
+            assert {None, 50, 52} <= set(ids) and ids.count(3) <= 1 and len(ids) == len(set(ids))
+            assert all(0 <= r.taken <= 2 * r.size for r in got)

@@ -9,16 +9,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from verdigraph.staging import shared_dir, staged  # noqa: F401
+
 CHUNK = 1 << 20
 ONE = np.uint64(1)
 _WORD_BASE = 0x9E3779B97F4A7C15
@@ -33,24 +33,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="stages-")
-        if not set_before.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut and the rows survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def appended(df: DataFrame, compute: Callable[[pa.RecordBatch], dict], fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with new columns computed batch by batch; a new column replaces an input column of its name (case does not matter)."""
     gone = {f.name.lower() for f in fields} | {x.lower() for x in drop}
