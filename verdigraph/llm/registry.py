@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigraph.llm import decontaminate, extract, lattice, licenses, mixing, quality, repeats, simhash, surrogates, toxicity
+from verdigraph.llm import audit, decontaminate, extract, lattice, licenses, mixing, quality, repeats, simhash, surrogates, toxicity
 from verdigraph.staging import spread
 
 
@@ -54,9 +54,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op2_decontaminate": decontaminate.ORACLE, "op7_mixing": mixing.ORACLE, "op12_filter_audit": audit.ORACLE}
