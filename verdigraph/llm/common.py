@@ -135,6 +135,11 @@ def sequence_hashes(words: np.ndarray, docs: np.ndarray, length: int) -> tuple[n
     return first, window(prefix(words, _SEQ_BASE), first, first + length, _SEQ_BASE)
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of word hashes; a run of `sequence_hashes` has the hash that it has there."""
+    return window(prefix(words, _SEQ_BASE), starts, ends, _SEQ_BASE)
+
+
 def ranges(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The union of half-open ranges, as maximal ranges in order."""
     out: list[tuple[int, int]] = []
