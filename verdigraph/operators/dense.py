@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -79,7 +80,11 @@ def hash_embedding(text: str | None, dim: int = 768) -> np.ndarray:
     """The mean of one pseudo-random normal vector per token, seeded by the token's md5, scaled to length 1. A text
     without tokens has the vector of its lower case as a whole."""
     clean = (text or "").lower().strip()
-    total = np.mean([_drawn(t, dim) for t in clean.split() or [clean]], axis=0)
+    counts = Counter(clean.split() or [clean])
+    total = np.zeros(dim)
+    for token, n in counts.items():  # a vector at a time, however long the text is
+        total += n * _drawn(token, dim)
+    total /= counts.total()
     norm = np.linalg.norm(total)
     return total / norm if norm > 0 else total
 

@@ -6,6 +6,7 @@ amounts and dates are built from orders and lineitem, as the documents hold few.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,11 @@ from pyspark.sql.window import Window
 
 from verdigraph.functions import dates, text
 from verdigraph.functions.rules import ACRONYMS, RERANK_SYNONYMS, SEARCH_SYNONYMS, STOPWORDS, confidence_threshold
-from verdigraph.operators import answering, chunking, dense, grounding, hybrid, rendering, routing, sparse
+from verdigraph.operators import answering, cells, chunking, dense, grounding, hybrid, rendering, routing, sparse
+from verdigraph.operators.inverted import StoredIndex
 from verdigraph.plans import answer as plan
 from verdigraph.sources import documents as store
-from verdigraph.staging import spread
+from verdigraph.staging import shared_dir, spread
 
 TOP = 5
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,8 +60,7 @@ def _tokens(table: str, key: str, out: str) -> str:
 {out} AS (SELECT {key}, CASE WHEN len(kept) > 0 THEN flatten(list_transform(kept, lambda t: coalesce({_MAP}[t], [t]))) ELSE raw END AS tokens FROM {out}_kept)"""
 
 
-_BM25 = f"""{_tokens("documents", "doc_id", "d")},{_tokens("benchmark", "item_id", "q")},
-n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean_size FROM d),
+BM25_STEPS = """n AS (SELECT count(*) AS n, avg(len(tokens)) AS mean_size FROM d),
 df AS (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS token FROM d) GROUP BY token),
 raw AS (SELECT token, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n),
 idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
@@ -68,6 +69,10 @@ posted AS (SELECT doc_id, doc_size, token, count(*) AS tf FROM (SELECT doc_id, l
 scored AS (
   SELECT item_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_size / mean_size))) AS bm25
   FROM posted JOIN wanted USING (token) JOIN idf USING (token), n GROUP BY ALL)"""
+#: The blocks that SQL of other modules is built from.
+NORMALISED, token_steps = _NORM, _tokens
+_BM25 = f"""{_tokens("documents", "doc_id", "d")},{_tokens("benchmark", "item_id", "q")},
+{BM25_STEPS}"""
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -262,6 +267,15 @@ def bm25_topk(spark, sf_dir):
     return sparse.top(scored, "item_id", "doc_id", F.round("bm25", 9), TOP).select("item_id", "doc_id", "rank", F.round("bm25", 6).alias("bm25"))
 
 
+@query(_sql["bm25_topk"])
+def bm25_stored(spark, sf_dir):
+    """The same from an index that is kept in files, of which only what can matter is read and scored."""
+    index = StoredIndex(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}")
+    index.add(_read(spark, sf_dir, "documents"), 0)
+    asked = sparse.tokenized(_read(spark, sf_dir, "benchmark"), "item_id")
+    return index.top(asked, "item_id", TOP).select("item_id", "doc_id", "rank", F.round("bm25", 6).alias("bm25"))
+
+
 _SCALED = f"""{_BM25},
 bound AS (SELECT item_id, least(min(bm25), CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN 0.0 ELSE min(bm25) END) AS low, greatest(max(bm25), CASE WHEN count(*) < (SELECT count(*) FROM documents) THEN 0.0 ELSE max(bm25) END) AS high FROM scored GROUP BY item_id),
 scaled AS (SELECT item_id, doc_id, bm25, CASE WHEN high - low > 1e-6 THEN (bm25 - low) / (high - low) ELSE 0.0 END AS sparse_score FROM scored JOIN bound USING (item_id)),
@@ -305,6 +319,26 @@ def dense_topk_filtered(spark, sf_dir):
     return dense.cosine_top(asked, vectors.where(hybrid.matches(vectors.columns, {"label": 1})), "query_id", "vec_id", TOP).select("query_id", "vec_id", "rank", F.round("dense_score", 6).alias("sim"))
 
 
+def _near(spark, sf_dir, exact: bool):
+    vectors = _read(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = cells.built(vectors, "vec_id")
+    found = cells.near_top(asked, index, "query_id", TOP, 16 if exact else cells.probes_for(asked, index, "query_id", TOP), exact)
+    return found.select("query_id", "vec_id", "rank", F.round("dense_score", 6).alias("sim"))
+
+
+@query(_sql["dense_topk_cosine"])
+def dense_topk_cells(spark, sf_dir):
+    """The same by cells, exact by their radius."""
+    return _near(spark, sf_dir, True)
+
+
+@query()
+def dense_topk_approximate(spark, sf_dir):
+    """The nearest of as many cells as a recall of 0.95 takes; tests measure it."""
+    return _near(spark, sf_dir, False)
+
+
 _ASKED = "vec_id IN (SELECT item_id FROM benchmark)"
 _FUSED = f"""{_SCALED}, {_cosine_sql("true", _ASKED, 50)},
 joined AS (SELECT coalesce(b.item_id, n.query_id) AS item_id, coalesce(b.doc_id, n.vec_id) AS doc_id, coalesce(n.sim, 0.0) AS d, coalesce(b.sparse_score, 0.0) AS s FROM best b FULL JOIN near n ON b.item_id = n.query_id AND b.doc_id = n.vec_id),
