@@ -6,7 +6,8 @@ min-hash are compared with one of them, which joins most groups of near copies c
 than one group left then gets a signature tree: its leaves are nodes, and an upper node holds the OR of their token
 bitmaps, the range of their sizes and of their groups. Pairs of tree nodes are traversed from the root down; a pair goes
 when the largest overlap that its bitmaps and sizes allow is too small, or when all below it is one group already. The
-pairs of leaves that are left are compared by their whole sets.
+pairs of leaves that are left are compared by their whole sets: in the first rounds each node's most promising one, which
+soon makes one group of near copies, and in the last round all that still join two groups.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BLOCK_ROWS = 20_000
 _SMALL = 16
 #: Most rows that are broadcast to find the documents of a comparison; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rounds of best pairs go on while one in so many of their pairs is a link.
+ENOUGH = 4
 _SLICE = 1 << 15
 _WORD = ~common.SPACES
 
@@ -108,18 +111,38 @@ def _bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [b.tobytes() for b in np.packbits(bits, axis=1, bitorder="little")]
 
 
+def _wide_bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Bitmaps that grow with their sets: four bits an element at least, a power of two."""
+    out = []
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = np.zeros(max(BITS, 1 << max(0, 4 * (e - s) - 1).bit_length()), bool)
+        bits[(grams[s:e] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def _may_be_similar(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """The bound of two sets by their wide bitmaps, the longer one folded to the length of the other."""
+    p, q = (np.frombuffer(b, np.uint64) for b in (x, y))
+    width = min(len(p), len(q))
+    p, q = (np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in (p, q))
+    shared = int(np.bitwise_count(p & q).sum())
+    overlap = min(n - int(np.bitwise_count(p).sum()), m - int(np.bitwise_count(q).sum())) + shared
+    return (100 + percent) * min(overlap, n, m) >= percent * (n + m)
+
+
 def prefix_length(sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """How many first shingles of a set hold one at least that any similar set has among its own first ones."""
     return np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
 
 
 def signed(docs: DataFrame, key: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(key, n, node, heads, tokens, bits) of every row: size and name of its set, min-hashes, first shingles, bitmap."""
+    """(key, n, node, heads, tokens, bits, wide) of every row: size and name of its set, min-hashes, first shingles, bitmaps."""
     sent = docs.sparkSession.sparkContext.broadcast(bin_counts(docs, shingle))
 
     def run(batches):
         for batch in batches:
-            n, nodes, heads, tokens, bits = [], [], [], [], []
+            n, nodes, heads, tokens, bits, wide = [], [], [], [], [], []
             for grams, at in shingle_sets(batch.column(1), shingle):
                 sizes = np.diff(at)
                 who = np.repeat(np.arange(len(sizes)), sizes)
@@ -132,11 +155,12 @@ def signed(docs: DataFrame, key: str, percent: int = PERCENT, shingle: int = SHI
                 heads.append((np.where(sizes > 0, HEADS, 0), least.ravel()))
                 tokens.append((prefix_length(sizes, percent), grams[rare][first]))
                 bits += _bitmaps(grams, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(nodes, pa.binary()), _lists(heads), _lists(tokens), pa.array(bits, pa.binary())], names=[key, "n", "node", "heads", "tokens", "bits"])
+                wide += _wide_bitmaps(grams, at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64()), pa.array(nodes, pa.binary()), _lists(heads), _lists(tokens), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())], names=[key, "n", "node", "heads", "tokens", "bits", "wide"])
         common.trimmed()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n long, node binary, heads array<long>, tokens array<long>, bits binary")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n long, node binary, heads array<long>, tokens array<long>, bits binary, wide binary")
 
 
 def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
@@ -166,8 +190,8 @@ class SignatureTree:
         return down, down < len(self.levels[level - 1][1])
 
 
-def _possible(x: tuple, p: np.ndarray, y: tuple, q: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a pair below nodes p and q can be similar and joins two groups.
+def _margin(x: tuple, p: np.ndarray, y: tuple, q: np.ndarray, percent: int) -> np.ndarray:
+    """By how much the best pair below nodes p and q can exceed the threshold; below 0 if it can't, or joins no two groups.
 
     A set has no more elements in another than the bits they share and its elements beyond its own bits, and no more
     than either has. Between leaves this is the bound of that pair.
@@ -175,7 +199,8 @@ def _possible(x: tuple, p: np.ndarray, y: tuple, q: np.ndarray, percent: int) ->
     shared = np.bitwise_count(x[0][p] & y[0][q]).sum(axis=1, dtype=np.int64)
     overlap = np.minimum(np.minimum(x[3][p], y[3][q]) + shared, np.minimum(x[2][p], y[2][q]))
     one = (x[4][p] == x[5][p]) & (y[4][q] == y[5][q]) & (x[4][p] == y[4][q])
-    return ((100 + percent) * overlap >= percent * (x[1][p] + y[1][q])) & ~one
+    both = x[1][p] + y[1][q]
+    return np.where(one, -1.0, ((100 + percent) * overlap - percent * both) / np.maximum(both, 1))
 
 
 def traverse(left: SignatureTree, right: SignatureTree, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -189,7 +214,7 @@ def traverse(left: SignatureTree, right: SignatureTree, percent: int = PERCENT)
         if len(p) > _SLICE:
             stack += [(level, p[i : i + _SLICE], q[i : i + _SLICE]) for i in range(0, len(p), _SLICE)]
             continue
-        keep = _possible(left.levels[level], p, right.levels[level], q, percent)
+        keep = _margin(left.levels[level], p, right.levels[level], q, percent) >= 0
         p, q = p[keep], q[keep]
         if not len(p):
             continue
@@ -205,8 +230,9 @@ def traverse(left: SignatureTree, right: SignatureTree, percent: int = PERCENT)
         stack.append((level - 1, a[row, i], b[row, j]))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the blocks of a partition: rows (block, side, id, comp, n, bits); side 0 is compared within itself, 1 with 2."""
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the blocks of a partition: rows (block, side, id, comp, n, bits); side 0 is compared within itself, 1 with 2.
+    best_only leaves each row's most promising pair."""
 
     def sent(a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -219,33 +245,46 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
     order = np.lexsort((side, block))
     block, side, ids, comp, n, bits = block[order], side[order], ids[order], comp[order], n[order], bits[order]
+    leaf = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), comp, comp)
+    best, partner = np.full(len(block), -1.0), np.full(len(block), -1)
+
+    for p, q in _row_pairs(block, side, leaf, percent):
+        if not best_only:
+            yield sent(ids[p], ids[q])
+            continue
+        margin = _margin(leaf, p, leaf, q, percent)
+        for x, y in ((p, q), (q, p)):
+            better = np.flatnonzero(margin > best[x])
+            better = better[np.argsort(margin[better], kind="stable")]  # of a row's pairs the last one, the best, is what stays
+            best[x[better]], partner[x[better]] = margin[better], y[better]
+    x = np.flatnonzero(partner >= 0)
+    yield sent(ids[x], ids[partner[x]])
+    common.trimmed()
+
+
+def _row_pairs(block: np.ndarray, side: np.ndarray, leaf: tuple, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, in order of block and side, that may be similar."""
+    bits, n, comp = leaf[0], leaf[1], leaf[4]
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     size = np.diff(np.r_[first, len(block)])
     small = (size <= _SMALL) & (side[first] == 0)
-    leaf = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), comp, comp)
     end = np.repeat(np.where(small, first + size, 0), size)  # of a row's block, 0 in large ones
     at = np.arange(len(block))
     for step in range(1, _SMALL):
         for low in range(0, len(at), 1 << 18):
             p = at[low : low + (1 << 18)]
             p = p[p + step < end[p]]
-            p = p[_possible(leaf, p, leaf, p + step, percent)]
-            if len(p):
-                yield sent(ids[p], ids[p + step])
+            p = p[_margin(leaf, p, leaf, p + step, percent) >= 0]
+            yield p, p + step
     for s, e in zip(first[~small].tolist(), (first + size)[~small].tolist(), strict=True):
         cut = s + int(np.searchsorted(side[s:e], 2))
         if side[s] == 0:
             tree = SignatureTree(bits[s:e], n[s:e], comp[s:e])
-            pairs = ((s + p, s + q) for p, q in traverse(tree, tree, percent))
+            yield from ((s + p, s + q) for p, q in traverse(tree, tree, percent))
         elif s < cut < e:
             height = max(len(SignatureTree(bits[x:y], n[x:y], comp[x:y]).levels) for x, y in ((s, cut), (cut, e)))
             one, two = (SignatureTree(bits[x:y], n[x:y], comp[x:y], height) for x, y in ((s, cut), (cut, e)))
-            pairs = ((s + p, cut + q) for p, q in traverse(one, two, percent))
-        else:
-            continue
-        for p, q in pairs:
-            yield sent(ids[p], ids[q])
-    common.trimmed()
+            yield from ((s + p, cut + q) for p, q in traverse(one, two, percent))
 
 
 def dealt(blocks: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
@@ -273,29 +312,76 @@ def dealt(blocks: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
     return whole.unionByName(pieces.join(met, ["token", "piece"]).select("block", "side", "id", "comp", "n"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of node ids whose whole sets are similar. The sets are made from the texts of those nodes' documents."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = common.staged(nodes.select("id", "node", F.col("least").alias("__key")).join(needed, "id"), "jaccard-needed")
-    keys = needed.select("__key").distinct()
-    if needed.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    texts = docs.select(F.col(key).alias("__own"), "text").join(keys, F.col("__own").eqNullSafe(F.col("__key")), "left_semi").select("text")
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of node ids that the bound by their wide bitmaps leaves."""
+    one, two = (nodes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("wide").alias(f"{c}_wide")) for c in ("a", "b"))
 
     def run(batches):
         for batch in batches:
-            names, sizes, grams = [], [], []
-            for g, at in shingle_sets(batch.column(0), shingle):
-                names += _node_names(g, at)
-                sizes.append((np.diff(at), g))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(sizes)], names=["node", "grams"])
-        common.trimmed()
+            x, n, y, m = (batch.column(c).to_pylist() for c in ("a_wide", "a_n", "b_wide", "b_n"))
+            kept = [_may_be_similar(*r, percent) for r in zip(x, n, y, m, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "a_n", "a_wide", "b_n", "b_wide").mapInArrow(run, "a long, b long")
+
+
+def _similar(batches: Iterator[pa.RecordBatch], percent: int, shingle: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (a, b, a_node, b_node, a_text, b_text) whose texts have the sets of that name, and similar ones."""
+    for whole in batches:
+        size = whole.column("a_text").nbytes + whole.column("b_text").nbytes
+        step = max(1, int(whole.num_rows * common.CHUNK * 4 / max(size, 1)))
+        for at_row in range(0, whole.num_rows, step):
+            batch = whole.slice(at_row, step)
+            named, parts, sizes = np.ones(batch.num_rows, bool), [], []
+            for side in ("a", "b"):
+                names, row = [], 0
+                n = np.zeros(batch.num_rows, np.int64)
+                for grams, at in shingle_sets(batch.column(f"{side}_text"), shingle):
+                    names += _node_names(grams, at)
+                    n[row : row + len(at) - 1] = np.diff(at)
+                    parts.append((np.repeat(np.arange(row, row + len(at) - 1), np.diff(at)), grams))
+                    row += len(at) - 1
+                named &= np.array([x == y for x, y in zip(names, batch.column(f"{side}_node").to_pylist(), strict=True)], bool)
+                sizes.append(n)
+            row, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((grams, row))
+            row, grams = row[order], grams[order]
+            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (grams[1:] == grams[:-1])], minlength=batch.num_rows)
+            kept = named & ((100 + percent) * both >= percent * (sizes[0] + sizes[1]))
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+    common.trimmed()
 
-    sets = texts.mapInArrow(run, "node binary, grams array<long>").join(needed.select("id", "node"), "node").select("id", "grams").dropDuplicates(["id"])
-    sets = common.staged(sets, "jaccard-sets")
-    one, two = (sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    return pairs.join(two, "b").join(one, "a").where((100 + percent) * both >= percent * (F.size("a_grams") + F.size("b_grams"))).select("a", "b")
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The pairs (a, b) of node ids whose whole sets are similar, as the texts of those nodes' documents give them.
+
+    The texts of `a` travel to those of `b`, which may be in many pairs. docs has no two rows of one key and text.
+    """
+    pairs = common.staged(plausible(pairs, nodes, percent), "jaccard-plausible")
+    side = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda df: df
+    of = lambda c: nodes.select(F.col("id").alias(c), F.col("least").alias(f"{c}_key"), F.col("node").alias(f"{c}_node"))
+    texts = docs.select(F.col(key).alias("__own"), "text")
+    one = texts.join(side(pairs.join(of("a"), "a")), F.col("__own").eqNullSafe(F.col("a_key"))).select("a", "b", "a_node", F.col("text").alias("a_text"))
+    two = texts.join(side(pairs.select("b").distinct().join(of("b"), "b")), F.col("__own").eqNullSafe(F.col("b_key"))).select("b", "b_node", F.col("text").alias("b_text"))
+    both = one.join(two, "b").select("a", "b", "a_node", "b_node", "a_text", "b_text")
+    return both.mapInArrow(lambda batches: _similar(batches, percent, shingle), "a long, b long")
+
+
+def _mixed_blocks(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, id, comp, n, rows) of the rows (token, id, n) whose token has nodes of more than one group."""
+    named = blocks.join(roots, "id", "left").select("id", "n", F.coalesce("root", "id").alias("comp"), "token")
+    mixed = common.staged(named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token"), "jaccard-mixed")
+    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
+    named = common.staged(named.join(mixed, "token"), "jaccard-blocks")
+    return named.join(named.groupBy("token").agg(F.count("*").alias("rows")), "token")
+
+
+def _found(blocks: DataFrame, nodes: DataFrame, percent: int, best_only: bool, block_rows: int) -> DataFrame:
+    """The pairs (a, b) that blocks bring, each once."""
+    blocks = common.staged(blocks, "jaccard-dealt")
+    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, math.ceil(blocks.count() / (4 * block_rows)))
+    rows = blocks.join(nodes.select("id", "bits"), "id").repartition(parts, "block").select("block", "side", "id", "comp", "n", "bits")
+    return rows.mapInArrow(lambda batches: _block_pairs(batches, percent, best_only), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -306,7 +392,9 @@ def classes(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, shingl
     columns change nothing, an empty table has no rows.
     """
     rows = common.staged(signed(docs, key, percent, shingle), "jaccard-signed")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("least"), *(F.first(c).alias(c) for c in ("n", "heads", "tokens", "bits")))
+    if not rows.groupBy(key).count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates([key, "text"])
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("least"), *(F.first(c).alias(c) for c in ("n", "heads", "tokens", "bits", "wide")))
     nodes = common.staged(nodes.withColumn("id", F.monotonically_increasing_id()), "jaccard-nodes")
 
     heads = nodes.select("id", F.posexplode("heads").alias("seed", "head"))
@@ -315,17 +403,17 @@ def classes(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, shingl
     stars = heads.join(stars, ["seed", "head"]).where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     links = common.staged(verified(common.staged(stars.distinct(), "jaccard-stars"), nodes, docs, key, percent, shingle), "jaccard-links")
 
-    roots = components(links).withColumnRenamed("node", "id")
-    firsts = nodes.select("id", "n", "tokens").join(roots, "id", "left").select("id", "n", F.coalesce("root", "id").alias("comp"), F.explode("tokens").alias("token"))
-    mixed = firsts.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "rows")
-    mixed = common.staged(mixed, "jaccard-mixed")
-    mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed
-    blocks = dealt(common.staged(firsts.join(mixed, "token"), "jaccard-blocks"), block_rows)
-    blocks = common.staged(blocks, "jaccard-dealt")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(blocks.count() / (4 * block_rows)))
-    pairs = blocks.join(nodes.select("id", "bits"), "id").repartition(parts, "block").select("block", "side", "id", "comp", "n", "bits")
-    pairs = pairs.mapInArrow(lambda batches: _block_pairs(batches, percent), "a long, b long").distinct()
-    links = links.unionByName(verified(common.staged(pairs, "jaccard-pairs"), nodes, docs, key, percent, shingle))
+    blocks, best_only = nodes.select("id", "n", F.explode("tokens").alias("token")), True
+    while True:
+        roots = components(links).withColumnRenamed("node", "id")
+        blocks = _mixed_blocks(blocks, roots)
+        pairs = common.staged(_found(dealt(blocks, block_rows), nodes, percent, best_only, block_rows), "jaccard-pairs")
+        new = common.staged(verified(pairs, nodes, docs, key, percent, shingle), "jaccard-links")
+        links = links.unionByName(new)
+        if not best_only:
+            break
+        best_only = new.count() * ENOUGH > pairs.count()
+        blocks = blocks.select("id", "n", "token")
 
     roots = components(links).withColumnRenamed("node", "id")
     named = nodes.select("id", "node", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
