@@ -266,6 +266,7 @@ def test_extracted_answers_and_the_whole_way(spark):
     assert [s.chunk_id for s in got[1].sources_used] == [c.chunk_id for c in got[1].citations] and not got[2].sources_used
     assert got[1].hallucination_check.is_grounded and got[1].hallucination_check.n_sentences > 0 and got[1].hallucination_check.reason is None
     assert got[2].hallucination_check.reason == "confidence_below_threshold" and not got[2].hallucination_check.is_grounded
+    assert len(got[1].hallucination_check.sentences) == got[1].hallucination_check.n_sentences and got[2].hallucination_check.sentences == [] == got[3].hallucination_check.sentences
     searched = spark.createDataFrame([(4,)], "q int")
     assert {r.q: r.outcome for r in plan.answered(asked, hits, catalog(spark), "q", searched=searched).collect()}[4] == "no_rerank_results"
 
@@ -355,3 +356,67 @@ def test_chunk_input_and_collections(spark, tmp_path):
 def test_denied_mentions(spark, sentence, entity, want):
     row = spark.createDataFrame([(sentence, entity)], "s string, e string").select(grounding.is_denied(F.col("s"), F.col("e")).alias("x")).first()
     assert row.x is want
+
+
+def test_counts_in_rows_equal_counts_by_grouping(spark):
+    docs = [(1, ["b", "a", "b", "é", "b"]), (2, []), (3, ["x"]), (4, ["z"] * 50 + ["y"] * 20)]
+    df = spark.createDataFrame(docs, "k long, tokens array<string>")
+    rows = df.select("k", F.explode(sparse.counted(F.col("tokens"))).alias("x")).select("k", "x.token", "x.tf").collect()
+    assert sorted(map(tuple, rows)) == sorted((k, t, tokens.count(t)) for k, tokens in docs for t in set(tokens))
+
+
+@pytest.mark.parametrize("n_docs", [3, 4])
+def test_best_rows_scale_as_all_do(spark, n_docs):
+    pairs = spark.createDataFrame([(1, 1, 2.0), (1, 2, 5.0), (1, 3, 3.0), (2, 1, 4.0), (3, 1, -1.0), (3, 2, -2.0), (3, 3, -3.0)], "q long, d long, s double")
+    whole = {(r.q, r.d): r.x for r in sparse.minmax(pairs, "q", n_docs, "s", "x").collect()}
+    best = sparse.best_scaled(pairs, "q", "d", n_docs, 2, "s", "x").collect()
+    assert {(r.q, r.d): r.x for r in best}.items() <= whole.items() and len(best) == 5
+
+
+@pytest.mark.parametrize(
+    ("paragraph", "rule"),
+    [
+        ("Qual é o prazo para a devolução?", "question"),
+        ("1. Prazos de entrega", "title again"),
+        ("12) Curto demais.", "fragment"),
+        ("Uma linha que não acaba com ponto", "not ended"),
+        ("2.1. POLÍTICA DE TROCAS – LOJAS, SITES E TODOS OS OUTROS CANAIS DA CASA", "numbered capitals"),
+        ("A tabela tem Modalidade e Disponibilidade em cada linha, com prazos e valores de frete.", "table head"),
+        ("O prazo de entrega é de três dias.", None),
+        ("2.1. POLÍTICA de trocas com letras pequenas e mais texto para que seja longa", None),
+    ],
+)
+def test_noise_rules(spark, paragraph, rule):
+    row = spark.range(1).select(F.struct(*(c.alias(k) for k, c in answering.noise_rules(F.lit(paragraph), F.lit("Prazos de Entrega")).items())).alias("x"), answering.is_noise(F.lit(paragraph), F.lit("Prazos de Entrega")).alias("any")).first()
+    assert row["any"] == (rule is not None)
+    assert rule is None or row.x[rule]
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("**RESUMO executivo:**\n Sim.\n\nsolto\n\n**Detalhamento normativo:** Tudo.\nMais.\n**Base Normativa e Fontes:**\n• x", ("Sim.", "Tudo.\nMais.")),
+        ("**Resumo:** a **Detalhamento:** b **Fontes:** c", ("a", "b")),
+        ("**Resumo Direto:** só a primeira parte com muitas palavras.", ("**Resumo Direto:** só a primeira parte com muitas palavras.",) * 2),
+        ("Com base na documentação oficial\nsegue o texto", ("Com base na documentação oficial", "segue o texto")),
+        ("Com base na documentação oficial:", ("Com base na documentação oficial:",) * 2),
+        (" [fonte: a, b]\nUm texto com mais de quatro palavras.\n[FONTE: c]", ("Um texto com mais de quatro palavras.",) * 2),
+    ],
+)
+def test_summaries_by_headings(spark, answer, want):
+    df = spark.createDataFrame([(answer,)], "a string").select(rendering.summary_and_details(F.col("a")).alias("x"))
+    assert tuple(df.first().x) == want
+
+
+@pytest.mark.parametrize(("asked", "left"), [("Olá! Qual o prazo?", "Qual o prazo?"), ("oie, tudo", "tudo"), ("OIE\tcomo vai", "como vai"), ("oitenta dias", "oitenta dias"), ("hey !?- ab", "hey !?- ab"), ("Gostaria de saber, por favor, o prazo", "por favor, o prazo"), ("  boa noite ", "boa noite"), (None, None)])
+def test_leading_greetings(spark, asked, left):
+    from verdigraph.functions import text
+
+    assert spark.createDataFrame([(asked,)], "q string").select(text.search_query(F.col("q")).alias("q")).first().q == left
+
+
+def test_checked_sentences_keep_their_place(spark):
+    rows = [(1, "O prazo é de 3 dias. O prazo é de 9 dias.", "o prazo é de 3 dias úteis"), (2, "", "x"), (3, None, None)]
+    got = {r.k: r for r in grounding.verify(spark.createDataFrame(rows, "k long, answer string, context string"), "k").collect()}
+    assert [(s.sentence, s.is_grounded, s.ungrounded) for s in got[1].sentences] == [("O prazo é de 3 dias.", True, []), ("O prazo é de 9 dias.", False, ["9 dias"])]
+    assert not got[1].is_grounded and got[2].sentences == [] and got[3].sentences == []

@@ -46,11 +46,15 @@ GROUNDING_SYNONYMS = {
     "salarios": "remuneracao beneficios pagamento salario",
     "ferias": "descanso recesso rh",
 }
+# Words of small talk, which say nothing about a question.
 CONVERSATIONAL = "bom dia boa tarde noite ola olá oi oie hey por favor gostaria saber pode dizer ajudar duvida duvidas dúvida dúvidas pergunta perguntas voce você sabe".split()
+# Messages that are greetings and nothing else, in normalised spelling.
 GREETINGS = (
     "bom dia|boa tarde|boa noite|ola|oi|oie|e ai|hey|hi|hello|tudo bem|ola tudo bem|oi tudo bem|bom dia tudo bem|boa tarde tudo bem|"
     "boa noite tudo bem|como vai|como voce esta|opa|salve|fala|ola assistente|ola bot"
 ).split("|")
+# Greetings in front of a question.
+OPENERS = "bom dia|boa tarde|boa noite|olá|ola|oi|oie|hey|por favor|gostaria de saber".split("|")
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,7 @@ def confidence_threshold(value, default: float = 0.35) -> float:
     return min(1.0, max(0.0, x)) if math.isfinite(x) else default
 
 
+# Words that switch the boost off and on.
 _OFF = {"false", "0", "0.0", "no", "none", "off", "disable", "disabled", "nao", "não", "desativado"}
 _ON = {"true", "1", "yes", "sim", "on", "enable", "enabled", "ativo", "ativado"}
 

@@ -1,6 +1,6 @@
 """BM25 over a batch of queries. Texts are cut into tokens once (`indexed`); statistics are one aggregation over the
-staged tokens. The queries' tokens, with their weights, are broadcast while they are few: documents are matched where
-they stand, one exchange by document sums the scores, and only the best rows of a task meet those of other tasks."""
+staged tokens. The queries' tokens, with their weights, are broadcast while they are few: a document counts its tokens in
+its own row, one exchange by document sums the scores, and only the best rows of a task meet those of other tasks."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigraph.functions.rules import SearchRules
-from verdigraph.functions.text import search_tokens
+from verdigraph.functions.text import let, search_tokens
 from verdigraph.staging import spread, staged
 
 #: Most (query, token) rows that are broadcast; more of them meet the documents by a shuffle.
@@ -35,6 +35,16 @@ def indexed(docs: DataFrame, key: str, text: str = "text", rules: SearchRules =
     return staged(tokenized(spread(docs.select(key, text)), key, text, rules), "search-tokens")
 
 
+def counted(tokens: Column) -> Column:
+    """array<struct<token, tf>> of a document's tokens: sorted, each run of equal ones is a token and its length a count."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+
+
 def document_frequencies(tokens: DataFrame) -> DataFrame:
     """(token, df); every document sends a token once."""
     return tokens.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -58,8 +68,8 @@ def scores(queries: DataFrame, tokens: DataFrame, query_key: str, key: str, para
     wanted = staged(wanted.join(weights.select("token", "idf"), "token").select(query_key, "token", (F.col("times") * F.col("idf")).alias("weight")), "wanted-tokens")
     side = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
     length = tokens.agg(F.avg(F.size("tokens")).alias("mean_size"))  # one row
-    posted = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode("tokens").alias("token")).join(side(wanted.select("token").distinct()), "token", "left_semi")
-    posted = posted.repartition(key).groupBy(key, "doc_size", "token").agg(F.count("*").alias("tf"))  # one exchange serves both aggregations
+    posted = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode(counted(F.col("tokens"))).alias("x")).select(key, "doc_size", "x.token", "x.tf")
+    posted = posted.join(side(wanted.select("token").distinct()), "token", "left_semi").repartition(key)
     hits = posted.join(side(wanted), "token").join(F.broadcast(length))
     norm = params.k1 * (1 - params.b + params.b * F.col("doc_size") / F.col("mean_size"))
     return hits.groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)).alias("bm25"))
@@ -86,10 +96,21 @@ def minmax(scored: DataFrame, query_key: str, n_docs: int | None, score: str, ou
     return scored.withColumn(out, F.when(high - low > 1e-6, (F.col(score) - low) / (high - low)).otherwise(0.0))
 
 
+def best_scaled(scored: DataFrame, query_key: str, key: str, n_docs: int, k: int, score: str, out: str) -> DataFrame:
+    """The k best rows per query, ranked, with their scores scaled as `minmax` does. The bounds are a row per query, counted
+    where the pairs are; of the pairs only the k best of each task travel."""
+    bounds = scored.groupBy(query_key).agg(F.min(score).alias("__low"), F.max(score).alias("__high"), F.count("*").alias("__n"))
+    best = top(scored, query_key, key, F.round(score, 9), k).join(bounds, query_key)
+    some_miss = F.col("__n") < n_docs
+    low, high = F.when(some_miss, F.least("__low", F.lit(0.0))).otherwise(F.col("__low")), F.when(some_miss, F.greatest("__high", F.lit(0.0))).otherwise(F.col("__high"))
+    return best.withColumn(out, F.when(high - low > 1e-6, (F.col(score) - low) / (high - low)).otherwise(0.0)).drop("__low", "__high", "__n")
+
+
 def overlap_scores(queries: DataFrame, tokens: DataFrame, query_key: str, key: str) -> DataFrame:
     """(query_key, key, overlap): query tokens, repeats included, that the document holds, over its size plus one. The
     fallback where no BM25 index is at hand; pairs without a common token score 0 and have no row."""
     wanted = queries.select(query_key, F.explode("tokens").alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
+    wanted = staged(wanted, "wanted-tokens")
     held = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = held.join(wanted, "token").groupBy(query_key, key, "doc_size").agg(F.sum("times").alias("matches"))
+    hits = held.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "token").groupBy(query_key, key, "doc_size").agg(F.sum("times").alias("matches"))
     return hits.select(query_key, key, (F.col("matches") / (F.col("doc_size") + 1)).alias("overlap"))

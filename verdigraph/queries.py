@@ -255,8 +255,8 @@ def token_df(spark, sf_dir):
 
 @query(f"""WITH {_tokens("documents", "doc_id", "d")}, n AS MATERIALIZED (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL),
 df AS MATERIALIZED (SELECT token, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(tokens)) AS token FROM d) GROUP BY token),
-raw AS MATERIALIZED (SELECT token, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
-SELECT token, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END, 6) AS idf FROM raw, mean""")
+raw AS MATERIALIZED (SELECT token, df, ln((SELECT n FROM n) - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw)
+SELECT token, df::BIGINT AS df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT mean FROM mean) ELSE raw END, 6) AS idf FROM raw""")
 def bm25_idf(spark, sf_dir):
     return sparse.idf(sparse.indexed(_read(spark, sf_dir, "documents"), "doc_id")).select("token", "df", F.round("idf", 6).alias("idf"))
 
@@ -283,8 +283,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 
 
 def _sparse_hits(spark, sf_dir):
-    scored = sparse.minmax(_bm25(spark, sf_dir)[2], "item_id", _read(spark, sf_dir, "documents").count(), "bm25", "sparse_score")
-    return sparse.top(scored, "item_id", "doc_id", F.round("bm25", 9), hybrid.candidates(TOP))
+    n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    return sparse.best_scaled(_bm25(spark, sf_dir)[2], "item_id", "doc_id", n_docs, hybrid.candidates(TOP), "bm25", "sparse_score")
 
 
 @query(f"WITH {_SCALED} SELECT item_id, doc_id, round(sparse_score, 6) AS sparse_score FROM best")
@@ -460,7 +460,7 @@ def check_response(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     after = Window.partitionBy("lang", F.floor(F.col("doc_id") / 50)).orderBy("doc_id")
     docs = docs.select("doc_id", F.col("text").alias("answer"), F.coalesce(F.lead("text").over(after), F.lit("")).alias("context"))
-    return grounding.checked(docs, "doc_id")
+    return grounding.checked(docs, "doc_id").drop("sentences")
 
 
 _AUDIT = {"the": r"\bthe\b", "shift": r"\b[0-9] ?[xX] ?[0-9]\b", "percent": r"[0-9]+(?:[.,][0-9]+)?%", "license": "(?i)licen[sc]e"}
@@ -531,11 +531,28 @@ def summarize_answers(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", rendering.summary_and_details(F.col("text")).alias("x")).select("doc_id", "x.tldr", "x.details")
 
 
-@query()
+def _fallback_sql() -> str:
+    values = [(k, n, f"Equipe de {n}", f"{k}@example.com", "0800-000-0000", "E-mail", "Dias úteis", "Escreva à equipe.") for k, n, _, _ in _ROUTES]
+    rows = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in values)
+
+    def filled(layout: str) -> str:
+        out = "'" + layout.replace("{7}", rendering.fallback_opening()).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        for i, c in enumerate(("name", "who", "mail", "phone", "way", "hours", "todo")):
+            out = f"replace({out}, '{{{i}}}', {c})"
+        return out
+
+    return f"""WITH r AS ({_route_sql()}), d(department_key, name, who, mail, phone, way, hours, todo) AS (VALUES {rows})
+SELECT conv_id, turn, department_key, CASE turn // 2 % 3 WHEN 0 THEN {filled(rendering.FALLBACK['email'])} WHEN 1 THEN {filled(rendering.FALLBACK['teams_slack'])} ELSE {filled(rendering.FALLBACK['chat'])} END AS message
+FROM r JOIN d USING (department_key)"""
+
+
+@query(_fallback_sql())
 def fallback_message(spark, sf_dir):
+    """What every question of the conversations gets if nothing answers it, in the channels in turn."""
     catalog = routing.default_catalog(spark)
-    names = catalog.select(F.explode(F.array(*map(F.lit, ("chat", "email", "teams_slack", "slack")))).alias("channel_name"), F.struct(*catalog.columns).alias("d"))
-    return names.select("channel_name", "d.department_key", rendering.fallback(F.col("channel_name"), F.col("d")).alias("message"))
+    names = F.element_at(F.array(F.lit(" Email"), F.lit("teams_slack"), F.lit("slack")), (F.floor(F.col("turn") / 2) % 3 + 1).cast("int"))
+    desks = catalog.select("department_key", F.struct(*catalog.columns).alias("d"))
+    return route_intent(spark, sf_dir).join(F.broadcast(desks), "department_key").select("conv_id", "turn", "department_key", rendering.fallback(names, F.col("d")).alias("message"))
 
 
 @query()
