@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import PurePath
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,9 @@ CHUNK_SCHEMA = T.StructType(
     + [T.StructField("text", T.StringType())]
 )
 
+#: Folders of a store; a batch rewrites those that it has chunks of.
+BUCKETS = 64
+
 
 def extractor_installed(tool: str = "pdftotext") -> bool:
     return shutil.which(tool) is not None
@@ -114,42 +118,69 @@ def chunk_input(spark: SparkSession, given=None, size: int = 100) -> DataFrame:
     return indexable(spark.createDataFrame(rows, CHUNK_SCHEMA)) if rows else none
 
 
+def _bucketed(chunks: DataFrame, buckets: int) -> DataFrame:
+    return indexable(chunks).withColumn("chunk_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int"))
+
+
+def put(chunks: DataFrame, path: str, batch: int, buckets: int = BUCKETS) -> list[int]:
+    """Upserts a batch of chunks into the store in a folder, and returns the buckets that it touched.
+
+    `changes` keeps the rows of every batch, `store` the newest row of every chunk_id, both in folders by a hash of the
+    chunk_id. Only the store's touched buckets are written anew, from the changes to them, so what a batch writes follows
+    what is in it. Nothing that is read is overwritten: a batch that failed anywhere is put again, under its number, and
+    leaves what one attempt leaves. Batches are numbered upwards.
+    """
+    new, spark = _bucketed(chunks, buckets), chunks.sparkSession
+    folder = f"{path}/changes/change_batch={batch}"
+    new.hint("rebalance", "chunk_bucket").write.mode("overwrite").partitionBy("chunk_bucket").parquet(folder)
+    touched = sorted(r[0] for r in spark.read.schema(new.schema).parquet(folder).select("chunk_bucket").distinct().collect())  # at most `buckets`
+    if touched:
+        kind = T.StructType([*new.schema.fields, T.StructField("change_batch", T.LongType())])
+        known = spark.read.schema(kind).parquet(f"{path}/changes").where(F.col("chunk_bucket").isin(touched) & (F.col("change_batch") <= batch))
+        latest = Window.partitionBy("chunk_id").orderBy(F.desc("change_batch"))
+        current = known.withColumn("__n", F.row_number().over(latest)).where("__n = 1").select(*new.columns)
+        current.hint("rebalance", "chunk_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_bucket").parquet(f"{path}/store")
+    return touched
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The chunks of a store as they stand; None before the first one."""
+    try:
+        return spark.read.parquet(f"{path}/store").drop("chunk_bucket")
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 class ChunkStore:
-    """A chunk collection: a folder of Parquet versions, or, without a path (or with ":memory:"), one that ends with the
-    application, in the shared folder of the session. Each change writes a new version; readers keep theirs."""
+    """A chunk collection: a store in a folder, or, without a path (or with ":memory:"), one that ends with the
+    application, in the shared folder of the session. A plan that reads it sees the buckets as they are when it runs."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.buckets = spark, buckets
         lasting = bool(path) and path != ":memory:"
         self.path = path if lasting else f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/collection-{uuid.uuid4().hex}"
 
-    def _folder(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _versions(self) -> list[int]:
-        fs, path = self._folder()
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        whole = [p.getName() for p in found if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in whole if n[:1] == "v" and n[1:].isdigit())
-
     def read(self) -> DataFrame:
-        known = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{known[-1]}") if known else self.spark.createDataFrame([], CHUNK_SCHEMA)
+        found = read_store(self.spark, self.path)
+        return self.spark.createDataFrame([], CHUNK_SCHEMA) if found is None else found
 
     def upsert(self, chunks: DataFrame) -> int:
         """How many chunks the collection has afterwards."""
-        known = self._versions()
-        store = self.read() if known else chunks.limit(0)
-        upserted(store, chunks).write.mode("overwrite").parquet(f"{self.path}/v{known[-1] + 1 if known else 0}")
+        try:
+            last = self.spark.read.parquet(f"{self.path}/changes").agg(F.max("change_batch")).first()[0]
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            last = None
+        put(chunks, self.path, 0 if last is None else last + 1, self.buckets)
         return self.read().count()
 
     def clear(self) -> None:
-        """Removes all chunks; the collection can be used again."""
-        fs, path = self._folder()
-        fs.delete(path, True)
+        """Removes all chunks, also for whoever is reading them; the collection can be used again."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def audited(chunks: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:

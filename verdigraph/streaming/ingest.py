@@ -1,46 +1,18 @@
-"""Continuous upserts into a chunk store kept as versioned Parquet folders."""
+"""Continuous upserts into a chunk store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from verdigraph.sources.documents import upserted
+from verdigraph.sources.documents import BUCKETS, put, read_store  # noqa: F401
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def upsert_stream(chunks: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Upserts what is available of a stream of chunks. A batch that is repeated has its number again and replaces what it
+    left behind. Store and checkpoint belong together."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        put(batch, path, number, buckets)
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Whole versions, oldest first; a version without its success mark is the rest of a failed batch."""
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    mark = lambda n: _fs(spark, f"{path}/{n}/_SUCCESS")
-    return sorted((n for n in names if n.startswith("v") and mark(n)[0].exists(mark(n)[1])), key=lambda n: int(n[1:]))
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
-
-
-def upsert_stream(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Upserts what is available of a stream of chunks, a version a batch.
-
-    A batch writes the version of its own number, so a repeated batch replaces what it left behind; the version
-    before the last stays for its readers.
-    """
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = [v for v in _versions(spark, path) if int(v[1:]) < number]
-        store = spark.read.parquet(f"{path}/{known[-1]}") if known else batch.limit(0)
-        upserted(store, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-        for old in known[:-1]:
-            fs, p = _fs(spark, f"{path}/{old}")
-            fs.delete(p, True)
-
-    return chunks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
