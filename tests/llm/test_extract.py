@@ -44,11 +44,12 @@ def brute_scores(pages):
             spread = [entropy(t) / math.log(m) if m > 1 else 0.0 for t in segments[node].values()]
             below.append((m, 1 - sum(spread) / len(spread)))
         inner = sum(p * x for p, x in below) / sum(p for p, _ in below) if below else 1.0
-        importance[node] = (1 - 0.9 ** len(kinds)) * presentation + 0.9 ** len(kinds) * inner
+        decay = 0.9 ** len(kinds) if len(kinds) > 1 else 1.0
+        importance[node] = (1 - decay) * presentation + decay * inner
     out = {}
     for node, x in importance.items():
         m = len(styles[node])
-        out[node] = (x, (m / (m + 2) * x + 2 / (m + 2)) * (1 - 0.85 * named[node] / m))
+        out[node] = (x, (m / (m + 0.5) * x + 0.5 / (m + 0.5)) * (1 - 0.85 * named[node] / m))
     return out
 
 
@@ -120,3 +121,44 @@ def test_names_do_not_remove_the_main_text():
     assert page(f'<article><p>{words}</p></article><aside class="related"><article>Teaser</article></aside>') == words
     assert page(f'<p>{words} <span class="share">Share</span> More.</p>') == f"{words} More."
     assert page(f'<div class="sidebar-left" role="main"><p>{words}</p></div><article>Teaser</article>').startswith(words)
+
+
+def host_pages(n, make):
+    return [(i, f"http://h.example/{i}", page(i, make(i))) for i in range(n)]
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("pages", [3, 4, 20])
+def test_a_nameless_menu_goes_on_hosts_of_few_pages(spark, pages):
+    rows = host_pages(pages, lambda i: f"<div class=q><ul><li>Home<li>Shop</ul></div><div class=r><p>Story {i} of {i * 7} rivers.</p><p>And {i * 3} hills.</p></div>")
+    assert extracted(spark, rows)[1] == "Story 1 of 7 rivers.\n\nAnd 3 hills."
+
+
+def test_numbered_siblings_are_told_apart(spark):
+    rows = host_pages(12, lambda i: f"<div class=col-3><p>Home Shop Cart</p></div><div class=col-9><p>Story {i} of {i * 7} rivers.</p></div><div class=post-{1000 + i}><p>More {i} of {i * 5}.</p></div><div class=x3><p>All rights with us</p></div>")
+    assert extracted(spark, rows)[2] == "Story 2 of 14 rivers.\n\nMore 2 of 10."
+
+
+@pytest.mark.parametrize("depth", [4, 30])
+def test_deep_templates(spark, depth):
+    rows = host_pages(15, lambda i: "<div class=w>" * depth + f"<div class=t><p>Always the same</p></div><div class=u><p>Story {i} of {i * 7} rivers.</p><p>And {i * 3} hills.</p></div>" + "</div>" * depth)
+    assert extracted(spark, rows)[3] == "Story 3 of 21 rivers.\n\nAnd 9 hills."
+
+
+def test_the_name_of_a_node_is_no_part_of_it():
+    one, two = (extract.Page(f"<div class='{c}'><p>x</p></div><footer>y</footer>") for c in ("story", "story"))
+    assert one.nodes == two.nodes
+    wide = extract.Page("<form class=a><p>all of the text of this page</p></form>")
+    narrow = extract.Page("<form class=a><p>x</p></form><p>all of the text of this page</p>")
+    assert wide.nodes[1] == narrow.nodes[1] and wide.named[1] != narrow.named[1]
+
+
+def test_groups_of_pages_give_what_broadcast_verdicts_give(spark, monkeypatch):
+    rows = host_pages(30, lambda i: f"<div class=q><p>Home Shop</p></div><div class=r><p>Story {i} of {i * 7}.</p></div>") + [(99, None, "<p>no url</p>"), (98, "http://h.example/x", None)]
+    want = extracted(spark, rows)
+    monkeypatch.setattr(extract, "BROADCAST_NODES", -1)
+    monkeypatch.setattr(extract, "GROUP_PAGES", 4)
+    assert extracted(spark, rows) == want and want[98] == "" and want[99] == "no url"

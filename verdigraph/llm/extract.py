@@ -30,14 +30,14 @@ from verdigraph.llm import common
 
 #: A branch goes if its importance is below THRESHOLD.
 THRESHOLD = 0.2
-#: What a node's own name leaves of its importance, and how many pages outweigh the belief that a nameless node matters.
-NAMED_PART, BELIEF = 0.15, 2.0
+#: What a node's own name leaves of its importance, and how many pages weigh as much as the belief that a nameless node matters.
+NAMED_PART, BELIEF = 0.15, 0.5
 _GAMMA = 0.9
 #: Elements that lie deeper belong to their ancestor at this depth (named ones keep the verdict of their name).
 MOST_DEPTH = 64
-#: Up to so many verdicts are broadcast; beyond, pages meet them by host and one of SALTS numbers.
+#: Up to so many verdicts are broadcast; beyond, pages meet their host's verdicts in groups of about GROUP_PAGES.
 BROADCAST_NODES = 1_000_000
-SALTS = 32
+GROUP_PAGES = 2000
 
 # HTML's void, block and unrendered elements, and the names by which pages mark what is no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,7 +56,7 @@ NOISE = frozenset(
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ENDS_P = BLOCK - {"body", "html", "caption", "legend", "option", "optgroup"}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_NUMBER = re.compile(r"\d+")
+_NUMBER = re.compile(r"\d{3,}")  # counts pages and not columns
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -139,7 +139,7 @@ class Page(HTMLParser):
             if header and not heading and tag in BLOCK and tag not in HEADINGS and tag not in ("div", "hgroup", "section", "header"):
                 named = True
             if named or is_main or found.get("class") or role or tag in BLOCK:
-                signature = f"{tag}.{_NUMBER.sub('0', found.get('class') or '')}.{role}{'!' * named}"
+                signature = f"{tag}.{_NUMBER.sub('0', found.get('class') or '')}.{role}"
                 if named or is_main or self.depths[at] < MOST_DEPTH:
                     at = self._element(at, signature, named, is_main)
                     if named and tag not in NEVER_WIDE and role not in ROLES:
@@ -247,7 +247,7 @@ def _statistics(batches):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, parent, depth, pages, importance, score, share, named) of every style node of every host.
+    """(host, node, parent, depth, pages, content, importance, score, share, named) of every style node of every host.
 
     importance is the composite one; score is what it leaves after the evidence of names and the number of pages.
     Segments meet in two aggregations with map-side combining, so no task holds the text of a host or of a node.
@@ -273,7 +273,8 @@ def composite(nodes: DataFrame) -> DataFrame:
     """nodes (host, node, parent, depth, pages, styles, presentation, content, share, named) with importance and score.
 
     A node's composite importance is (1 - g**styles) of its presentation and g**styles of what is below: the mean of
-    its children and of its own content, weighted by pages. Each round handles one depth; there are MOST_DEPTH at most.
+    its children and of its own content, weighted by pages. A single style tells nothing, so wrappers pass on what is
+    below them, however many there are. Each round handles one depth; there are MOST_DEPTH at most.
     """
     deepest = nodes.agg(F.max("depth")).first()[0]
     done, below = [], None
@@ -286,9 +287,9 @@ def composite(nodes: DataFrame) -> DataFrame:
             level = level.join(below, ["host", "node"], "left")
         weight = F.coalesce("w", F.lit(0.0)) + own
         inner = F.when(weight > 0, (F.coalesce("x", F.lit(0.0)) + own * F.coalesce("content", F.lit(0.0))) / weight).otherwise(1.0)
-        decay = F.pow(F.lit(_GAMMA), F.col("styles"))
+        decay = F.when(F.col("styles") > 1, F.pow(F.lit(_GAMMA), F.col("styles"))).otherwise(1.0)
         importance = (1 - decay) * F.col("presentation") + decay * inner
-        level = level.select("host", "node", "parent", "depth", "pages", "share", "named", importance.alias("importance"))
+        level = level.select("host", "node", "parent", "depth", "pages", "content", "share", "named", importance.alias("importance"))
         level = common.staged(level, "style-tree")
         done.append(level)
         below = level.where("node <> parent").groupBy("host", F.col("parent").alias("node")).agg(F.sum("pages").cast("double").alias("w"), F.sum(F.col("pages") * F.col("importance")).alias("x"))
@@ -305,7 +306,8 @@ def verdicts(pages: DataFrame) -> DataFrame:
     and those that stay although they name themselves on some page."""
     tree = common.staged(style_tree(pages), "scored-tree")
     # pages that are all alike tell nothing: there, only nodes that name themselves go
-    alike = tree.where((F.col("node") == 0) & (F.col("importance") < THRESHOLD)).select("host", F.lit(True).alias("alike"))
+    texts = tree.where("content is not null").groupBy("host").agg((F.sum(F.col("content") * F.col("pages")) / F.sum("pages")).alias("content"))
+    alike = texts.where(F.col("content") < THRESHOLD).select("host", F.lit(True).alias("alike"))
     judged = tree.where((F.col("pages") > 1) & (F.col("node") != 0) & ((F.col("score") < THRESHOLD) | (F.col("named") > 0))).join(alike, "host", "left")
     gone = (F.col("score") < THRESHOLD) & ((F.col("named") >= 0.5) | F.col("alike").isNull())
     found = judged.groupBy("host").agg(F.collect_list(F.when(gone, F.col("node"))).alias("removed"), F.collect_list(F.when(~gone & (F.col("named") > 0), F.col("node"))).alias("kept"))
@@ -320,23 +322,38 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     found = common.staged(verdicts(pages), "site-verdicts")
     own = pages.select("page_id", "url", "html", host().alias("host"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string, n_chars long"
     if (found.agg(F.sum(F.size("removed") + F.size("kept") + 8)).first()[0] or 0) <= BROADCAST_NODES:
-        own = own.join(F.broadcast(found), "host", "left")
-    else:  # a host's pages are dealt to several tasks
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        own = own.join(found.select("host", "removed", "kept", salts), ["host", "salt"], "left")
-
-    def run(batches):
-        for batch in batches:
-            sets: dict[str, tuple[frozenset, frozenset]] = {}
-            texts = []
-            hosts, removed, kept = (batch.column(c) for c in ("host", "removed", "kept"))
-            for i, (h, html) in enumerate(zip(hosts.to_pylist(), batch.column("html").to_pylist(), strict=True)):
-                if h not in sets:
-                    sets[h] = tuple(frozenset(x[i].as_py() or ()) for x in (removed, kept))
-                texts.append(Page(html).text(*sets[h]) if html else "")
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        known = {r["host"]: (frozenset(r["removed"]), frozenset(r["kept"])) for r in found.collect()}
+        sent = pages.sparkSession.sparkContext.broadcast(known)
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return own.select("page_id", "url", "html", "host", "removed", "kept").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+        def run(batches):
+            for batch in batches:
+                yield _texts(batch, [sent.value.get(h, _NONE) for h in batch.column("host").to_pylist()])
+
+        return own.mapInArrow(run, schema)
+    # a host's pages are dealt to as many groups as they need, each with the host's verdicts
+    counts = own.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups"))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("groups")).cast("int")
+    dealt = own.join(counts, "host").select("page_id", "url", "html", "host", part.alias("part"))
+    rows = found.join(counts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "removed", "kept")
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = _NONE if not right.num_rows else tuple(frozenset(right.column(c)[0].as_py()) for c in ("removed", "kept"))
+        return pa.Table.from_batches([_texts(b, [sets] * b.num_rows) for b in left.combine_chunks().to_batches()], _text_schema(left.schema))
+
+    return dealt.groupBy("host", "part").cogroup(rows.groupBy("host", "part")).applyInArrow(judged, schema)
+
+
+_NONE: tuple[frozenset, frozenset] = (frozenset(), frozenset())
+
+
+def _text_schema(schema: pa.Schema) -> pa.Schema:
+    return pa.schema([schema.field("page_id"), schema.field("url"), pa.field("text", pa.string()), pa.field("n_chars", pa.int64())])
+
+
+def _texts(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
+    """(page_id, url, text, n_chars) of pages, each with its (removed, kept) style nodes."""
+    texts = [Page(html).text(*x) if html else "" for html, x in zip(batch.column("html").to_pylist(), sets, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_text_schema(batch.schema))
