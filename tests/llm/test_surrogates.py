@@ -131,3 +131,54 @@ def test_key_decides(spark):
     one, two = (surrogates.replaced(df, k).first().text for k in ("one", "two"))
     assert one != two and one == surrogates.replaced(df, "one").first().text
     assert surrogates.session_key(spark) == surrogates.session_key(spark) != ""
+
+
+@pytest.fixture(scope="module")
+def changed(spark):
+    def run(*texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return [r.text for r in sorted(surrogates.replaced(df, "k").collect(), key=lambda r: r.doc_id)]
+
+    return run
+
+
+@pytest.mark.parametrize(
+    ("text", "shape"),
+    [
+        ("Then Mr McDonald came.", r"Then Mr \p{Lu}\p{Ll}+(-\p{Lu}\p{Ll}+)? came\."),
+        ("Then Mr O'Brien and Mrs O’Neill came.", r"Then Mr \p{Lu}\p{Ll}+ and Mrs \p{Lu}\p{Ll}+ came\."),
+        ("Herr von der Leyen sprach.", r"Herr von der \p{Lu}\p{Ll}+ sprach\."),
+        ("Peter van den Berg kam.", r"\p{Lu}\p{Ll}+ van den \p{Lu}\p{Ll}+ kam\."),
+        ("Mrs Jones-Brown left.", r"Mrs \p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+ left\."),
+        ("MR O'BRIEN LEFT", r"MR \p{Lu}+ \p{Lu}+"),
+        ("from 2001:db8::1 to fe80::1, std::vector stays", r"from [0-9a-f]{4}:[0-9a-f]{3}::\d to [0-9a-f]{4}::\d, std::vector stays"),
+        ("call 020 7946 0958 now", r"call \d{3} \d{4} \d{4} now"),
+        ("call +44 20 7946 0958 or +1 (017) 555-7713 or +351 21 1234 567", r"call \+44 \d{2} \d{4} \d{4} or \+1 \(\d{3}\) \d{3}-\d{4} or \+351 \d{2} \d{4} \d{3}"),
+    ],
+)
+def test_detected_in_whole(changed, text, shape):
+    import regex
+
+    (new,) = changed(text)
+    assert regex.fullmatch(shape, new), new
+    for word in regex.findall(r"\p{Lu}\p{L}{3,}|\d{3,}|\p{Lu}['’]\p{L}+", text):
+        assert word in ("Then", "Peter", "Herr", "call", "351") or word not in new
+
+
+def test_lone_surnames_of_named_people(changed):
+    first, other = changed("Mrs Smith saw Mr Smith. Later Smith left with Smithson; Smith's dog stayed.", "Smith alone has nobody named here")
+    assert "Smith " not in first and "Smith'" not in first and "Smithson" in first
+    name = re.match(r"Mrs (\S+) saw", first)[1]
+    assert first.count(name) == 4 and f"Later {name} left" in first
+    assert other == "Smith alone has nobody named here"
+
+
+def test_particles_alone_make_no_name(changed):
+    texts = ["Der Herr der Ringe ist lang.", "Sie gab Hans den Ball.", "Marie la Grande", "a::b and x::y::z"]
+    assert changed(*texts) == texts
+
+
+def test_no_entity_is_skipped_by_the_look_before(spark):
+    texts = ["Herr von der Leyen", "Mr O'Brien", "Mr McDonald", "fe80::1", "020 7946 0958", "MR O'BRIEN", "Peter van den Berg", "„Frau Müller“"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(surrogates.mentions(F.col("t"))).alias("n"))
+    assert [r.n for r in df.collect()] == [1] * len(texts)

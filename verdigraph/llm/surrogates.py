@@ -66,8 +66,13 @@ ENDING_GREEK, WOMENS_GREEK = "(ος|ου|ης|η|ας|α)$", "(ου|η|α)$"
 SECRET_WORDS = ["token", "secret", "api_key", "api-key", "apikey", "password", "passwd", "access_key"]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLE = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-_SHOUTED = r"\p{Lu}{2,}(?:-\p{Lu}{2,})?"
+# Small words inside names and those that may follow them, and the country codes of one and of two digits.
+PARTICLES, FURTHER = "von van vom zu zum zur de del della di da dos du bin ibn al".split(), "der den de la los le".split()
+_ONE_DIGIT, _TWO_DIGITS = r"^\+[17]", r"^\+(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: A word of a name: an initial with an apostrophe, capitals inside (McDonald), and parts with hyphens.
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}++(?:\p{Lu}\p{Ll}++)*+"
+_TITLE = rf"(?:(?:{'|'.join(PARTICLES)}) (?:(?:{'|'.join(FURTHER)}) )?+)?+{_WORD}(?:-{_WORD})*+"
+_SHOUTED = r"(?:\p{Lu}['’])?\p{Lu}{2,}+(?:-\p{Lu}{2,}+)*+"
 #: Words after which a name follows whatever it is; the colon or equals sign is needed.
 _CUES = "(?i:name|nombre|nom|имя)"
 
@@ -90,9 +95,9 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{12})(?=[A-Za-z_/+-]*\d)(?<=(?i:" + "|".join(SECRET_WORDS) + r")\"?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]+|(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
-    "ipv6": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Fa-f:])",
     "ip": r"(?<![\d.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w(+-])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])|(?<![\w+.-])0\d{1,4}[ -]\d{3,4}[ -]\d{3,4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d|\.\d)",
     "name": rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:(?:{_honor})\.? {_TITLE}(?: {_TITLE}){{0,2}}|(?:{_given})(?: {_TITLE}){{1,2}}|(?:{_HONOR})\.? {_SHOUTED}(?: {_SHOUTED}){{0,2}}|(?:{_GIVEN})(?: {_SHOUTED}){{1,2}}|(?<={_CUES}\s{{0,2}}[=:]\s{{0,2}}){_TITLE}(?: {_TITLE}){{1,2}})",
@@ -101,7 +106,7 @@ _DIGITS = ("phone", "ssn", "card")
 #: One look at the characters around a place rules out most places before any pattern is tried there.
 ANY = "(?<![A-Za-z0-9])(?=[\\p{L}0-9._%+/-])(?:" + "|".join(p for k, p in PATTERNS.items() if k not in (*_DIGITS, "ip")) + ")|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in ("ip", *_DIGITS)) + ")"
 #: What every entity without a digit or an at sign holds: the start of a name, of a digit-free secret, or of a MAC or IPv6 address.
-_NAME_START = rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:(?:{_honor}|{_HONOR})\.?|(?:{_given}|{_GIVEN})) \p{{Lu}}\p{{L}}|{_CUES}\s{{0,2}}[=:]"
+_NAME_START = rf"(?<!\p{{L}})(?=[\p{{Lu}}г])(?:(?:{_honor}|{_HONOR})\.?|(?:{_given}|{_GIVEN})) (?:\p{{Lu}}['’\p{{L}}]|(?:{'|'.join(PARTICLES)}) )|{_CUES}\s{{0,2}}[=:]"
 _LETTERS = r"AKIA|(?:sk|ghp|xoxb)[-_]|[a-f]{32}|[A-F]{32}|[A-Fa-f]{2}[:-][A-Fa-f]{2}[:-]|[A-Fa-f]:[A-Fa-f]{1,4}:"
 
 
@@ -135,11 +140,11 @@ def _kind(mention: Column) -> Column:
         ("email", mention.contains("@")),
         ("ip", mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")),
         ("mac", mention.rlike(r"^([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$")),
-        ("ipv6", mention.rlike(r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$")),
+        ("ipv6", mention.rlike(r"^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$")),
         ("ssn", mention.rlike(r"^\d{3}-\d{2}-\d{4}$")),
-        ("phone", mention.rlike(r"^\+|^\(|^\d{3}([-.])\d{3}[-.]\d{4}$")),
+        ("phone", mention.rlike(r"^\+|^\(|^\d{3}([-.])\d{3}[-.]\d{4}$|^0\d{1,4}[ -]\d{3,4}[ -]\d{3,4}$")),
         ("card", mention.rlike(r"^[\d -]+$") & digits.between(13, 19)),
-        ("name", mention.rlike(r"^[\p{L}.-]+ ") & mention.rlike(r"\p{L}$") & ~mention.rlike(r"\d")),
+        ("name", mention.rlike(r"^[\p{L}.'’-]+ ") & mention.rlike(r"\p{L}$") & ~mention.rlike(r"\d")),
         ("iban", mention.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$") & ~mention.rlike("^AKIA")),
     ]
     return reduce(lambda rest, case: F.when(case[1], case[0]).otherwise(rest), reversed(cases), F.lit("secret"))
@@ -156,7 +161,7 @@ def _parts(mention: Column) -> Column:
         given = F.when(plain.isin(names["m"]), "given-m").when(plain.isin(names["f"]), "given-f").otherwise("surname")
         after = F.when(i > 0, F.get(tokens, i - 1))
         first = F.when(token.rlike(title), "title").otherwise(given)
-        kind = F.when(i == 0, first).when(after.rlike(title), given).otherwise("surname")
+        kind = F.when(token.isin(PARTICLES + FURTHER), "title").when(i == 0, first).when(after.rlike(title), given).otherwise("surname")
         return F.struct(kind.alias("type"), token.alias("raw"))
 
     return F.when(_kind(mention) == "name", F.transform(tokens, name_part)).otherwise(F.array(F.struct(_kind(mention).alias("type"), mention.alias("raw"))))
@@ -238,7 +243,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, stream: Column, of_
     octet = lambda i, n, low: (_pick(stream, F.lit(i), n) + low).cast("string")
     ip = F.concat_ws(".", octet(0, 222, 1), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
 
-    digits = F.concat(_classes(canon, stream, F.when(canon.startswith("+"), 2).otherwise(0)), more_digits)
+    digits = F.concat(_classes(canon, stream, F.when(canon.rlike(_ONE_DIGIT), 2).when(canon.rlike(_TWO_DIGITS), 3).when(canon.startswith("+"), 4).otherwise(0)), more_digits)
     body = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))
     card = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((_luhn(canon) - _luhn(body) + 10) % 10).cast("string"))
 
@@ -260,7 +265,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, stream: Column, of_
         if script == "other":
             return shuffled
         family = lambda at: F.concat(*(one_of(part, at + i) for i, part in enumerate(SURNAME_PARTS[script])))
-        return F.concat(F.when(attempt >= 2, F.concat(family(3), F.lit("-"))).otherwise(""), family(0))
+        double, more = canon.contains("-"), attempt >= 2  # of a double name both parts are made up
+        return F.concat(F.when(double & more, F.concat(family(6), F.lit("-"))).otherwise(""), F.when(double | more, F.concat(family(3), F.lit("-"))).otherwise(""), family(0))
 
     # a script without parts of its own: the word's letters in a keyed order, repeated if that is taken
     letters = F.transform(F.split(F.lower(canon), ""), lambda c, i: F.struct(F.md5(F.concat(stream, i.cast("string"))).alias("k"), c.alias("c")))
@@ -362,6 +368,10 @@ def _replaced(own: DataFrame, key: str | None) -> DataFrame:
     pieces = F.split("__text", ANY, -1)
     mention = lambda m: F.array_join(F.transform(_parts(m), lambda p: F.element_at("new", F.concat_ws("|", p["type"], p["raw"]))), " ")
     text = F.array_join(F.flatten(F.zip_with(pieces, F.transform("__found", mention), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    # a surname that a text names with its bearer is replaced where it stands alone, too
+    surnames = F.filter(F.map_entries("new"), lambda e: e["key"].startswith("surname|") & (F.length(e["key"]) > len("surname|") + 2))
+    alone = lambda a, e: F.regexp_replace(a, F.concat(F.lit(r"(?<![\p{L}\p{N}@._'’-])\Q"), F.substring(e["key"], F.lit(len("surname|") + 1), F.length(e["key"])), F.lit(r"\E(?![\p{L}\p{N}@_-]|\.\p{L})")), e["value"])
+    text = F.aggregate(surnames, text, alone)
     clean = own.where("__found is null").select("__row", "__found", F.col("__text").alias("__new"))
     return clean.unionByName(touched.select("__row", "__found", text.alias("__new")))
 
