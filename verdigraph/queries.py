@@ -20,6 +20,7 @@ from verdigraph.operators.inverted import StoredIndex
 from verdigraph.plans import answer as plan
 from verdigraph.sources import documents as store
 from verdigraph.staging import shared_dir, spread
+from verdigraph.streaming.sessions import sessions
 
 TOP = 5
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +583,28 @@ def session_feedback(spark, sf_dir):
     )
 
 
+@query(r"""WITH u AS (SELECT conv_id, conv_id % 20 AS user, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations),
+t AS (SELECT *, CASE WHEN len(t) > 26 THEN regexp_replace(left(t, 26), '^\s+|\s+$', '', 'g') || '...' ELSE t END AS title FROM u),
+c AS (SELECT user, conv_id, count(*) FILTER (role = 'user') AS n, arg_min(title, turn) FILTER (role = 'user' AND title <> '') AS title FROM t GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY conv_id) + 1 AS number, conv_id = max(conv_id) OVER (PARTITION BY user) AS is_last FROM c),
+one AS (SELECT user, 1 AS number, CASE WHEN count(*) FILTER (conv_id % 3 = 1) > 0 THEN 'de volta' END AS title, count(*) FILTER (conv_id % 3 = 1) AS n, bool_or(is_last AND (conv_id % 3 = 1 OR conv_id % 5 = 0)) AS is_active FROM k GROUP BY user),
+every AS (SELECT * FROM one UNION ALL SELECT user, number, title, n, is_last AND conv_id % 3 <> 1 FROM k WHERE conv_id % 5 <> 0)
+SELECT user::VARCHAR AS user, user || '-' || number AS session, coalesce(title, 'Nova Conversa') AS title, n::BIGINT AS n_questions, CASE WHEN is_active THEN 'active' ELSE 'open' END AS status FROM every""")
+def session_replay(spark, sf_dir):
+    """Twenty users replay the conversations: each starts a new session and asks its questions; after every third one the
+    user goes back to the first session to ask once more, and every fifth session is deleted."""
+    talk = _read(spark, sf_dir, "conversations").withColumn("user", (F.col("conv_id") % 20).cast("string"))
+    own = talk.select("user", "conv_id").distinct().withColumn("number", F.row_number().over(Window.partitionBy("user").orderBy("conv_id")) + 1)
+    event = lambda place, action, number=None, text=None: F.struct((F.col("conv_id") * 1_000_000 + place).alias("seq"), F.lit(action).alias("action"), F.concat_ws("-", "user", F.lit(number) if isinstance(number, int) else number).alias("session") if number is not None else F.lit(None).cast("string").alias("session"), F.lit(text).cast("string").alias("text"))
+    back = F.when(F.col("conv_id") % 3 == 1, F.array(event(900_000, "switch", 1), event(900_001, "ask", text="de volta")))
+    gone = F.when(F.col("conv_id") % 5 == 0, F.array(event(900_010, "delete", F.col("number"))))
+    none = F.array().cast("array<struct<seq:bigint,action:string,session:string,text:string>>")
+    acts = own.select("user", F.explode(F.concat(F.array(event(0, "new")), F.coalesce(back, none), F.coalesce(gone, none))).alias("e")).select("user", "e.*")
+    asks = talk.where("role = 'user'").select("user", (F.col("conv_id") * 1_000_000 + 10 + F.col("turn")).alias("seq"), F.lit("ask").alias("action"), F.lit(None).cast("string").alias("session"), "text")
+    found = sessions(acts.unionByName(asks)).where("status <> 'deleted'")
+    return found.select("user", "session", "title", "n_questions", "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 
