@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verdigraph.functions import dates, text
-from verdigraph.functions.rules import ACRONYMS, RERANK_SYNONYMS, SEARCH_SYNONYMS, STOPWORDS, confidence_threshold
+from verdigraph.functions.rules import ACRONYMS, CONVERSATIONAL, GROUNDING_ACRONYMS, GROUNDING_SYNONYMS, RERANK_SYNONYMS, SEARCH_SYNONYMS, STOPWORDS
 from verdigraph.operators import answering, cells, chunking, dense, grounding, hybrid, rendering, routing, sparse
 from verdigraph.operators.inverted import StoredIndex
 from verdigraph.plans import answer as plan
@@ -410,10 +410,18 @@ def adaptive_select(spark, sf_dir):
     return chosen.select("item_id", F.posexplode("sources").alias("place", "s")).select("item_id", "place", "s.doc_id", "s.rerank_score")
 
 
-@query(f"WITH {_RERANK} SELECT item_id, rerank_score AS confidence_score, rerank_score >= 0.35 AS confident FROM reranked WHERE final_rank = 1")
+_KNOWN = "MAP {" + ", ".join(f"'{k}': {_list(v.split())}" for k, v in GROUNDING_SYNONYMS.items()) + "}"
+
+
+@query(rf"""WITH {_RERANK},
+spoken AS (SELECT item_id, string_agg(norm, ' ' ORDER BY final_rank) AS body, max(score) AS confidence_score FROM
+  (SELECT item_id, final_rank, CASE WHEN final_rank = 1 THEN rerank_score END AS score, {_NORM} AS norm FROM (SELECT item_id, final_rank, rerank_score, coalesce(text, '') || coalesce(' ' || lang, '') AS text FROM reranked WHERE final_rank <= 5)) GROUP BY item_id),
+content AS (SELECT item_id, trim(text) AS bare, list_filter(regexp_split_to_array({_NORM}, '\s+'), lambda t: t <> '' AND (len(t) > 2 OR list_contains({_list([*GROUNDING_ACRONYMS, '6x1', '5x1', '5x2'])}, t)) AND NOT list_contains({_list(STOPWORDS)}, t) AND NOT list_contains({_list(CONVERSATIONAL)}, t)) AS kept FROM benchmark),
+wanted_w AS (SELECT item_id, bare, list_concat(kept, flatten(list_transform(kept, lambda t: coalesce({_KNOWN}[t], [])))) AS w FROM content),
+judged AS (SELECT item_id, confidence_score, bare <> '' AND CASE WHEN len(w) = 0 THEN confidence_score >= 0.25 ELSE NOT (len(list_filter(w, lambda t: contains(body, t))) / len(w)::DOUBLE < 0.25 AND confidence_score < 0.30) END AS supported FROM spoken JOIN wanted_w USING (item_id))
+SELECT item_id, confidence_score, supported, confidence_score >= 0.35 AND supported AS confident FROM judged""")
 def confidence_gate(spark, sf_dir):
-    limit = confidence_threshold(None)
-    return _reranked(spark, sf_dir, 1).select("item_id", F.col("rerank_score").alias("confidence_score"), (F.col("rerank_score") >= limit).alias("confident"))
+    return answering.gated(_reranked(spark, sf_dir), "item_id")
 
 
 @query()
