@@ -216,7 +216,29 @@ def detect_sections(spark, sf_dir):
     return chunking.sections(_headed_pages(spark, sf_dir), "doc_id")
 
 
-@query()
+def _bare(value: str) -> str:
+    return rf"regexp_replace({value}, '^\s+|\s+$', '', 'g')"
+
+
+_MOST, _OVERLAP, _GLUE = chunking.MAX_CHARS, chunking.OVERLAP, "chr(10) || chr(10)"
+_STEP = _MOST - _OVERLAP - 2
+
+
+@query(rf"""WITH RECURSIVE s AS ({_sql["detect_sections"]}),
+paragraphs AS (SELECT doc_id, section_no, unnest(string_split(text, {_GLUE})) AS p, generate_subscripts(string_split(text, {_GLUE}), 1) AS i FROM s WHERE len(text) > {_MOST}),
+cut AS (SELECT doc_id, section_no, i, 0 AS j, p FROM paragraphs WHERE len(p) <= {_MOST}
+  UNION ALL SELECT doc_id, section_no, i, j, {_bare(f"substring(p, j * {_STEP} + 1, {_STEP})")} FROM paragraphs, unnest(range(0, (len(p) - 1) // {_STEP} + 1)) AS t(j) WHERE len(p) > {_MOST}),
+pieces AS (SELECT doc_id, section_no, p, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY i, j) AS n FROM cut WHERE j = 0 OR p <> ''),
+walk AS (SELECT doc_id, section_no, 0::BIGINT AS n, '' AS now, []::VARCHAR[] AS done FROM (SELECT DISTINCT doc_id, section_no FROM pieces)
+  UNION ALL SELECT doc_id, section_no, n, CASE WHEN now = '' THEN p WHEN fits THEN now || {_GLUE} || p WHEN tail = '' THEN p ELSE {_bare(f"tail || {_GLUE} || p")} END, CASE WHEN fits THEN done ELSE list_append(done, now) END
+  FROM (SELECT w.doc_id, w.section_no, p.n, p, now, done, now = '' OR len(now) + len(p) + 2 <= {_MOST} AS fits, CASE WHEN len(now) > {_OVERLAP} AND len(p) < {_MOST} - 2 THEN right(now, least({_OVERLAP}, {_MOST} - 2 - len(p))) ELSE '' END AS tail
+    FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.section_no = w.section_no AND p.n = w.n + 1)),
+packed AS (SELECT doc_id, section_no, CASE WHEN now = '' THEN done ELSE list_append(done, now) END AS parts FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id, section_no ORDER BY n DESC) = 1
+  UNION ALL SELECT doc_id, section_no, [text] FROM s WHERE len(text) <= {_MOST}),
+rows_ AS (SELECT doc_id, section_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM packed),
+numbered_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, pos) AS k, {_bare("part")} AS chunk FROM rows_)
+SELECT doc_id || '_CHK_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS chunk_id, doc_id, title AS section_title, page_start, page_end, len(chunk)::INT AS char_count, len(list_filter(regexp_split_to_array(chunk, '\s+'), lambda w: w <> ''))::INT AS word_count, chunk AS text
+FROM numbered_ JOIN s USING (doc_id, section_no)""")
 def chunk_documents(spark, sf_dir):
     found = chunking.chunks(chunking.sections(_headed_pages(spark, sf_dir), "doc_id"), key="doc_id")
     return found.select("chunk_id", "doc_id", "section_title", "page_start", "page_end", "char_count", "word_count", "text")
@@ -535,7 +557,21 @@ def render_channel(spark, sf_dir):
     return docs.select("doc_id", rendering.response(F.lit("teams_slack"), F.concat(F.lit(" Resumo "), F.col("doc_id").cast("string")), F.col("text"), lines).alias("message"))
 
 
-@query()
+def _two_parts(parts: str, glue: str) -> str:
+    """The summary and the rest of a list of parts in SQL."""
+    a, merged = f"coalesce({parts}[1], '')", f"concat_ws(' ', coalesce({parts}[1], ''), {parts}[2])"
+    rest = lambda k: f"array_to_string({parts}[{k}:], {glue})"
+    return rf"CASE WHEN len({parts}) <= 1 THEN [{a}, {a}] WHEN len(regexp_split_to_array({a}, '\s+')) <= 4 THEN [{merged}, CASE WHEN len({parts}) > 2 THEN {rest(3)} ELSE {merged} END] ELSE [{a}, {rest(2)}] END"
+
+
+_PLAIN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '<\s*strong\s*>(.*?)<\s*/\s*strong\s*>', '**\1**', 'gis'), '<\s*b\s*>(.*?)<\s*/\s*b\s*>', '**\1**', 'gis'), '<[^>]+>', '', 'g')"
+
+
+@query(rf"""WITH plain AS (SELECT doc_id, {_bare(_PLAIN)} AS t FROM documents),
+cut AS (SELECT doc_id, list_filter(list_transform(string_split(t, {_GLUE}), lambda x: {_bare("x")}), lambda x: x <> '') AS p FROM plain),
+sentences AS (SELECT doc_id, p, list_filter(list_transform(string_split(regexp_replace(coalesce(p[1], ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_bare("x")}), lambda x: x <> '') AS s FROM cut),
+two AS (SELECT doc_id, CASE WHEN len(p) <= 1 THEN {_two_parts("s", "chr(10)")} ELSE {_two_parts("p", _GLUE)} END AS x FROM sentences)
+SELECT doc_id, x[1] AS tldr, x[2] AS details FROM two""")
 def summarize_answers(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", rendering.summary_and_details(F.col("text")).alias("x")).select("doc_id", "x.tldr", "x.details")
 
