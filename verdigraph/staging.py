@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What is dealt over all cores has at most so many bytes.
+SPREAD_BYTES = 4 << 30
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
@@ -31,7 +34,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its files make fewer partitions than there are cores, as one small file does; a large input
-    has more and stays as it is."""
+    """df over all cores if it is small and its files make fewer partitions than there are cores, as one file does. What is
+    larger than SPREAD_BYTES by Spark's estimate stays as it is split, however many cores there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= SPREAD_BYTES else df
