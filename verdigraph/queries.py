@@ -533,12 +533,21 @@ _TOPICS = ["Férias e salário", "Onde está meu pedido?", "nota fiscal XML", "f
 _QUESTION_SQL = f"coalesce({_list(_TOPICS)}[1 + (conv_id + turn) % {len(_TOPICS)}], '') || ' ' || coalesce(text, '')"
 
 
+def _asked(spark, sf_dir):
+    topic = F.element_at(F.array(*map(F.lit, _TOPICS)), (1 + (F.col("conv_id") + F.col("turn")) % len(_TOPICS)).cast("int"))
+    return _read(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), F.concat(topic, F.lit(" "), F.coalesce("text", F.lit(""))).alias("query"))
+
+
+@query(_route_sql())
+def route_catalogue(spark, sf_dir):
+    """By a catalogue that is a table."""
+    return routing.routed_by_table(_asked(spark, sf_dir), routing.default_catalog(spark), "id").select("id.conv_id", "id.turn", "department_key", "match_score")
+
+
 @query(_route_sql())
 def route_intent(spark, sf_dir):
-    topic = F.element_at(F.array(*map(F.lit, _TOPICS)), (1 + (F.col("conv_id") + F.col("turn")) % len(_TOPICS)).cast("int"))
-    asked = _read(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), F.concat(topic, F.lit(" "), F.coalesce("text", F.lit(""))).alias("query"))
     catalog = [r.asDict() for r in routing.default_catalog(spark).collect()]
-    return routing.routed(asked, catalog, "id").select("id.conv_id", "id.turn", "department_key", "match_score")
+    return routing.routed(_asked(spark, sf_dir), catalog, "id").select("id.conv_id", "id.turn", "department_key", "match_score")
 
 
 _CITE = """CASE doc_id % 3 WHEN 0 THEN '• Documento: ' || source || ' — Seção: ' || lang || ' (' || p || ')' WHEN 1 THEN '• *' || source || '* — Seção: _' || lang || '_ (`' || p || '`)' ELSE '• [Fonte: ' || source || ', Seção: ' || lang || ', ' || p || ']' END"""
