@@ -88,3 +88,61 @@ def test_all_sentences_of_a_piece_count():
     assert licenses.scan("Released under the\nMIT License\nSee the licence folder")[::2] == (["MIT"], 1)
     assert licenses.scan("Copyright Someone\nReleased under the MIT License")[::2] == (["MIT"], 1)
     assert licenses.scan("You may obtain a copy of the License at x/licenses/y\nLicensed under CC BY 4.0")[::2] == (["CC-BY-4.0"], 0)
+
+
+def brute(text):
+    """What a sentence of the usual form says, word by word."""
+    words = text.lower().rstrip(".").split()
+    if any(w in ("not", "never", "isn't") for w in words):
+        return []
+    names = {
+        "eclipse public license": "EPL", "sil open font license": "OFL", "artistic license": "Artistic", "common development and distribution license": "CDDL", "european union public license": "EUPL",
+        "do what fuck you want to public license": "WTFPL", "isc license": "ISC", "zlib license": "Zlib", "mit license": "MIT", "apache license": "Apache", "mozilla public license": "MPL",
+        "gnu general public license": "GPL", "gnu lesser general public license": "LGPL",
+    }
+    at = words.index("under") + 1 if "under" in words else 0
+    rest = [w for w in words[at:] if w not in ("the", "terms", "of", "version")]
+    version = rest.pop() if rest[-1][0].isdigit() else ""
+    short = names.get(" ".join(rest))
+    return [f"{short}-{version}" if version else short] if short else []
+
+
+def test_references_against_a_plain_reading():
+    for name in ("Eclipse Public License", "SIL Open Font License", "Artistic License", "Common Development and Distribution License", "European Union Public License", "Apache License", "Mozilla Public License", "GNU General Public License", "GNU Lesser General Public License"):
+        for verb in ("Licensed", "This work is released", "This file is not licensed", "Never distributed", "It isn't licensed"):
+            for version in ("2.0", "1.1"):
+                if name.startswith("GNU") and version == "1.1":  # there is no such version
+                    continue
+                text = f"{verb} under the {name}, version {version}."
+                assert licenses.scan(text)[0] == brute(text.replace(",", "")), text
+    for name in ("ISC License", "Zlib License", "MIT License", "Do What The Fuck You Want To Public License"):
+        for verb in ("Licensed", "This work is released", "This file is not licensed"):
+            text = f"{verb} under the {name}."
+            assert licenses.scan(text)[0] == brute(text), text
+
+
+def test_titles_short_forms_and_denials():
+    cases = {
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n": ["GPL-3.0"],
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": ["AGPL-3.0"],
+        "Eclipse Public License - v 2.0": ["EPL-2.0"],
+        "SIL OPEN FONT LICENSE Version 1.1": ["OFL-1.1"],
+        "The Artistic License 2.0": ["Artistic-2.0"],
+        "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0": ["CDDL-1.0"],
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2": ["WTFPL-2.0"],
+        "European Union Public Licence v. 1.2": ["EUPL-1.2"],
+        "Mozilla Public License Version 2.0": ["MPL-2.0"],
+        "MIT License\n\nCopyright (c) 2020": ["MIT"],
+        "License: ISC": ["ISC"],
+        "license = MIT-0": ["MIT-0"],
+        "Licensed under BSD-3-Clause.": ["BSD-3-Clause"],
+        "Released under GPL-2.0-or-later.": ["GPL-2.0-or-later"],
+        "Not licensed under the MIT License.": [],
+        "This project is no longer released under the Apache License, Version 2.0.": [],
+        "Not a toy. Licensed under the MIT License.": ["MIT"],
+        "It is licensed under the ISC License rather than licensed under the MIT License.": ["ISC"],
+        "He read about the MIT License program in the paper.": [],
+    }
+    assert {t: licenses.scan(t)[0] for t in cases} == cases
+    assert licenses.scan("Not licensed under the MIT License.")[1] == ["Denied:MITRef"]
+    assert {licenses.scan(f"License: {i}")[0][0] for i in licenses.SHORT} == set(licenses.SHORT)

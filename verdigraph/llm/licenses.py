@@ -19,7 +19,7 @@ from verdigraph.llm import common
 #: A sentence with one of these that is not known counts as unmatched.
 TRIGGERS = ("licen", "copyright", "permission is", "permitted", "warrant", "public domain", "redistribut", "liab", "as is", "provided that", "acknowledg", "endorse", "conditions", "gpl", "cc0", "cc by", "creative commons", "rights reserved", "spdx")
 #: A text or sentence without any of these holds no known licence sentence, however its words are spaced.
-SEARCHED = (*TRIGGERS, "mpl", "public", "reserved", "1.0", "2.0", "3.0", "4.0")
+SEARCHED = (*TRIGGERS, "mpl", "wtfpl", "public", "reserved", "1.0", "2.0", "3.0", "4.0")
 
 # Normalised sentences of public licences, as patterns. {v} stands for a version, which joins the identifier.
 SENTENCES = [
@@ -68,6 +68,32 @@ SENTENCES = [
     ("AllRights", r"all rights reserved"),
 ]
 
+# Licences by name, with what precedes their version in an identifier; and identifiers that stand for themselves.
+NAMES = [
+    ("eclipse public license", "EPL"), ("sil open font license", "OFL"), ("artistic license", "Artistic"), (r"common development and distribution license(?: \(cddl\))?", "CDDL"),
+    (r"european union public license(?: \(eupl\))?", "EUPL"), ("academic free license", "AFL"), ("open software license", "OSL"), (r"open database license(?: \(odbl\))?", "ODbL"),
+    (r"microsoft public license(?: \(ms-pl\))?", "MS-PL"), (r"do what the fuck you want to public license(?: \(wtfpl\))?", "WTFPL"), ("wtfpl", "WTFPL"), ("isc license", "ISC"),
+    ("zlib license", "Zlib"), ("unlicense", "Unlicense"), ("python software foundation license", "PSF"), ("postgresql license", "PostgreSQL"), ("lppl|latex project public license", "LPPL"),
+]
+SHORT = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 "
+    "CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only "
+    "LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL ODbL-1.0 OFL-1.1 OSL-3.0 Unlicense WTFPL Zlib"
+).split()
+_UNDER = r"(?:this \w+ is )?(?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?"
+_LINE, _LINE_END = r"(?:\A|(?<=\n))", r"(?=\Z|\n|,)"
+_VERSION = r",?(?: ?[-–])? ?(?:version )?(?P<v>\d(?:\.\d)?)"
+SENTENCES += [(f"Named{short}:{{v}}", rf"{_UNDER}(?:{name})(?:{_VERSION})?") for name, short in NAMES]
+SENTENCES += [(f"Named{short}:{{v}}", rf"{_LINE}(?:the )?(?:{name})(?:{_VERSION})?{_LINE_END}") for name, short in NAMES]
+SENTENCES += [
+    ("Short:{v}", rf"(?:{_UNDER}|license ?[:=] ?(?:the )?)(?P<v>{'|'.join(re.escape(i.lower()) for i in sorted(SHORT, key=len, reverse=True))})(?: license)?"),
+    ("GPLTitle:{v}", rf"{_LINE}gnu (?P<v>(?:lesser |library |affero )?general public license version [\d.]*\d){_LINE_END}"),
+    ("MITTitle", rf"{_LINE}(?:the )?mit license(?: \(mit\))?{_LINE_END}"),
+    ("MPLTitle:{v}", rf"{_LINE}mozilla public license(?: \(mpl\))?,? ?(?:version )?(?P<v>[12]\.[01]){_LINE_END}"),
+]
+#: Words in front of a sentence that deny it, with up to two words between.
+_DENIED = re.compile(r"\b(?:not|never|no longer|neither|isnt|arent|wasnt|cannot|rather than|instead of|other than|except)(?:\s\w+){0,2}\s?$")
+
 # Rules, each an ordered run of identifiers (a final * takes any version) and the licence that it says.
 RULES = [
     (("MITPermission", "MITNotice", "MITAsIs", "MITLiability"), "MIT"),
@@ -100,7 +126,14 @@ RULES = [
     (("CC0",), "CC0-1.0"),
     (("CC:*",), "{cc}"),
     (("PublicDomain",), "Public-Domain"),
+    (("GPLTitle:*",), "{gpl}"),
+    (("MITTitle", "MITPermission", "MITNotice", "MITAsIs", "MITLiability"), "MIT"),
+    (("MITTitle",), "MIT"),
+    (("MPLTitle:*",), "MPL-{v}"),
+    (("Short:*",), "{short}"),
+    *(((f"Named{short}:*",), f"{short}-{{v}}") for short in dict.fromkeys(short for _, short in NAMES)),
 ]
+_SHORT_OF = {i.lower(): i for i in SHORT}
 
 
 def _searching(pattern: str, i: int) -> str:
@@ -113,7 +146,7 @@ def _searching(pattern: str, i: int) -> str:
 _KNOWN = re.compile(r"(?<![^\s(*#/-])(?:" + "|".join(f"(?P<k{i}>{_searching(p, i)})" for i, (_, p) in enumerate(SENTENCES)) + r")(?![\w-]|\.\d)", re.S)
 #: Sentences that end in any words: what follows them up to the next known sentence is theirs.
 _OPEN = frozenset(name for name, pattern in SENTENCES if pattern.endswith((".*", ".*)?")))
-_END = re.compile(r"(?<=[.!?])\s+(?=\S)|(?<=[:;])[ \t]*\n|\n\s*\n|\n(?=\s*(?:\d\.|\*|-) )|(?<=[.!?])(?=[!*#&%$]+(?:\s|$))")
+_END = re.compile(r"(?<=[.!?])(?<! [vV]\.)\s+(?=\S)|(?<=[:;])[ \t]*\n|\n\s*\n|\n(?=\s*(?:\d\.|\*|-) )|(?<=[.!?])(?=[!*#&%$]+(?:\s|$))")
 _COMMENT = re.compile(r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|<!--|dnl\b)[ \t]*|-->|\*+/")
 
 
@@ -136,13 +169,15 @@ def pieces(text: str) -> list[str]:
 
 
 def identifiers(piece: str) -> tuple[list[str], int]:
-    """Identifiers of the known sentences of a normalised piece in order, and how many licence-like lines are not known."""
+    """Identifiers of the known sentences of a normalised piece in order (those that are denied say so and fit no rule), and how many licence-like lines are not known."""
     ids, unknown, at, theirs = [], 0, 0, False
     licence_like = lambda s: any(t in s for t in TRIGGERS)
     for found in _KNOWN.finditer(piece):
         unknown += 0 if theirs else sum(map(licence_like, piece[at : found.start()].split("\n")))
         i = next(i for i in range(len(SENTENCES)) if found[f"k{i}"] is not None)
         name = SENTENCES[i][0]
+        if _DENIED.search(piece[at : found.start()]):
+            name = "Denied:" + name.partition(":")[0]
         v = found.groupdict().get(f"v{i}") or ""
         ids.append(name.replace("{v}", " ".join(v.split()).rstrip(".")))
         at, theirs = found.end(), name in _OPEN
@@ -154,6 +189,8 @@ def identifiers(piece: str) -> tuple[list[str], int]:
 def _licence(says: str, ids: tuple[str, ...]) -> str:
     v = ids[0].partition(":")[2]
     version = v.replace(" or later", "+")
+    if says == "{short}":
+        return _SHORT_OF[v]
     if says == "{spdx}":
         return "SPDX:" + v
     if says == "{gpl}":
@@ -166,7 +203,7 @@ def _licence(says: str, ids: tuple[str, ...]) -> str:
             short = short.replace(long, abbreviation)
         kind, _, number = short.rpartition(" ")
         return f"CC-{kind.replace(' ', '-').upper()}-{number}"
-    return says.replace("{v}", version.rstrip("+") if says.startswith("BSD") else _full(version))
+    return says.replace("{v}", version.rstrip("+") if says.startswith("BSD") else _full(version)).rstrip("-")
 
 
 def _full(version: str) -> str:
