@@ -31,6 +31,8 @@ LEAST_BLOCK = 8
 KEY = "mix"
 #: Schedule integers that one row of the generating table expands to.
 _CHUNK = 16384
+#: Up to so many sources are broadcast to their blocks.
+MOST_SOURCES = 100_000
 #: Slots, and about as many blocks, that meet in one partition.
 _TABLE_ROWS = 500_000
 
@@ -123,40 +125,59 @@ def _slot(rank: Column, low: Column, high: Column, bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), start, step, lambda a: a["slot"]) if bits else zero
 
 
-def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
-    """(slot, pass, src, block, doc_id, start, size, from_word, to_word): which words of which document fill each slot.
-
-    rows: staged `sized` rows; sources: staged `targets`. start is the document's place in its source's word
-    stream. Documents without words fill nothing.
-    """
+def _shape(sources: DataFrame) -> tuple[int, float]:
+    """Bits of the schedule and words of a block."""
     budget = sources.agg(F.max("budget")).first()[0] or 0.0
     bits = max(0, math.ceil(math.log2(max(1.0, budget / LEAST_BLOCK))))
-    block = max(budget / (1 << bits), 1.0)
+    return bits, max(budget / (1 << bits), 1.0)
+
+
+def _pieces(rows: DataFrame, block: float) -> DataFrame:
+    """(sid, block, doc_id, start, size, from_word, to_word): documents cut at the edges of their source's blocks. sid is
+    a number for the source, as most rows of the mix are these."""
     low = lambda i: F.floor(i * F.lit(block))
     docs = running(rows.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
     docs = docs.where("size > 0")
     end = F.col("start") + F.col("size")
     near = F.sequence(F.greatest(F.floor(F.col("start") / F.lit(block)) - 1, F.lit(0)), F.floor((end - 1) / F.lit(block)) + 1)
-    pieces = docs.select("src", "doc_id", "start", "size", F.explode(near).alias("block"))
+    pieces = docs.select(F.xxhash64("src").alias("sid"), "doc_id", "start", "size", F.explode(near).alias("block"))
     pieces = pieces.withColumn("from_word", F.greatest(low(F.col("block")), F.col("start")) - F.col("start"))
-    pieces = pieces.withColumn("to_word", F.least(low(F.col("block") + 1), F.col("start") + F.col("size")) - F.col("start")).where("from_word < to_word")
+    return pieces.withColumn("to_word", F.least(low(F.col("block") + 1), F.col("start") + F.col("size")) - F.col("start")).where("from_word < to_word")
 
+
+def _filled(sources: DataFrame, bits: int, block: float, key: str) -> DataFrame:
+    """(sid, block, place, last, src, low, high, blocks): blocks that the schedule takes. A block's ranks are its place and,
+    in each of `last` later passes, that many blocks more. What all blocks of a source share joins them at the end."""
     count = F.ceil(F.col("source_size") / F.lit(block))  # blocks of a source; floors leave the last one empty at most
-    blocks = sources.where("source_size > 0").select("src", count.alias("blocks")).join(scheduled(sources, bits), "src")
-    shuffled = _spread(blocks.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(_CHUNK)))))
-    shuffled = shuffled.select("src", "blocks", "low", "high", F.explode(F.sequence("first", F.least(F.col("blocks"), F.col("first") + _CHUNK) - 1)).alias("block"))
+    per = sources.where("source_size > 0").select("src", F.xxhash64("src").alias("sid"), count.alias("blocks")).join(scheduled(sources, bits), "src")
+    per = common.staged(per, "mix-source-blocks")
+    dealt = _spread(per.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1, F.lit(_CHUNK)))))
+    dealt = dealt.select("sid", "src", F.explode(F.sequence("first", F.least(F.col("blocks"), F.col("first") + _CHUNK) - 1)).alias("block"))
     mark = F.conv(F.substring(F.md5(F.concat(F.lit(f"{key}:"), "src", F.lit(":"), F.col("block").cast("string"))), 1, 15), 16, 10).cast("long")
-    shuffled = shuffled.withColumn("mark", mark).withColumn("bucket", F.shiftright("mark", 48).cast("int"))
-    shuffled = running(shuffled, "src", "bucket", [F.col("mark"), F.col("block")], F.lit(1), "place").withColumn("place", F.col("place").cast("long"))
-
-    # a block's ranks: its place, and in every later pass that many blocks more, as far as the source has slots
+    dealt = dealt.select("sid", "block", mark.alias("mark")).withColumn("bucket", F.shiftright("mark", 48).cast("int"))
+    placed = running(dealt, "sid", "bucket", [F.col("mark"), F.col("block")], F.lit(1), "place").select("sid", "block", F.col("place").cast("long").alias("place"))
+    placed = placed.join(F.broadcast(per), "sid") if per.count() <= MOST_SOURCES else placed.hint("merge").join(per, "sid")
     slots_of = F.least(F.col("high") - F.col("low"), MOST_PASSES * F.col("blocks"))
     last = F.floor((slots_of - 1 - F.col("place")) / F.col("blocks"))
-    filled = shuffled.where(F.col("place") < slots_of).select("src", "block", "low", "high", "blocks", "place", last.alias("last"))
-    # keys are spread evenly and partitions are made by their number, so each holds a hash table of bounded size: no sorts
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // _TABLE_ROWS + 1)
-    keyed = lambda df: df.repartition(parts, "block", "src")
-    found = keyed(filled).join(keyed(pieces).hint("shuffle_hash"), ["block", "src"]).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    return placed.where(F.col("place") < slots_of).select("sid", "block", "place", last.alias("last"), "src", "low", "high", "blocks")
+
+
+def _met(filled: DataFrame, pieces: DataFrame, bits: int) -> DataFrame:
+    """Blocks with their pieces. Keys are spread evenly and partitions are made by their number, so each holds a hash table
+    of bounded size: no sorts."""
+    parts = max(int(filled.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // _TABLE_ROWS + 1)
+    keyed = lambda df: df.repartition(parts, "block", "sid")
+    return keyed(filled).join(keyed(pieces).hint("shuffle_hash"), ["block", "sid"])
+
+
+def plan(rows: DataFrame, sources: DataFrame, key: str = KEY) -> DataFrame:
+    """(slot, pass, src, block, doc_id, start, size, from_word, to_word): which words of which document fill each slot.
+
+    rows: staged `sized` rows; sources: staged `targets`. start is the document's place in its source's word
+    stream. Documents without words fill nothing.
+    """
+    bits, block = _shape(sources)
+    found = _met(_filled(sources, bits, block, key), _pieces(rows, block), bits).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     slot = _slot(F.col("place") + F.col("pass") * F.col("blocks"), F.col("low"), F.col("high"), bits)
     return found.select(slot.alias("slot"), "pass", "src", "block", "doc_id", "start", "size", "from_word", "to_word")
 
@@ -171,8 +192,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     sources = common.staged(targets(rows), "mix-sources")
     # rows that agree in doc_id, source and size are interchangeable but have places of their own in the stream
     placed = running(rows.withColumn("bucket", F.substring("mark", 1, 3)), "src", "bucket", [F.col("mark"), F.col("doc_id"), F.col("size")], F.col("size"), "start")
-    taken = plan(rows, sources).groupBy("start", "src").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    out = placed.where("size > 0").hint("merge").join(taken, ["start", "src"], "left").select("doc_id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    bits, block = _shape(sources)
+    times = _filled(sources, bits, block, KEY).select("sid", "block", (F.col("last") + 1).cast("int").alias("times"))
+    words = _pieces(rows, block).select("sid", "block", "start", (F.col("to_word") - F.col("from_word")).cast("int").alias("words"))
+    taken = _met(times, words, bits).groupBy("start", "sid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = placed.where("size > 0").withColumn("sid", F.xxhash64("src")).hint("merge").join(taken, ["start", "sid"], "left").select("doc_id", "src", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     out = out.unionByName(rows.where("size = 0").select("doc_id", "src", "size", F.lit(0).cast("long").alias("taken")))
     return out.join(sources.select("src", "source_size", "target"), "src").select("doc_id", "size", "source_size", "target", "taken")
 
