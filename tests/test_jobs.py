@@ -133,3 +133,23 @@ def test_command_line(spark, tmp_path):
     assert done.returncode == 0, done.stderr[-2000:]
     assert "200 documents" in done.stderr
     assert StoredIndex(spark, str(tmp_path / "i"), buckets=4).statistics()[0] == 200
+
+
+@pytest.mark.parametrize("name", ["job1_refresh_index", "job2_question_digest"])
+def test_registered_jobs_against_sql(spark, name):
+    import duckdb
+
+    from jobs import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
+    before = dict(spark.conf.getAll)
+    df = registry.queries()[name](spark, TABLES)
+    found = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    plain = lambda r: tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r)
+    assert sorted(plain([r[columns.index(c)] for c in df.columns]) for r in found.fetchall()) == sorted(map(plain, df.collect()))
+    after = dict(spark.conf.getAll)
+    assert {k: after.get(k) for k in before} == before
