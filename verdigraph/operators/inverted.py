@@ -130,8 +130,8 @@ class StoredIndex:
         return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, self.params.floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
     def candidates(self, asked: DataFrame, query_key: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-        """(query_key, key) pairs that hold every question's k best documents; with them the tokens asked for, the
-        postings, and the mean size.
+        """(query_key, key, got) pairs that hold every question's k best documents; with them the blocks that `got` leaves
+        out, the postings, and the mean size.
 
         The k-th best score of a few documents from blocks of high bounds is one that k documents reach. Then each length of
         documents is judged for itself: tokens that can't reach that score together, in order of their bounds, bring no
@@ -168,14 +168,18 @@ class StoredIndex:
         limits = limits.groupBy(query_key, "length").agg(F.sum("unseen").alias("all_unseen"), F.first("beat").alias("beat"))
         hits = postings.join(_sent(judged.where("kept").select(query_key, *place, "weight", "unseen")), place)
         hits = hits.groupBy(query_key, self.key, "length").agg(F.sum(gain).alias("got"), F.sum("unseen").alias("seen")).join(_sent(limits), [query_key, "length"])
-        left = hits.where(F.col("got") + F.col("all_unseen") - F.col("seen") >= F.col("beat")).select(query_key, self.key)
-        return staged(left, "index-candidates"), wanted, postings, mean
+        left = hits.where(F.col("got") + F.col("all_unseen") - F.col("seen") >= F.col("beat")).select(query_key, self.key, "got")
+        return staged(left, "index-candidates"), judged.where("not kept").select(query_key, *place, "weight"), postings, mean
 
     def top(self, asked: DataFrame, query_key: str, k: int) -> DataFrame:
         """(query_key, key, bm25, rank): the k best documents of every question (query_key, tokens), by whole scores.
         Documents without a token of the question have no row."""
-        left, wanted, postings, mean = self.candidates(asked, query_key, k)
-        return top(self._scored(left, wanted, postings, mean, query_key), query_key, self.key, F.round("bm25", 9), k)
+        left, others, postings, mean = self.candidates(asked, query_key, k)
+        pair, place = [query_key, self.key], ["token", "length", "level"]
+        rest = postings.join(left.select(self.key).distinct(), self.key, "left_semi").join(_sent(others), place).join(left.select(*pair), pair, "left_semi")
+        rest = rest.groupBy(*pair).agg(F.sum(F.col("weight") * self.impact(F.col("tf"), F.col("size"), mean)).alias("rest"))
+        whole = left.join(rest, pair, "left").select(*pair, (F.col("got") + F.coalesce("rest", F.lit(0.0))).alias("bm25"))
+        return top(whole, query_key, self.key, F.round("bm25", 9), k)
 
     def _scored(self, pairs: DataFrame, wanted: DataFrame, postings: DataFrame, mean: float, query_key: str) -> DataFrame:
         """(query_key, key, bm25) of the pairs (query_key, key)."""
