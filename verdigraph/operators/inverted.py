@@ -166,7 +166,12 @@ class StoredIndex:
         judged = staged(judged.withColumn("unseen", unseen), "index-judged")  # what a token may add to a candidate without a kept posting of it
         limits = judged.groupBy(query_key, "length", "token").agg(F.first("unseen").alias("unseen"), F.first("beat").alias("beat"))
         limits = limits.groupBy(query_key, "length").agg(F.sum("unseen").alias("all_unseen"), F.first("beat").alias("beat"))
-        hits = postings.join(_sent(judged.where("kept").select(query_key, *place, "weight", "unseen")), place)
+        # a token of which every block is kept is one row of its question, whatever the number of its blocks
+        every = judged.withColumn("every", F.min(F.col("kept").cast("int")).over(Window.partitionBy(query_key, "token")) == 1).where("kept")
+        entire = _sent(every.where("every").select(query_key, "token", "weight").distinct())
+        some = _sent(every.where("not every").select(query_key, *place, "weight", "unseen"))
+        columns = [query_key, self.key, "length", "tf", "size", "weight", "unseen"]
+        hits = postings.join(entire, "token").withColumn("unseen", F.lit(0.0)).select(*columns).unionByName(postings.join(some, place).select(*columns))
         hits = hits.groupBy(query_key, self.key, "length").agg(F.sum(gain).alias("got"), F.sum("unseen").alias("seen")).join(_sent(limits), [query_key, "length"])
         left = hits.where(F.col("got") + F.col("all_unseen") - F.col("seen") >= F.col("beat")).select(query_key, self.key, "got")
         return staged(left, "index-candidates"), judged.where("not kept").select(query_key, *place, "weight"), postings, mean
