@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -420,3 +421,16 @@ def test_checked_sentences_keep_their_place(spark):
     got = {r.k: r for r in grounding.verify(spark.createDataFrame(rows, "k long, answer string, context string"), "k").collect()}
     assert [(s.sentence, s.is_grounded, s.ungrounded) for s in got[1].sentences] == [("O prazo é de 3 dias.", True, []), ("O prazo é de 9 dias.", False, ["9 dias"])]
     assert not got[1].is_grounded and got[2].sentences == [] and got[3].sentences == []
+
+
+def test_hashed_vectors_are_drawn_once_for_many_texts(monkeypatch):
+    made, of = [], np.random.RandomState
+    monkeypatch.setattr(np.random, "RandomState", lambda *a: made.append(a) or of(*a))
+    texts = [f"a b{i} b{i} c{i % 3}" for i in range(300)] + ["", None, "a A"]
+    got = dense.hash_embeddings(texts, 16)
+    assert len(made) == 1  # one generator, however many tokens there are
+    for i in (0, 7, 299, 300, 302):
+        words = (texts[i] or "").lower().split() or [""]
+        mean = sum(of(int(hashlib.md5(w.encode()).hexdigest(), 16) % (1 << 32)).randn(16) for w in words) / len(words)
+        assert np.allclose(got[i], mean / np.linalg.norm(mean), atol=1e-12)
+        assert (dense.hash_embedding(texts[i], 16) == got[i]).all()  # the other texts change nothing

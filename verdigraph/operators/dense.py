@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from verdigraph.operators.sparse import top
 
 #: Most queries that one pass over the vectors carries along.
 BLOCK = 1024
+#: Texts that share the vectors of their tokens while they are hashed.
+GROUP = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -71,22 +72,48 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, query_key: str, key: str,
     return top(found.withColumnRenamed("__key", key) if key != query_key else found, query_key, key if key != query_key else "__key", F.round("dense_score", 9), k)
 
 
-@lru_cache(1 << 14)
-def _drawn(token: str, dim: int) -> np.ndarray:
-    return np.random.RandomState(int(hashlib.md5(token.encode()).hexdigest(), 16) % (1 << 32)).randn(dim)
+def _seed(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest(), 16) % (1 << 32)
+
+
+def hash_embeddings(texts: list[str | None], dim: int = 768) -> np.ndarray:
+    """For each text the mean of one pseudo-random normal vector per token, seeded by the token's md5, scaled to length 1. A
+    text without tokens has the vector of its lower case as a whole.
+
+    A vector is drawn once for all texts, and they add vectors in the order of the seeds, so the other texts change nothing.
+    One generator is seeded again and again: making one costs ten times what it draws.
+    """
+    seeds: dict[str, int] = {}
+    total, sizes = np.zeros((len(texts), dim)), np.ones(len(texts))
+    pairs, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, text in enumerate(texts):
+        clean = (text or "").lower().strip()
+        counts = Counter(clean.split() or [clean])
+        own = [seeds[t] if t in seeds else seeds.setdefault(t, _seed(t)) for t in counts]
+        pairs.append((np.array(own, np.uint64) << np.uint64(32)) | np.uint64(i))
+        times.append(np.fromiter(counts.values(), np.int64, len(counts)))
+        sizes[i] = counts.total()
+    pairs, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate(times), len(pairs))
+    seed, row = pairs >> np.uint64(32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    edges = [*np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]]).tolist(), len(seed)] if len(seed) else [0]
+    drawn = np.random.RandomState()
+    for a, b in zip(edges, edges[1:], strict=False):
+        drawn.seed(int(seed[a]))
+        vector = drawn.randn(dim)
+        if b - a < 8:
+            for r, n in zip(row[a:b].tolist(), times[a:b].tolist(), strict=True):
+                total[r] += vector if n == 1 else n * vector
+        else:
+            total[row[a:b]] += times[a:b, None] * vector
+    total /= sizes[:, None]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    return np.divide(total, norm, out=total, where=norm > 0)
 
 
 def hash_embedding(text: str | None, dim: int = 768) -> np.ndarray:
-    """The mean of one pseudo-random normal vector per token, seeded by the token's md5, scaled to length 1. A text
-    without tokens has the vector of its lower case as a whole."""
-    clean = (text or "").lower().strip()
-    counts = Counter(clean.split() or [clean])
-    total = np.zeros(dim)
-    for token, n in counts.items():  # a vector at a time, however long the text is
-        total += n * _drawn(token, dim)
-    total /= counts.total()
-    norm = np.linalg.norm(total)
-    return total / norm if norm > 0 else total
+    """`hash_embeddings` of one text."""
+    return hash_embeddings([text], dim)[0]
 
 
 def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 768, embed=None, batch_size: int = 32) -> DataFrame:
@@ -108,13 +135,16 @@ def embedded(docs: DataFrame, key: str, text: str = "text", dim: int = 768, embe
                     order.remove(model)
                     order.insert(0, model)
                     return out
-            return [hash_embedding(t, dim).astype(np.float32) for t in texts]
+            return list(hash_embeddings(texts, dim).astype(np.float32))
 
+        step = batch_size if models else GROUP
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = [v for at in range(0, len(texts), batch_size) for v in made(texts[at : at + batch_size])]
-            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.float32), *out])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])
+            for start in range(0, batch.num_rows, GROUP):
+                group = batch.slice(start, GROUP)
+                texts = group.column(1).to_pylist()
+                out = [v for at in range(0, len(texts), step) for v in made(texts[at : at + step])]
+                ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+                vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.float32), *out])))
+                yield pa.RecordBatch.from_arrays([group.column(0), vectors], names=[key, "embedding"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, embedding array<float>")
