@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigraph.operators import sparse
+from verdigraph.operators import matched, sparse
 from verdigraph.operators.inverted import StoredIndex
 
 
@@ -111,3 +112,36 @@ def test_a_long_text(spark, tmp_path):
     index = StoredIndex(spark, str(tmp_path / "i"), buckets=4)
     index.add(frame(spark, [(1, "longo " * 300_000 + "fim"), (2, "fim")]), 0)
     assert content(index)[0] == [("fim", 1, 1, 300_001), ("fim", 2, 1, 1), ("longo", 1, 300_000, 300_001)]
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_many_questions_are_scored_together(spark, tmp_path, monkeypatch, k):
+    docs = corpus(5, 700) + [(900 + i, "palavra3 palavra120") for i in range(9)] + [(950, None), (951, "")]  # equal scores
+    texts = QUESTIONS + [t for _, t in corpus(6, 90, 400)]
+    index = StoredIndex(spark, str(tmp_path))
+    index.add(frame(spark, docs), 0)
+    monkeypatch.setattr(StoredIndex, "candidates", lambda *a: pytest.fail("candidates of many questions are nearly all pairs"))
+    monkeypatch.setattr(matched, "DOCUMENTS", 64)
+    monkeypatch.setattr(matched, "QUESTIONS", 16)
+    want = best(spark, docs, texts, k)[1]
+    assert rows(index.top(asked(spark, texts), "q", k)) == want
+    monkeypatch.setattr(matched, "CARRIED", 100)
+    assert rows(index.top(asked(spark, texts), "q", k)) == want
+
+
+def test_matched_scores_that_are_not_positive(spark, tmp_path):
+    docs = [(1, "alfa beta"), (2, "alfa beta gama"), (3, "alfa beta"), (4, "alfa"), (5, "delta")]
+    for name, kept in (("all", docs), ("negative", docs[:3]), ("zero", [docs[0], docs[4]])):
+        index = StoredIndex(spark, str(tmp_path / name))
+        index.add(frame(spark, kept), 0)
+        texts = ["alfa", "alfa beta", "gama delta", "nada"]
+        assert rows(index.matched(asked(spark, texts), "q", 2)) == best(spark, kept, texts, 2)[1]
+
+
+def test_product_of_entries():
+    rng = np.random.default_rng(3)
+    a, b = rng.random((200, 40)) * (rng.random((200, 40)) < 0.6), rng.random((300, 40)) * (rng.random((300, 40)) < 0.6)
+    a[:, 20:] *= rng.random((200, 20)) < 0.05  # rare tokens beside frequent ones
+    side = lambda m, shift: matched.Side.of(len(m), *np.nonzero(m)[:1], np.nonzero(m)[1] * 7 + shift, m[np.nonzero(m)])
+    assert np.allclose(matched.product(side(a, 0), side(b, 0)), a @ b.T)
+    assert not matched.product(side(a, 0), side(b, 1)).any() and not matched.product(side(a[:, :0], 0), side(b, 0)).any()

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from verdigraph.functions.rules import SearchRules
 from verdigraph.functions.text import search_tokens
+from verdigraph.operators import matched
 from verdigraph.operators.sparse import BROADCAST_ROWS, Bm25, top
 from verdigraph.staging import spread, staged
 
@@ -26,6 +27,8 @@ from verdigraph.staging import spread, staged
 LEVELS, TIMES = 8, 4
 #: Postings of a question that set the score to beat, as a multiple of k.
 SEEDS = 40
+#: Questions up to which blocks are judged one by one.
+FEW = 64
 #: Scores that differ by less than this are equal.
 _SLACK = 1e-8
 
@@ -178,7 +181,10 @@ class StoredIndex:
 
     def top(self, asked: DataFrame, query_key: str, k: int) -> DataFrame:
         """(query_key, key, bm25, rank): the k best documents of every question (query_key, tokens), by whole scores.
-        Documents without a token of the question have no row."""
+        Documents without a token of the question have no row. Few questions read what can matter to them; to many
+        nearly all does, so they are scored against all documents together."""
+        if k > 0 and asked.count() > FEW:
+            return self.matched(asked, query_key, k)
         left, others, postings, mean = self.candidates(asked, query_key, k)
         pair, place = [query_key, self.key], ["token", "length", "level"]
         rest = postings.join(left.select(self.key).distinct(), self.key, "left_semi").join(_sent(others), place).join(left.select(*pair), pair, "left_semi")
@@ -186,6 +192,18 @@ class StoredIndex:
         whole = left.join(rest, pair, "left").select(*pair, (F.col("got") + F.coalesce("rest", F.lit(0.0))).alias("bm25"))
         return top(whole, query_key, self.key, F.round("bm25", 9), k)
 
+    def matched(self, asked: DataFrame, query_key: str, k: int) -> DataFrame:
+        """What `top` returns, from every posting of the questions' tokens, which meet in their document once."""
+        n, mean = self.statistics()
+        wanted = asked.select(query_key, F.explode("tokens").alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
+        weights = self.weights(staged(self.vocabulary(), "index-vocabulary"), n)
+        wanted = staged(wanted.join(weights, "token").select(query_key, "token", (F.col("times") * F.col("idf")).alias("weight")), "index-wanted")
+        tokens = _sent(wanted.select("token").distinct().withColumn("t", F.monotonically_increasing_id()))  # written, so numbers stay
+        posts = self.postings().join(tokens, "token").select(self.key, "t", self.impact(F.col("tf"), F.col("size"), mean).cast("double").alias("gain"))
+        docs = posts.groupBy(self.key).agg(F.collect_list("t").alias("t"), F.collect_list("gain").alias("gain"))
+        numbered = staged(wanted.join(tokens, "token").select(query_key, "t", "weight"), "index-numbered")
+        return matched.best(numbered, docs, query_key, self.key, k)
+
     def _scored(self, pairs: DataFrame, wanted: DataFrame, postings: DataFrame, mean: float, query_key: str) -> DataFrame:
         """(query_key, key, bm25) of the pairs (query_key, key)."""
         rows = postings.join(pairs.select(self.key).distinct(), self.key, "left_semi").join(_sent(wanted), "token").join(pairs, [query_key, self.key], "left_semi")
