@@ -74,3 +74,21 @@ def test_query_with_odd_rows(spark):
     assert all(not r.kept for r in got if r.base_failed)
     assert quality.digest(df.limit(0), labels).collect() == []
     assert all(r.kept != r.base_failed for r in quality.digest(df, labels.limit(0)).collect())
+
+
+def test_threshold_is_calibrated_on_all_labelled_rows(spark):
+    rng = np.random.default_rng(5)
+    score, good = np.round(rng.random(900), 4), rng.random(900) < 0.5
+    good = good | (score < 0.4)
+    rows = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good, strict=True)], "score double, good boolean").repartition(5)
+    cut = quality._cut(rows)
+    wrong = lambda t: int((good & (score > t)).sum() + (~good & (score <= t)).sum())
+    assert wrong(cut) == min(map(wrong, [-1.0, *score]))
+    assert quality._cut(rows.where("good")) == 1.0 == quality._cut(rows.limit(0)) and quality._cut(rows.where("not good")) < score[~good].min()
+    texts = [(i, " ".join(f"w{rng.integers(200)}" for _ in range(60 + i % 50)) + ("!" * 90 if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in texts], "doc_id long, quality int")
+    few, flipped = quality.fitted(docs, labels, 50), quality.fitted(docs, labels.withColumn("quality", 1 - F.col("quality")), 50)
+    assert few.threshold < 1  # the trees see 50 rows, the threshold all of them
+    kept = {r.doc_id for r in quality.judged(docs, few).where("kept").collect()}
+    assert len(kept ^ {i for i, _ in texts if i % 4}) <= 40 and flipped.threshold != few.threshold
