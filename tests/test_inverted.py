@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdigraph.operators import matched, sparse
+from verdigraph.operators import inverted, matched, sparse
 from verdigraph.operators.inverted import StoredIndex
 
 
@@ -145,3 +145,12 @@ def test_product_of_entries():
     side = lambda m, shift: matched.Side.of(len(m), *np.nonzero(m)[:1], np.nonzero(m)[1] * 7 + shift, m[np.nonzero(m)])
     assert np.allclose(matched.product(side(a, 0), side(b, 0)), a @ b.T)
     assert not matched.product(side(a, 0), side(b, 1)).any() and not matched.product(side(a[:, :0], 0), side(b, 0)).any()
+
+
+def test_postings_travel_once(spark, tmp_path, monkeypatch):
+    """Documents count their tokens in their own rows: what `counted` gives is what is stored."""
+    real = inverted.counted
+    monkeypatch.setattr(inverted, "counted", lambda tokens: F.transform(real(tokens), lambda x: F.struct(x["token"], (x["tf"] + 100).alias("tf"))))
+    index = StoredIndex(spark, str(tmp_path))
+    index.add(frame(spark, [(1, "alfa beta alfa"), (2, None), (3, "")]), 0)
+    assert content(index)[0] == [("alfa", 1, 102, 3), ("beta", 1, 101, 3)]

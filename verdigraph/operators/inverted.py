@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from verdigraph.functions.rules import SearchRules
 from verdigraph.functions.text import search_tokens
 from verdigraph.operators import matched
-from verdigraph.operators.sparse import BROADCAST_ROWS, Bm25, top
+from verdigraph.operators.sparse import BROADCAST_ROWS, Bm25, counted, top
 from verdigraph.staging import spread, staged
 
 #: Blocks of impact, and how many times larger the documents of the next block of sizes are.
@@ -75,8 +75,9 @@ class StoredIndex:
         tokens = staged(docs.select(self.key, search_tokens(F.col(text), self.rules).alias("tokens")), "index-tokens")  # null for null
         sizes = tokens.select(self.key, F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("size"))
         mean = sizes.agg(F.avg("size")).first()[0] or 1.0
-        posts = tokens.where("tokens is not null").select(self.key, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-        posts = posts.groupBy(self.key, "size", "token").agg(F.count("*").cast("int").alias("tf"))
+        # a document counts its tokens in its own row, so postings travel once, to their bucket
+        posts = tokens.where("tokens is not null").select(self.key, F.size("tokens").alias("size"), F.explode(counted(F.col("tokens"))).alias("x"))
+        posts = posts.select(self.key, "size", "x.token", F.col("x.tf").cast("int").alias("tf"))
         level = F.least(F.lit(LEVELS - 1), F.floor(self.impact(F.col("tf"), F.col("size"), mean) * LEVELS / (self.params.k1 + 1))).cast("int")
         posts = posts.select("token", self.key, "size", "tf", F.floor(F.log(float(TIMES), "size")).cast("int").alias("length"), level.alias("level"), self.bucket(F.col("token")).alias("bucket"))
         posts.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
