@@ -447,3 +447,14 @@ def test_entities_in_the_same_spelling_need_no_second_look(spark):
         grounding._amount = real
     rows = spark.createDataFrame([(line, line.replace("5%", "6%").replace("R$ 12,50", "R$12,5"))], "sentence string, context string")
     assert [r.ungrounded for r in grounding.verified(rows).collect()] == [["5%"]]
+
+
+def test_vectors_are_multiplied_in_slices_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(dense, "DOCUMENTS", 16)
+    x = np.random.default_rng(4).normal(size=(100, 5))
+    x[50:60] = x[3]  # ties across slices
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "v long, embedding array<double>").coalesce(1)
+    found = dense.cosine_top(df.where("v < 9").withColumnRenamed("v", "q"), df, "q", "v", 4).collect()
+    sim = np.clip(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2), 0, 1)
+    for q in range(9):
+        assert [r.v for r in sorted((r for r in found if r.q == q), key=lambda r: r["rank"])] == sorted(range(100), key=lambda i, q=q: (-round(sim[q, i], 9), i))[:4]

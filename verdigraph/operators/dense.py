@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigraph.operators.matched import DOCUMENTS, Best
 from verdigraph.operators.sparse import top
 
 #: Most queries that one pass over the vectors carries along.
@@ -51,21 +52,18 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, query_key: str, key: str,
 
         def run(batches, sent=sent):
             ids, q = sent.value
+            best = Best(len(ids), k)
             for batch in batches if ids else ():
-                own = batch.column(0).to_pylist()
-                order = sorted(range(len(own)), key=own.__getitem__)  # ties go to the smaller key
-                own = [own[j] for j in order]
-                x = _matrix(batch.column(1))[order]
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                sim = np.clip(q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T, 0, 1)
-                ranked = np.round(sim, 9)
-                if sim.shape[1] > k:  # k rows pass on: all above the k-th value, and of those that tie with it the first
-                    least = np.partition(ranked, -k, axis=1)[:, -k, None]
-                    above, tie = ranked > least, ranked == least
-                    i, j = np.nonzero(above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(axis=1, keepdims=True))))
-                else:
-                    i, j = np.nonzero(np.ones_like(sim, bool))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], kinds[0]), pa.array([own[a] for a in j], kinds[1]), pa.array(sim[i, j])], names=schema.names)
+                for start in range(0, batch.num_rows, DOCUMENTS):  # a matrix of bounded size, however large a batch is
+                    part = batch.slice(start, DOCUMENTS)
+                    own = part.column(0).to_numpy(zero_copy_only=False)
+                    order = np.argsort(own, kind="stable")  # ties go to the smaller key
+                    x = _matrix(part.column(1))[order]
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    best.add(np.clip(q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T, 0, 1), own[order])
+            if best.key is not None:
+                i, j = np.nonzero(np.isfinite(best.score))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a] for a in i], kinds[0]), pa.array(best.key[i, j], kinds[1]), pa.array(best.score[i, j])], names=schema.names)
 
         made = rows.mapInArrow(run, schema)
         found = made if found is None else found.unionByName(made)
