@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigraph.operators import cells, dense
+from verdigraph.operators.matched import leading
 
 SCHEMA = "v long, embedding array<float>, cell int, near double, vector string"
 
@@ -54,6 +55,26 @@ def test_one_cell_holds_a_third_of_all(spark, monkeypatch):
     assert rows(cells.near_top(asked(df, 3), index, "q", 5, 2, exact=True)) == rows(dense.cosine_top(asked(df, 3), df, "q", "v", 5))
 
 
+def test_a_task_holds_few_cosines_however_many_rows_meet(spark, monkeypatch, exact=True):
+    df = frame(spark, clustered(400, 8, 3, 0.2))
+    index = cells.built(df, "v", 4)
+    want = rows(cells.near_top(asked(df, 2), index, "q", 5, 3, exact=exact))
+    whole = cells.leading
+
+    def bounded(ranked, k):
+        assert ranked.size <= 700, ranked.shape  # at least one query at a time, of at most 400 vectors
+        return whole(ranked, k)
+
+    monkeypatch.setattr(cells, "leading", bounded)
+    monkeypatch.setattr(cells, "COSINES", 700)
+    assert rows(cells.near_top(asked(df, 2), index, "q", 5, 3, exact=exact)) == want
+
+
+def test_leading_takes_the_first_of_equal_values():
+    assert leading(np.array([[0.0, 1, 1, 0, 1], [2, 0, 2, 3, 2]]), 2).tolist() == [[1, 2], [0, 3]]
+    assert leading(np.array([[3.0, 1]]), 5).tolist() == [[0, 1]]
+
+
 def test_odd_rows(spark):
     df = frame(spark, [[0, 0, 0], [1, 0, 0], None, [0, 1, 0], [-1, 0, 0], [0, 0, 2]])
     index = cells.built(df, "v", 64)  # more cells than vectors

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdigraph.operators.dense import _matrix
+from verdigraph.operators.matched import leading
 from verdigraph.operators.sparse import top
 from verdigraph.staging import staged
 
 #: The centres are learnt from this many vectors at most, the first by a hash of their keys, in one task.
 FIT_ROWS = 16_384
-#: Most vectors, and most queries, of one cell that a task multiplies together; more of them are dealt over several tasks.
+#: Most vectors, and most queries, of one cell that meet in one group; more of them are dealt over several groups.
 CELL_ROWS, QUERY_ROWS = 20_000, 4096
+#: Most cosines that a task holds at once.
+COSINES = 1 << 20
 #: Queries that `probes_for` measures by.
 TUNE_ROWS = 256
 _ROUNDS = 10
@@ -141,16 +144,18 @@ def _compared(index: CellIndex, probes: DataFrame, query_key: str, k: int) -> Da
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("__key").combine_chunks()
         names, asked_names = left.column("__key"), right.column("__query")
+        i, j, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
-            x, q = _unit(_matrix(left.column("vector").combine_chunks())), _unit(_matrix(right.column("vector").combine_chunks()))
-            sims = np.clip(q @ x.T, 0, 1)
-            ranked = np.round(sims, 9)
-            i = np.repeat(np.arange(len(q)), min(k, len(x)))
-            j = np.argsort(-ranked, axis=1, kind="stable")[:, :k].ravel()  # ties go to the smaller key
-            score = sims[i, j]
-        else:
-            i = j = np.zeros(0, np.int64)
-            score = np.zeros(0)
+            x = _unit(_matrix(left.column("vector").combine_chunks()))
+            step = max(1, COSINES // len(x))
+            for first in range(0, right.num_rows, step):  # a matrix of bounded size, however many meet
+                q = _unit(_matrix(right.column("vector").slice(first, step).combine_chunks()))
+                sims = np.clip(q @ x.T, 0, 1)
+                column = leading(np.round(sims, 9), k)  # ties go to the smaller key
+                i.append(np.repeat(np.arange(first, first + len(q)), column.shape[1]))
+                j.append(column.ravel())
+                score.append(np.take_along_axis(sims, column, 1).ravel())
+        i, j, score = map(np.concatenate, (i, j, score))
         return pa.table({"__query": asked_names.take(pa.array(i)), "__key": names.take(pa.array(j)), "dense_score": pa.array(score)})
 
     place = ["cell", "row_part", "query_part"]
