@@ -55,7 +55,8 @@ def test_one_cell_holds_a_third_of_all(spark, monkeypatch):
     assert rows(cells.near_top(asked(df, 3), index, "q", 5, 2, exact=True)) == rows(dense.cosine_top(asked(df, 3), df, "q", "v", 5))
 
 
-def test_a_task_holds_few_cosines_however_many_rows_meet(spark, monkeypatch, exact=True):
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_task_holds_few_cosines_however_many_rows_meet(spark, monkeypatch, exact):
     df = frame(spark, clustered(400, 8, 3, 0.2))
     index = cells.built(df, "v", 4)
     want = rows(cells.near_top(asked(df, 2), index, "q", 5, 3, exact=exact))
@@ -67,6 +68,7 @@ def test_a_task_holds_few_cosines_however_many_rows_meet(spark, monkeypatch, exa
 
     monkeypatch.setattr(cells, "leading", bounded)
     monkeypatch.setattr(cells, "COSINES", 700)
+    monkeypatch.setattr(cells, "PROBED_ROWS", 9)
     assert rows(cells.near_top(asked(df, 2), index, "q", 5, 3, exact=exact)) == want
 
 

@@ -21,8 +21,8 @@ from verdigraph.staging import staged
 FIT_ROWS = 16_384
 #: Most vectors, and most queries, of one cell that meet in one group; more of them are dealt over several groups.
 CELL_ROWS, QUERY_ROWS = 20_000, 4096
-#: Most cosines that a task holds at once.
-COSINES = 1 << 20
+#: Most cosines that a task holds at once, and most queries that it deals to their cells at once.
+COSINES, PROBED_ROWS = 1 << 20, 512
 #: Queries that `probes_for` measures by.
 TUNE_ROWS = 256
 _ROUNDS = 10
@@ -98,12 +98,14 @@ def _probed(index: CellIndex, queries: DataFrame, query_key: str, choose) -> Dat
     schema = T.StructType([queries.schema[query_key], T.StructField("cell", T.IntegerType()), queries.schema["vector"]])
 
     def probe(batches):
-        for batch in batches:
-            middle, radius = sent.value
-            sims = np.clip(_unit(_matrix(batch.column("vector"))) @ middle.T, -1, 1)
-            row, cell = np.nonzero(choose(batch, sims, radius))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(query_key).take(at), pa.array(cell.astype(np.int32)), batch.column("vector").take(at)], names=schema.names)
+        middle, radius = sent.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, PROBED_ROWS):  # a vector goes out once for each of its cells
+                batch = whole.slice(first, PROBED_ROWS)
+                sims = np.clip(_unit(_matrix(batch.column("vector"))) @ middle.T, -1, 1)
+                row, cell = np.nonzero(choose(batch, sims, radius))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(query_key).take(at), pa.array(cell.astype(np.int32)), batch.column("vector").take(at)], names=schema.names)
 
     return queries.mapInArrow(probe, schema)
 
