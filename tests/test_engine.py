@@ -458,3 +458,17 @@ def test_vectors_are_multiplied_in_slices_of_bounded_size(spark, monkeypatch):
     sim = np.clip(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2), 0, 1)
     for q in range(9):
         assert [r.v for r in sorted((r for r in found if r.q == q), key=lambda r: r["rank"])] == sorted(range(100), key=lambda i, q=q: (-round(sim[q, i], 9), i))[:4]
+
+
+def test_what_ranked_the_hits_of_an_answer_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [hit(rank, rank, 0.9, text=f"O prazo de entrega {q}.{rank} é de cinco dias úteis para todos.", q=q) for q in (1, 2) for rank in (1, 2, 3)]
+    hits = spark.createDataFrame(rows)
+    answers = answering.extracted(hits.mapInArrow(counted, hits.schema), "q").collect()
+    assert seen.value == len(rows) and all(r.supported and len(r.citations) == 3 for r in answers)

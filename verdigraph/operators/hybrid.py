@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 
 from verdigraph.functions.dates import recency_score
 from verdigraph.functions.rules import ACRONYMS, RERANK_SYNONYMS, recency
-from verdigraph.functions.text import _listed, expanded
+from verdigraph.functions.text import _listed, expanded, let
 from verdigraph.operators.sparse import top
+from verdigraph.staging import staged
 
 
 def candidates(k: int) -> int:
@@ -41,7 +42,8 @@ def fused(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, query_key: str
     """
     alpha = min(1.0, max(0.0, float(alpha)))
     enabled, w = recency(boost, weight)
-    out = dense.select(query_key, key, "dense_score").join(sparse.select(query_key, key, "sparse_score"), [query_key, key], "full_outer").join(chunks, key)
+    pairs = dense.select(query_key, key, "dense_score").join(sparse.select(query_key, key, "sparse_score"), [query_key, key], "full_outer")
+    out = staged(pairs, "candidates").join(chunks, key)  # few candidates are sent to the chunks, which then need no exchange
     d, s = F.coalesce("dense_score", F.lit(0.0)), F.coalesce("sparse_score", F.lit(0.0))
     base = alpha * d + (1 - alpha) * s
     of_query = Window.partitionBy(query_key)
@@ -73,7 +75,8 @@ def query_words(query: Column) -> Column:
 def coverage(words: Column, text: Column) -> Column:
     """The share of words that a text holds as substrings; 0 without words."""
     body = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(body, w))) / F.size(words)).otherwise(0.0)
+    found = let(body, lambda b: F.size(F.filter(words, lambda w: F.contains(b, w))))
+    return F.when(F.size(words) > 0, found / F.size(words)).otherwise(0.0)
 
 
 def feature_fusion(hits: DataFrame, query_key: str, key: str, query: str = "query", weights: tuple[float, float, float, float] = (0.45, 0.25, 0.10, 0.20), k: int = 5) -> DataFrame:
