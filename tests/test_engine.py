@@ -472,3 +472,16 @@ def test_what_ranked_the_hits_of_an_answer_runs_once(spark):
     hits = spark.createDataFrame(rows)
     answers = answering.extracted(hits.mapInArrow(counted, hits.schema), "q").collect()
     assert seen.value == len(rows) and all(r.supported and len(r.citations) == 3 for r in answers)
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_a_task_has_a_bounded_number_of_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(sparse, "PAIRS", 20, raising=False)
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", most)
+    docs = spark.createDataFrame([(i, ["a", f"t{i % 3}", "a"]) for i in range(100)], "id int, tokens array<string>")
+    asked = spark.createDataFrame([(q, ["a", f"t{q}"]) for q in range(4)], "q int, tokens array<string>")
+    for found in (sparse.scores(asked, docs, "q", "id"), sparse.overlap_scores(asked, docs, "q", "id")):
+        by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(by_task) == 400 and max(by_task) <= 60  # a document's four pairs stay together, and hashes don't deal evenly
+    over = {(r.q, r.id): r.overlap for r in sparse.overlap_scores(asked, docs, "q", "id").collect()}
+    assert over == {(q, i): (1 + (i % 3 == q)) / 4 for q in range(4) for i in range(100)}

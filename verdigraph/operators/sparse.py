@@ -16,6 +16,8 @@ from verdigraph.staging import spread, staged
 
 #: Most (query, token) rows that are broadcast; more of them meet the documents by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Pairs of a query and a document that one task counts and sorts, about, however many there are in all.
+PAIRS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,15 @@ def idf(tokens: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, params.floor * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def _met(posted: DataFrame, wanted: DataFrame, n_pairs: int, query_key: str, key: str) -> DataFrame:
+    """Postings beside the wanted rows of their token. The rows of a pair are in one task, in as many parts as keep a task's
+    pairs near PAIRS at most; only tokens that some query holds travel."""
+    parts = max(posted.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // PAIRS))
+    if wanted.count() > BROADCAST_ROWS:
+        return posted.join(wanted, "token").repartition(parts, query_key, key)
+    return posted.join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi").repartition(parts, key).join(F.broadcast(wanted), "token")
+
+
 def scores(queries: DataFrame, tokens: DataFrame, query_key: str, key: str, params: Bm25 = Bm25(), weights: DataFrame | None = None) -> DataFrame:
     """(query_key, key, bm25) of pairs that share a token; all other pairs score 0. A repeated query token counts again.
 
@@ -66,11 +77,9 @@ def scores(queries: DataFrame, tokens: DataFrame, query_key: str, key: str, para
     weights = idf(tokens, params) if weights is None else weights
     wanted = queries.select(query_key, F.explode("tokens").alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
     wanted = staged(wanted.join(weights.select("token", "idf"), "token").select(query_key, "token", (F.col("times") * F.col("idf")).alias("weight")), "wanted-tokens")
-    side = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
     length = tokens.agg(F.avg(F.size("tokens")).alias("mean_size"))  # one row
     posted = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode(counted(F.col("tokens"))).alias("x")).select(key, "doc_size", "x.token", "x.tf")
-    posted = posted.join(side(wanted.select("token").distinct()), "token", "left_semi").repartition(key)
-    hits = posted.join(side(wanted), "token").join(F.broadcast(length))
+    hits = _met(posted, wanted, queries.count() * tokens.count(), query_key, key).join(F.broadcast(length))
     norm = params.k1 * (1 - params.b + params.b * F.col("doc_size") / F.col("mean_size"))
     return hits.groupBy(query_key, key).agg(F.sum(F.col("weight") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + norm)).alias("bm25"))
 
@@ -112,5 +121,5 @@ def overlap_scores(queries: DataFrame, tokens: DataFrame, query_key: str, key: s
     wanted = queries.select(query_key, F.explode("tokens").alias("token")).groupBy(query_key, "token").agg(F.count("*").alias("times"))
     wanted = staged(wanted, "wanted-tokens")
     held = tokens.select(key, F.size("tokens").alias("doc_size"), F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = held.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "token").groupBy(query_key, key, "doc_size").agg(F.sum("times").alias("matches"))
+    hits = _met(held, wanted, queries.count() * tokens.count(), query_key, key).groupBy(query_key, key, "doc_size").agg(F.sum("times").alias("matches"))
     return hits.select(query_key, key, (F.col("matches") / (F.col("doc_size") + 1)).alias("overlap"))

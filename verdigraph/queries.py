@@ -76,9 +76,13 @@ _BM25 = f"""{_tokens("documents", "doc_id", "d")},{_tokens("benchmark", "item_id
 {BM25_STEPS}"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tokens = sparse.indexed(_read(spark, sf_dir, "documents"), "doc_id")
-    asked = sparse.indexed(_read(spark, sf_dir, "benchmark"), "item_id")
+    return sparse.indexed(_read(spark, sf_dir, "benchmark"), "item_id"), tokens
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, tokens = _indexed(spark, sf_dir)
     return asked, tokens, sparse.scores(asked, tokens, "item_id", "doc_id")
 
 
@@ -318,7 +322,7 @@ def sparse_minmax(spark, sf_dir):
 @query(f"""WITH {_BM25}, hit AS (SELECT item_id, doc_id, sum(times) / (any_value(doc_size) + 1.0::DOUBLE) AS o FROM posted JOIN wanted USING (token) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(o, 9) DESC, doc_id) AS rank FROM hit) SELECT item_id, doc_id, rank::INT AS rank, round(o, 6) AS overlap FROM ranked WHERE rank <= {TOP}""")
 def overlap_fallback(spark, sf_dir):
-    asked, tokens, _ = _bm25(spark, sf_dir)
+    asked, tokens = _indexed(spark, sf_dir)
     found = sparse.overlap_scores(asked, tokens, "item_id", "doc_id")
     return sparse.top(found, "item_id", "doc_id", F.round("overlap", 9), TOP).select("item_id", "doc_id", "rank", F.round("overlap", 6).alias("overlap"))
 
