@@ -485,3 +485,9 @@ def test_a_task_has_a_bounded_number_of_pairs(spark, monkeypatch, most):
         assert sum(by_task) == 400 and max(by_task) <= 60  # a document's four pairs stay together, and hashes don't deal evenly
     over = {(r.q, r.id): r.overlap for r in sparse.overlap_scores(asked, docs, "q", "id").collect()}
     assert over == {(q, i): (1 + (i % 3 == q)) / 4 for q in range(4) for i in range(100)}
+
+
+def test_tokens_are_sorted_without_a_lambda(spark):
+    df = spark.createDataFrame([(["b", "a", "é", "a", "aa"],), ([],), (None,)], "tokens array<string>").select(sparse.counted(F.col("tokens")).alias("x"))
+    assert "lambdafunction(if" not in df._jdf.queryExecution().analyzed().toString().lower()
+    assert [r.x and [tuple(x) for x in r.x] for r in df.collect()] == [[("a", 2), ("aa", 1), ("b", 1), ("é", 1)], None, None]

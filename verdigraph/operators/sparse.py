@@ -44,7 +44,7 @@ def counted(tokens: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).alias("tf"))))
 
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs))  # array_sort would compare by a lambda
 
 
 def document_frequencies(tokens: DataFrame) -> DataFrame:
