@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -97,3 +98,23 @@ def test_score_against_a_plain_sum():
             total += weight * times * model.part[b.grams].mean()
             mass += weight * times
         assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(total / (mass + toxicity.PRIOR) + model.bias))))
+
+
+def test_training_holds_few_bytes_a_pair_and_stages_labels_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i:05}" for i in range(20_000)])
+    texts = [" ".join(vocabulary[rng.choice(len(vocabulary), 600, replace=False)]) for _ in range(1500)]
+    labels = [int(i % 3 == 0) for i in range(len(texts))]
+    monkeypatch.setattr(toxicity, "BLOCK", 1 << 14)
+    counted, y = toxicity.counted_texts(texts), np.array(labels, float)
+    tracemalloc.start()
+    toxicity.learned(counted, y, epochs=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25 * 600 * len(texts)  # what was counted is not part of it
+    staged, was = [], toxicity.common.staged
+    monkeypatch.setattr(toxicity.common, "staged", lambda df, name: staged.append(name) or was(df, name))
+    data = rows(60)
+    df = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    toxicity.fitted(df, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    assert staged == ["toxicity-labels"]

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from verdigraph.llm import common
 
@@ -66,13 +65,24 @@ _WORDY = _word_table()
 class Bag:
     """Words of a batch of texts: distinct words, and per text the ids and counts of its words."""
 
-    grams: np.ndarray  # bucket of every n-gram
-    word_of_gram: np.ndarray
+    grams: np.ndarray  # bucket of every n-gram, word by word
+    sizes: np.ndarray  # n-grams of each word
     hashes: np.ndarray  # of the distinct words
-    word: np.ndarray  # per (text, word): place in hashes
-    text: np.ndarray
+    word: np.ndarray  # per (text, word), text by text: place in hashes
+    lengths: np.ndarray  # distinct words of each text
     count: np.ndarray
-    texts: int
+
+    @property
+    def texts(self) -> int:
+        return len(self.lengths)
+
+    @property
+    def word_of_gram(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @property
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(self.texts), self.lengths)
 
 
 def bag(texts: list[str | None], buckets: int = BUCKETS) -> Bag:
@@ -92,7 +102,7 @@ def bag(texts: list[str | None], buckets: int = BUCKETS) -> Bag:
         pieces[2].append(np.stack([starts + lo, ends + lo]))
     if not pieces[0]:
         empty = np.zeros(0, np.int64)
-        return Bag(empty, empty, empty.astype(np.uint64), empty, empty, empty, len(texts))
+        return Bag(empty, empty, empty.astype(np.uint64), empty, np.zeros(len(texts), np.int64), empty)
     h, docs, places = np.concatenate(pieces[0]), np.concatenate(pieces[1]), np.concatenate(pieces[2], axis=1)
     hashes, example, word = np.unique(h, return_index=True, return_inverse=True)
     pair, count = np.unique(docs * len(hashes) + word, return_counts=True)
@@ -114,16 +124,18 @@ def bag(texts: list[str | None], buckets: int = BUCKETS) -> Bag:
         owners.append(owner[at])
     grams, owners = np.concatenate(grams).astype(np.int64), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return Bag(grams[order], owners[order], hashes, pair % len(hashes) if len(hashes) else pair, pair // max(1, len(hashes)), count, len(texts))
+    n = max(1, len(hashes))
+    return Bag(grams[order], np.bincount(owners, minlength=len(hashes)), hashes, pair % n, np.bincount(pair // n, minlength=len(texts)), count)
 
 
 class Features:
-    """Growing counts of labelled texts: per text the hashes and counts of its distinct words, per distinct word one copy of its n-grams."""
+    """Growing counts of labelled texts: per text its distinct words and their counts, per distinct word one copy of its n-grams."""
 
-    def __init__(self) -> None:
-        self.words: list[np.ndarray] = []
+    def __init__(self, buckets: int = BUCKETS) -> None:
+        self.kind = np.min_scalar_type(buckets - 1)  # of n-grams, which are most of what is held
+        self.words: list[np.ndarray] = []  # of a text, as places in the order in which words came
         self.counts: list[np.ndarray] = []
-        self.known = np.zeros(0, np.uint64)  # sorted; `place` is the order in which the words came
+        self.known = np.zeros(0, np.uint64)  # sorted hashes, and the words' places
         self.place = np.zeros(0, np.int32)
         self.grams: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
@@ -134,54 +146,52 @@ class Features:
         new = np.ones(len(hashes), bool)
         inside = at < len(self.known)
         new[inside] = self.known[at[inside]] != hashes[inside]
-        self.grams.append(grams[np.repeat(new, sizes)])
+        self.grams.append(grams[np.repeat(new, sizes)].astype(self.kind))
         self.sizes.append(sizes[new])
         places = np.arange(len(self.known), len(self.known) + int(new.sum()), dtype=np.int32)
         self.known, self.place = np.insert(self.known, at[new], hashes[new]), np.insert(self.place, at[new], places)
 
-    def bag(self) -> Bag:
-        """Pairs in the order of the texts, n-grams in the order in which words came; lists are freed once they are joined."""
-        joined = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind, copy=False)
-        lengths = np.array([len(w) for w in self.words], np.int64)
-        for i, w in enumerate(self.words):
-            self.words[i] = self.place[np.searchsorted(self.known, w)]
+    def add_text(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Its words have to be added before."""
+        self.words.append(self.place[np.searchsorted(self.known, hashes)])
+        self.counts.append(counts)
+
+    def bags(self, *parts: np.ndarray) -> list[Bag]:
+        """A bag of each part of the texts; they share the words and their n-grams. What was counted is given up."""
+        joined = lambda pieces, kind=np.int32: np.concatenate([np.zeros(0, kind), *pieces]).astype(kind, copy=False)
         hashes = np.empty(len(self.known), np.uint64)
         hashes[self.place] = self.known
-        out = Bag(joined(self.grams, np.int32), np.repeat(np.arange(len(hashes), dtype=np.int32), joined(self.sizes, np.int32)), hashes, joined(self.words, np.int32), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), joined(self.counts, np.int32), len(lengths))
-        self.__init__()
-        return out
+        self.known = self.place = None
+        grams, self.grams = joined(self.grams, self.kind), []
+        sizes = joined(self.sizes)
+        lengths = [np.array([len(self.words[k]) for k in texts], np.int32) for texts in parts]
+        words, self.words = [joined(self.words[k] for k in texts) for texts in parts], []
+        counts, self.counts = [joined(self.counts[k] for k in texts) for texts in parts], []
+        return [Bag(grams, sizes, hashes, *own) for own in zip(words, lengths, counts, strict=True)]
 
 
 def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per text (word hashes, counts), and the distinct words' (hashes, n-grams, n-grams per word) of a few texts."""
     b = bag(texts, buckets)
-    bounds = np.searchsorted(b.text, np.arange(b.texts + 1))
+    bounds = np.r_[0, np.cumsum(b.lengths)]
     own = [(b.hashes[b.word[s:e]], b.count[s:e].astype(np.int32)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-    return own, (b.hashes, b.grams.astype(np.int32), np.bincount(b.word_of_gram, minlength=len(b.hashes)).astype(np.int32))
+    return own, (b.hashes, b.grams.astype(np.int32), b.sizes.astype(np.int32))
 
 
-def bags(texts: list[str | None], buckets: int = BUCKETS, size: int = 512) -> Bag:
-    """`bag` of many texts, built from bags of `size` texts; each distinct word keeps one copy of its n-grams."""
-    out = Features()
+def counted_texts(texts: list[str | None], buckets: int = BUCKETS, size: int = 512) -> Features:
+    """Features of many texts, taken `size` texts at a time."""
+    out = Features(buckets)
     for first in range(0, len(texts), size):
         own, words = features(texts[first : first + size], buckets)
-        out.words += [w for w, _ in own]
-        out.counts += [c for _, c in own]
         out.add_words(*words)
-    return out.bag()
-
+        for hashes, counts in own:
+            out.add_text(hashes, counts)
+    return out
 
-def _of_texts(b: Bag, chosen: np.ndarray) -> Bag:
-    """The part of a bag that the chosen texts make; its words stay as they are."""
-    place = np.cumsum(chosen, dtype=np.int32) - 1
-    kept = chosen[b.text]
-    return Bag(b.grams, b.word_of_gram, b.hashes, b.word[kept], place[b.text[kept]], b.count[kept], int(chosen.sum()))
 
-
-def _times(b: Bag) -> np.ndarray:
-    """How often a word counts in its text: as it stands there, up to three times or the part MOST_PART of the text."""
-    size = np.bincount(b.text, b.count, b.texts)
-    return np.minimum(b.count, np.maximum(3, MOST_PART * size[b.text]))
+def _times(count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How often words count in texts of `size` words: as they stand there, up to three times or the part MOST_PART of the text."""
+    return np.minimum(count, np.maximum(3, MOST_PART * size))
 
 
 @dataclass
@@ -204,34 +214,51 @@ class Model:
         return self.score_bag(bag(texts, len(self.part)))
 
     def score_bag(self, b: Bag) -> np.ndarray:
-        size = np.maximum(1, np.bincount(b.word_of_gram, minlength=len(b.hashes)))
-        per_word = np.zeros(len(b.hashes))
-        for s, e in _blocks(len(b.grams)):
-            per_word += np.bincount(b.word_of_gram[s:e], self.part[b.grams[s:e]], len(b.hashes))
-        per_word /= size
-        w = self.weights(b.hashes)
-        times = _times(b)
-        mass = np.bincount(b.text, w[b.word] * times, b.texts)
-        total = np.bincount(b.text, (w * per_word)[b.word] * times, b.texts)
+        per_word = _by_owner(b.sizes, lambda s, e: self.part[b.grams[s:e]]) / np.maximum(1, b.sizes)
+        w, text = self.weights(b.hashes), b.text
+        times = _times(b.count, np.bincount(text, b.count, b.texts)[text])
+        mass = np.bincount(text, w[b.word] * times, b.texts)
+        total = np.bincount(text, (w * per_word)[b.word] * times, b.texts)
         logit = total / (mass + PRIOR) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _blocks(n: int, size: int = BLOCK) -> list[tuple[int, int]]:
-    return [(s, min(n, s + size)) for s in range(0, n, size)]
+def _blocks(sizes: np.ndarray):
+    """(first owner, end, first item, end) of blocks of about BLOCK items, where each owner has `sizes` items in a row."""
+    offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    for first, last in common.chunks(offsets, BLOCK):
+        yield first, last, int(offsets[first]), int(offsets[last])
+
+
+def _by_owner(sizes: np.ndarray, value) -> np.ndarray:
+    """Each owner's sum of value(start, end) of its items, block by block."""
+    out = np.zeros(len(sizes))
+    for first, last, s, e in _blocks(sizes):
+        out[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes[first:last]), value(s, e), last - first)
+    return out
+
+
+def _by_key(keys: np.ndarray, sizes: np.ndarray, n: int, of_owner: np.ndarray, factor: np.ndarray | None = None) -> np.ndarray:
+    """Sums, by key, of what the items' owners have, times the items' factor; block by block."""
+    out = np.zeros(n)
+    for first, last, s, e in _blocks(sizes):
+        value = np.repeat(of_owner[first:last], sizes[first:last])
+        out += np.bincount(keys[s:e], value if factor is None else value * factor[s:e], n)
+    return out
 
 
 def train(texts: list[str | None], labels: list[int], **options) -> Model:
-    """A model from texts and their labels; see `train_bag`."""
-    return train_bag(bags(texts, options.get("buckets", BUCKETS)), np.array(labels, np.float64), **options)
+    """A model from texts and their labels; see `learned`."""
+    return learned(counted_texts(texts, options.get("buckets", BUCKETS)), np.array(labels, np.float64), **options)
 
 
-def train_bag(b: Bag, y: np.ndarray, **options) -> Model:
+def learned(counted: Features, y: np.ndarray, **options) -> Model:
     """Embeddings and softmax from four fifths of the texts; the last fifth sets the scale and bias of the logits,
     as logits are too sure on the texts that the embeddings have seen."""
     held = np.arange(len(y)) % 5 == 4
-    model = _train(_of_texts(b, ~held), y[~held], **options)
-    rest, y = _of_texts(b, held), y[held]
+    most, rest = counted.bags(np.flatnonzero(~held), np.flatnonzero(held))
+    common.trimmed()
+    model, y = _train(most, y[~held], **options), y[held]
     if len(set(y.tolist())) < 2 or not model.part.any():
         return model
     score = np.clip(model.score_bag(rest), 1e-12, 1 - 1e-12)
@@ -250,39 +277,29 @@ def train_bag(b: Bag, y: np.ndarray, **options) -> Model:
 def _train(b: Bag, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, buckets: int = BUCKETS, seed: int = 7) -> Model:
     """Without rows of both classes the model gives everyone the share of class 1 (0 without rows).
 
-    Pairs and n-grams are kept as 32-bit numbers and passed over in blocks, so what a step adds to them is bounded.
+    Pairs and n-grams are kept as small numbers and passed over in blocks, so what a step adds to them is bounded; whose
+    they are is told by how many each text or word has.
     """
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(buckets), 30.0 * (2 * float(y.mean()) - 1) if len(y) else -30.0, np.zeros(0, np.uint64), np.zeros(0))
     n_words = len(b.hashes)
-    share = np.bincount(b.word, b.count, n_words) / max(1, b.count.sum())
+    once = np.ones(b.texts)
+    share = _by_key(b.word, b.lengths, n_words, once, b.count) / max(1, b.count.sum())
     damp = SMOOTH / (SMOOTH + share)
     kept = damp < 0.999
     place = np.flatnonzero(kept)[np.argsort(b.hashes[kept])]
     model = Model(np.zeros(buckets), 0.0, b.hashes[place], damp[place])
-    a = damp[b.word] * _times(b)
-    a = (a / (np.bincount(b.text, a, b.texts) + PRIOR)[b.text]).astype(np.float32)
-    per_gram = 1 / np.maximum(1, np.bincount(b.word_of_gram, minlength=n_words))
-    pairs, text_of, word_of = _blocks(len(b.word)), b.text, b.word
-
-    def gathered(keys: np.ndarray, blocks: list, n: int, value) -> np.ndarray:
-        """Sums of value(start, end) by key."""
-        out = np.zeros(n)
-        for s, e in blocks:
-            out += np.bincount(keys[s:e], value(s, e), n)
-        return out
-
+    size = _by_owner(b.lengths, lambda s, e: b.count[s:e])
+    a = np.empty(len(b.word), np.float32)
+    for first, last, s, e in _blocks(b.lengths):
+        own = b.lengths[first:last]
+        weight = damp[b.word[s:e]] * _times(b.count[s:e], np.repeat(size[first:last], own))
+        mass = np.bincount(np.repeat(np.arange(last - first), own), weight, last - first) + PRIOR
+        a[s:e] = weight / np.repeat(mass, own)
+    per_gram = 1 / np.maximum(1, b.sizes)
     # texts that a bucket is met in, all and those of class 1
-    in_word = [np.bincount(b.word, minlength=n_words).astype(np.float64), gathered(b.word, pairs, n_words, lambda s, e: y[text_of[s:e]])]
-    met, met_1 = (gathered(b.grams, _blocks(len(b.grams)), buckets, lambda s, e, own=own: own[b.word_of_gram[s:e]]) for own in in_word)
+    met, met_1 = (_by_key(b.grams, b.sizes, buckets, _by_key(b.word, b.lengths, n_words, x)) for x in (once, y))
     used = np.flatnonzero(met >= LEAST_TEXTS)
-    new_id = np.full(buckets, -1, np.int32)
-    new_id[used] = np.arange(len(used), dtype=np.int32)
-    grams = new_id[b.grams]
-    known = grams >= 0
-    grams, owners = grams[known], b.word_of_gram[known].astype(np.int32)
-    del known
-    gram_blocks = _blocks(len(grams))
     rng = np.random.default_rng(seed)
     # the first embedding dimension starts at the bucket's log odds, smoothed towards the classes' shares; the rest near 0
     ones, zeros, share_1 = met_1[used], met[used] - met_1[used], y.mean()
@@ -294,16 +311,20 @@ def _train(b: Bag, y: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, dim:
     bias = np.log(np.array([1 - share_1, share_1]))
     onehot = np.stack([1 - y, y], 1)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, bias)]
+    part = np.zeros(buckets)  # of the buckets in use; the others stay zero
     for step in range(1, epochs + 1):
-        words = [gathered(owners, gram_blocks, n_words, lambda s, t, x=x: x[grams[s:t]]) * per_gram for x in e]
-        docs = np.stack([gathered(text_of, pairs, b.texts, lambda s, t, x=x: x[word_of[s:t]] * a[s:t]) for x in words]) * SCALE
+        docs = np.empty((dim, b.texts))
+        for x, doc in zip(e, docs, strict=True):
+            part[used] = x
+            of_word = _by_owner(b.sizes, lambda s, t: part[b.grams[s:t]]) * per_gram
+            doc[:] = _by_owner(b.lengths, lambda s, t, x=of_word: x[b.word[s:t]] * a[s:t]) * SCALE
         z = docs.T @ w + bias
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
         dz = (p - onehot) / len(y)
-        d_words = [gathered(word_of, pairs, n_words, lambda s, t, x=x: x[text_of[s:t]] * a[s:t]) * per_gram for x in w @ dz.T * SCALE]
-        d_e = np.stack([gathered(grams, gram_blocks, len(used), lambda s, t, x=x: x[owners[s:t]]) for x in d_words])
+        d_words = (_by_key(b.word, b.lengths, n_words, x, a) * per_gram for x in w @ dz.T * SCALE)
+        d_e = np.stack([_by_key(b.grams, b.sizes, buckets, x)[used] for x in d_words])
         for param, grad, (m, v) in zip((e, w, bias), (d_e + DECAY * e, docs @ dz, dz.sum(0)), moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -343,33 +364,34 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, tra
                 yield pa.RecordBatch.from_arrays([pa.array(ends[1:] - ends[:-1]), part.column("doc_id").cast(pa.string()), part.column("toxic").cast(pa.int64()), lists(words, ends), lists(counts, ends), pa.nulls(part.num_rows, pa.list_(pa.int32()))], names=_FEATURES)
                 yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.string()), none, lists(hashes.view(np.int64), [0, len(hashes)]), lists(sizes, [0, len(sizes)]), lists(grams, [0, len(grams)])], names=_FEATURES)
 
-    made = common.staged(rows.mapInArrow(counted, "pairs long, doc_id string, toxic long, hashes array<long>, counts array<int>, grams array<int>"), "toxicity-features")
-    # a window over at most train_rows rows: texts count, in the hashes' order, while all their pairs are within train_pairs
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    taken = made.where("doc_id is not null").select("doc_id", F.sum("pairs").over(order).alias("so_far")).where(F.col("so_far") <= train_pairs).select("doc_id")
-    taken = made.where("doc_id is not null").join(F.broadcast(taken), "doc_id", "left_semi").select(_FEATURES)
+    # words come before texts, and texts in the hashes' order: they count while all their pairs are within train_pairs.
+    # Nothing is staged: the sort is of at most train_rows rows, and many small files cost executors more than a shuffle
+    made = rows.mapInArrow(counted, "pairs long, doc_id string, toxic long, hashes array<long>, counts array<int>, grams array<int>")
+    made = made.repartition(1).sortWithinPartitions(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"), "doc_id")
 
-    def learn(batches):
-        got, labels = Features(), []
+    def gather(batches) -> tuple[Features, np.ndarray]:
+        got, labels, pairs = Features(), [], 0
         for batch in batches:
-            ids, labels_of, hashes, counts, grams = (batch.column(c) for c in _FEATURES[1:])
+            sizes, ids, labels_of, hashes, counts, grams = (batch.column(c) for c in _FEATURES)
             for i in range(batch.num_rows):
                 values = [np.array(x[i].values) for x in (hashes, counts)]
-                if ids[i].is_valid:
-                    labels.append((ids[i].as_py(), labels_of[i].as_py(), len(got.words)))
-                    got.words.append(values[0].view(np.uint64))
-                    got.counts.append(values[1])
-                else:
+                if not ids[i].is_valid:
                     got.add_words(values[0].view(np.uint64), grams[i].values.to_numpy(), values[1])
+                elif (pairs := pairs + sizes[i].as_py()) <= train_pairs:
+                    labels.append((ids[i].as_py(), labels_of[i].as_py(), len(got.words)))
+                    got.add_text(values[0].view(np.uint64), values[1])
         labels.sort()
         order = [k for _, _, k in labels]
         got.words, got.counts = [got.words[k] for k in order], [got.counts[k] for k in order]
-        model = train_bag(got.bag(), np.array([x > 0 for _, x, _ in labels], np.float64))
+        return got, np.array([x > 0 for _, x, _ in labels], np.float64)
+
+    def learn(batches):
+        model = learned(*gather(batches))
         common.trimmed()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     # one task trains on counted features: rows and pairs are bounded, and if its executor is lost another one repeats it
-    found = taken.unionByName(made.where("doc_id is null")).coalesce(1).mapInArrow(learn, "model binary").first()
+    found = made.mapInArrow(learn, "model binary").first()
     return pickle.loads(found["model"]) if found else train([], [])
 
 
@@ -381,10 +403,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batch: pa.RecordBatch) -> dict:
-        texts, out = batch.column("text").to_pylist(), []
-        for at in range(0, len(texts), 512):
-            out.append(sent.value.score(texts[at : at + 512]))
-        score = np.concatenate(out)
+        score = np.concatenate([sent.value.score(batch.column("text").slice(at, 512).to_pylist()) for at in range(0, batch.num_rows, 512)])
         return {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
 
     return common.appended(docs, add, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -392,8 +411,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model does not call toxic, in the columns of docs; rows may have any doc_id or none."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("__row"))
-    return scored(rows, fitted(docs, labels)).where("predicted = 0").select("__row.*")
+    sent, at_text = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels)), docs.columns.index("text")
+
+    def keep(batches):
+        """Rows go in and out 512 at a time, each text once."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield part.filter(pa.array(sent.value.score(part.column(at_text).to_pylist()) < 0.5))
+        common.trimmed()
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
